@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import mixing, packing, quality, rans, simhash, warc
+from . import lines, mixing, packing, quality, rans, simhash, warc
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -54,7 +58,7 @@ FROM s
 
 
 def queries() -> dict:
-    every = (op3_token_archive, op4_simhash_components, op5_quality_rules, op8_source_mix, op9_warc_archive, op10_best_fit_packing)
+    every = (op3_token_archive, op4_simhash_components, op5_quality_rules, op7_line_dedup, op8_source_mix, op9_warc_archive, op10_best_fit_packing)
     return {f.__name__: f for f in every}
 
 
