@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import lines, mixing, packing, quality, rans, simhash, warc
+from . import licences, lines, mixing, neighbours, packing, quality, rans, simhash, toxicity, warc
 from .common import table
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return licences.licence_scan(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "n_toxic_words")
+
+
 def op3_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return rans.token_archive(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 1).read(digest=True)
@@ -24,6 +34,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text")
 
@@ -58,7 +73,7 @@ FROM s
 
 
 def queries() -> dict:
-    every = (op3_token_archive, op4_simhash_components, op5_quality_rules, op7_line_dedup, op8_source_mix, op9_warc_archive, op10_best_fit_packing)
+    every = (op1_licence_scan, op2_toxicity_crf, op3_token_archive, op4_simhash_components, op5_quality_rules, op6_multiprobe_neighbours, op7_line_dedup, op8_source_mix, op9_warc_archive, op10_best_fit_packing)
     return {f.__name__: f for f in every}
 
 
