@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import bar_queries, sample_queries, series_queries
+
 
 def queries() -> dict:
-    return {}
+    return bar_queries.QUERIES | series_queries.QUERIES | sample_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return bar_queries.ORACLE | series_queries.ORACLE | sample_queries.ORACLE

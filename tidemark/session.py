@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -36,3 +37,12 @@ def local_session(cpus: int = 8, partitions: int = 8, **conf: str) -> SparkSessi
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(named)
+    return f"{named.rstrip('/')}/bars/{name}-{uuid.uuid4().hex}"
