@@ -19,13 +19,18 @@ LEAST_BARS = 60
 INDICATORS = ["ema12", "ema20", "ema26", "ema50", "macd_line", "macd_signal", "macd_histogram", "rsi14", "atr14", "adx14"]
 
 
+def _sum(x: np.ndarray) -> float:
+    """Plain left-to-right sum; sum() and np.sum() round otherwise."""
+    return float(np.cumsum(x)[-1])
+
+
 def ema(x: np.ndarray, period: int) -> np.ndarray:
     """Exponential mean seeded by the mean of the first ``period`` values; NaN before it."""
     out = np.full(len(x), np.nan)
     if len(x) < period:
         return out
     k = 2.0 / (period + 1.0)
-    now = out[period - 1] = sum(x[:period].tolist()) / period
+    now = out[period - 1] = _sum(x[:period]) / period
     for i, v in enumerate(x[period:].tolist(), period):
         now = v * k + now * (1.0 - k)
         out[i] = now
@@ -38,7 +43,7 @@ def wilder(x: np.ndarray, period: int, first: int) -> np.ndarray:
     seed = first + period - 1
     if len(x) <= seed:
         return out
-    now = out[seed] = sum(x[first : seed + 1].tolist()) / period
+    now = out[seed] = _sum(x[first : seed + 1]) / period
     for i, v in enumerate(x[seed + 1 :].tolist(), seed + 1):
         now = (now * (period - 1.0) + v) / period
         out[i] = now
@@ -59,7 +64,7 @@ def macd(close: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line = ema(close, 12) - ema(close, 26)
     signal = np.full(len(close), np.nan)
     if len(close) > 34:
-        now = signal[34] = sum(line[25:34].tolist()) / 9.0
+        now = signal[34] = _sum(line[25:34]) / 9.0
         for i, v in enumerate(line[35:].tolist(), 35):
             now = v * 0.2 + now * 0.8
             signal[i] = now
@@ -87,15 +92,15 @@ def adx(high: np.ndarray, low: np.ndarray, close: np.ndarray, period: int = 14)
         return out
     dx = np.zeros(n)
     with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.float64(100.0 * (sum(plus[1 : period + 1].tolist()) / period)) / atr[period]
-        m = np.float64(100.0 * (sum(minus[1 : period + 1].tolist()) / period)) / atr[period]
+        p = np.float64(100.0 * (_sum(plus[1 : period + 1]) / period)) / atr[period]
+        m = np.float64(100.0 * (_sum(minus[1 : period + 1]) / period)) / atr[period]
         for i in range(period, n):
             if i > period:
                 p = (p * (period - 1.0) + 100.0 * plus[i] / atr[i]) / period
                 m = (m * (period - 1.0) + 100.0 * minus[i] / atr[i]) / period
             dx[i] = 100.0 * abs(p - m) / (p + m) if p + m > 0 else 0.0
     seed = 2 * period - 1
-    now = out[seed] = sum(dx[period : seed + 1].tolist()) / period
+    now = out[seed] = _sum(dx[period : seed + 1]) / period
     for i in range(seed + 1, n):
         now = out[i] = (now * (period - 1.0) + dx[i]) / period
     return out

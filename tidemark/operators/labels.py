@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..sources.bars import SERIES
 
-BY = Window.partitionBy(*SERIES).orderBy("close_time_ns")
+def by():
+    """Each series in order."""
+    return Window.partitionBy(*SERIES).orderBy("close_time_ns")
 
 
 def with_volatility(bars: DataFrame, lookback: int) -> DataFrame:
@@ -18,11 +20,11 @@ def with_volatility(bars: DataFrame, lookback: int) -> DataFrame:
 
     The first bar of a series has none. A frame of ``lookback`` rows is all that is held.
     """
-    previous = F.lag("close").over(BY)
+    previous = F.lag("close").over(by())
     ratio = F.try_divide(F.col("high") - F.col("low"), previous)
     sound = F.when((ratio > 0) & ~F.isnan(ratio) & (ratio != float("inf")), ratio)
-    frame = BY.rowsBetween(1 - lookback, 0)
-    return bars.withColumn("range_ratio", sound).withColumn("row_in_series", F.row_number().over(BY)).withColumn("volatility", F.when(F.col("row_in_series") > 1, F.percentile("range_ratio", F.lit(0.5)).over(frame))).drop("range_ratio")
+    frame = by().rowsBetween(1 - lookback, 0)
+    return bars.withColumn("range_ratio", sound).withColumn("row_in_series", F.row_number().over(by())).withColumn("volatility", F.when(F.col("row_in_series") > 1, F.percentile("range_ratio", F.lit(0.5)).over(frame))).drop("range_ratio")
 
 
 def symmetric_barrier(bars: DataFrame, lookback: int, horizon: int, train_bars: int | None = None) -> DataFrame:
@@ -34,7 +36,7 @@ def symmetric_barrier(bars: DataFrame, lookback: int, horizon: int, train_bars:
     rows = with_volatility(bars, lookback)
     if train_bars is not None:
         rows = rows.where(F.col("row_in_series") <= train_bars)
-    ahead = BY.rowsBetween(1, horizon)
+    ahead = by().rowsBetween(1, horizon)
     paths = rows.select(*SERIES, "row_in_series", "close", "volatility", F.max("high").over(ahead).alias("top"), F.min("low").over(ahead).alias("bottom")).where("row_in_series > 1 AND volatility IS NOT NULL AND top IS NOT NULL")
     up = F.greatest(F.try_divide(F.col("top"), F.col("close")) - 1, F.lit(0.0)) / F.col("volatility")
     down = F.greatest(1 - F.try_divide(F.col("bottom"), F.col("close")), F.lit(0.0)) / F.col("volatility")
@@ -50,7 +52,7 @@ def first_passage(bars: DataFrame, lookback: int, horizon: int, upper: float | C
     bar that counts is the next one.
     """
     rows = with_volatility(bars, lookback).where("volatility IS NOT NULL")
-    future = F.collect_list(F.struct("high", "low")).over(BY.rowsBetween(1, horizon))
+    future = F.collect_list(F.struct("high", "low")).over(by().rowsBetween(1, horizon))
     lift = lambda m: m if isinstance(m, Column) else F.lit(m)
     held = rows.withColumn("future", future).where(F.size("future") > 0).withColumns({"upper": F.col("close") * (1 + F.col("volatility") * lift(upper)), "lower": F.col("close") * (1 - F.col("volatility") * lift(lower))})
     hits = F.transform("future", lambda b: (b["high"] >= F.col("upper")) | (b["low"] <= F.col("lower")))
