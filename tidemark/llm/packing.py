@@ -23,11 +23,11 @@ from .tokens import encoder
 
 CAPACITY = 1024
 #: Pieces in a cell, about. Cells are dealt by a hash of the row, so none is much larger.
-CELL = 2048
-ISLANDS = 3
+CELL = 4096
+ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 12
-POPULATION = 6
+GENERATIONS = 8
+POPULATION = 5
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -177,9 +177,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands:
 
     def first(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["length", "item"], ascending=[False, True], ignore_index=True)
-        sizes = x["length"].tolist()
+        full = int((x["length"] == capacity).sum())  # they come first, fill a bin each, and take no part in the search
+        sizes = x["length"].tolist()[full:]
         bins = best_fit(sizes, range(len(sizes)), capacity)
-        x["bin"], x["solved"], x["cell"] = _assign(len(x), bins), len(bins) <= lower_bound(sizes, capacity), key[0]
+        x["bin"] = np.concatenate([len(bins) + np.arange(full), _assign(len(sizes), bins)])
+        x["solved"], x["cell"] = (np.arange(len(x)) < full) | (len(bins) <= lower_bound(sizes, capacity)), key[0]
         return x[["cell", "item", "length", "bin", "solved"]]
 
     start = written(dealt.groupBy("cell").applyInPandas(first, "cell long, item long, length long, bin long, solved boolean"), "packed")

@@ -30,7 +30,7 @@ CHUNKS = {
 KINDS = {"word_bpe_49k.json": "word", "byte_bpe_50k.json": "byte"}
 
 #: Chunks that are remembered in one Python worker, and the longest of them (characters).
-REMEMBERED = 700_000
+REMEMBERED = 1_200_000
 LONGEST = 40
 
 
