@@ -148,19 +148,18 @@ def scan(text: str, index: Index, coverage: float = COVERAGE, gram: int = GRAM,
     listed = ids.tolist()
     found: list[tuple[str, float, int, int, int]] = []
     for t, ds in sorted(diagonals.items()):
-        taken: list[tuple[int, int, int]] = []
-        last = None
+        kept: list[tuple[int, int, int]] = []
+        free, last = listed.copy(), None
         for d in sorted(ds):
             if last is not None and d - last <= band // 2:
                 continue  # the alignment at ``last`` reaches this diagonal
             last = d
-            matched, a, z = align(index.words[t], listed, d, band)
-            if matched >= coverage * len(index.words[t]):
-                taken.append((matched, a, z))
-        kept: list[tuple[int, int, int]] = []
-        for m in sorted(taken, key=lambda m: (-m[0], m[2] - m[1], m[1])):
-            if all(m[2] < k[1] or m[1] > k[2] for k in kept):
-                kept.append(m)
+            while True:  # copies close to each other lie in one band: each match frees the next
+                matched, a, z = align(index.words[t], free, d, band)
+                if matched < coverage * len(index.words[t]):
+                    break
+                kept.append((matched, a, z))
+                free[a : z + 1] = [-2] * (z + 1 - a)
         found += [(index.names[t], m / len(index.words[t]), m, a, z) for m, a, z in sorted(kept, key=lambda k: k[1])]
     if not found:
         return []
