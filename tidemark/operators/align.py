@@ -10,6 +10,13 @@ from ..sources.bars import SERIES
 from .resample import WEEK_NS, week_start_ns
 
 
+def refuse(condition: Column, message: str | Column) -> Column:
+    """A filter that lets all rows through and raises where ``condition`` holds; unlike a column, it is
+    not dropped when nothing downstream reads it."""
+    text = F.lit(message) if isinstance(message, str) else message
+    return F.when(condition, F.raise_error(text).cast("boolean")).otherwise(True)
+
+
 def frames_with_bars(frames: DataFrame, bars: DataFrame) -> DataFrame:
     """Each frame with the bar that closes at its timestamp; a frame without one raises.
 
@@ -17,8 +24,8 @@ def frames_with_bars(frames: DataFrame, bars: DataFrame) -> DataFrame:
     """
     keyed = bars.groupBy(*SERIES, F.col("close_time_ns").alias("timestamp_ns")).agg(F.count("*").alias("same"), F.min("close").alias("close"), F.max("high").alias("high"), F.min("low").alias("low"))
     joined = frames.join(keyed, [*SERIES, "timestamp_ns"], "left")
-    fault = F.when(F.col("same").isNull(), F.raise_error(F.concat(F.lit("no bar closes at "), F.col("timestamp_ns").cast("string")))).when(F.col("same") > 1, F.raise_error(F.lit("two bars close at one time")))
-    return joined.withColumn("close", F.coalesce(fault.cast("double"), F.col("close"))).drop("same")
+    there = joined.where(refuse(F.col("same").isNull(), F.concat(F.lit("no bar closes at "), F.col("timestamp_ns").cast("string"))))
+    return there.where(refuse(F.col("same") > 1, "two bars close at one time")).drop("same")
 
 
 def prior_week(daily: DataFrame, weekly: DataFrame, value: str) -> DataFrame:
@@ -83,13 +90,13 @@ def union_pool(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     """Union of two sample tables; a key in both (or twice) raises."""
     every = a.unionByName(b)
     n = F.count("*").over(Window.partitionBy(*key))
-    return every.withColumn("n", n).withColumn("n", F.when(F.col("n") > 1, F.raise_error(F.lit("a sample comes twice")).cast("long")).otherwise(F.col("n"))).drop("n")
+    return every.withColumn("n", n).where(refuse(F.col("n") > 1, "a sample comes twice")).drop("n")
 
 
 def append_later(source: DataFrame, extension: DataFrame) -> DataFrame:
     """``source`` and ``extension``; an extension bar not later than all of its series' source raises."""
     last = source.groupBy(*SERIES).agg(F.max("close_time_ns").alias("source_last"))
-    checked = extension.join(last, SERIES, "left").withColumn("close_time_ns", F.when(F.col("close_time_ns") <= F.col("source_last"), F.raise_error(F.lit("the extension overlaps its source")).cast("long")).otherwise(F.col("close_time_ns"))).drop("source_last")
+    checked = extension.join(last, SERIES, "left").where(refuse(F.col("close_time_ns") <= F.col("source_last"), "the extension overlaps its source"))
     return source.unionByName(checked.select(source.columns))
 
 
