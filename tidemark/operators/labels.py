@@ -51,10 +51,10 @@ def first_passage(bars: DataFrame, lookback: int, horizon: int, upper: float | C
     horizon without a hit is CENSORED and has no label. The origin is the bar's own close; the first
     bar that counts is the next one.
     """
-    rows = with_volatility(bars, lookback).where("volatility IS NOT NULL")
+    rows = with_volatility(bars, lookback)  # all bars are a future, those without a volatility too
     future = F.collect_list(F.struct("high", "low")).over(by().rowsBetween(1, horizon))
     lift = lambda m: m if isinstance(m, Column) else F.lit(m)
-    held = rows.withColumn("future", future).where(F.size("future") > 0).withColumns({"upper": F.col("close") * (1 + F.col("volatility") * lift(upper)), "lower": F.col("close") * (1 - F.col("volatility") * lift(lower))})
+    held = rows.withColumn("future", future).where((F.size("future") > 0) & F.col("volatility").isNotNull()).withColumns({"upper": F.col("close") * (1 + F.col("volatility") * lift(upper)), "lower": F.col("close") * (1 - F.col("volatility") * lift(lower))})
     hits = F.transform("future", lambda b: (b["high"] >= F.col("upper")) | (b["low"] <= F.col("lower")))
     at = F.array_position(hits, True).cast("int")
     bar = F.element_at("future", F.col("at"))
