@@ -112,10 +112,13 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
     size = F.when(F.col("is_revisit"), F.lit(0)).otherwise(F.col("payload_bytes"))
     header = record_header(kind, F.col("url"), F.col("page_id"), F.col("copy"), F.col("payload_digest"), size, None, F.col("refers_to"))
     judged.select("page_id", F.col("copy").alias("number"), "sha256", kind.alias("record_type"), header.alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
-    # Bytes of the first record of each digest only; few rows can still repeat one (repeated rows).
-    firsts = first.select("sha256", F.col("first_row.page_id").alias("first_id"))
-    chosen = read.withColumn("sha256", F.sha2("payload", 256)).join(firsts.withColumnRenamed("sha256", "address"), (F.col("sha256") == F.col("address")) & F.col("page_id").eqNullSafe(F.col("first_id")), "left_semi")
-    chosen.select("sha256", "payload").dropDuplicates(["sha256"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # Bytes of each digest's first record only. Where repeated rows share that record's page_id, one
+    # of them is taken; the others' bytes never go through a second shuffle.
+    alike = rows.groupBy("sha256", "page_id").agg(F.sum("n").alias("n"))
+    firsts = alike.groupBy("sha256").agg(F.min(F.struct(F.col("page_id").isNull().alias("nameless"), "page_id", "n")).alias("f")).select(F.col("sha256").alias("address"), F.col("f.page_id").alias("first_id"), F.col("f.n").alias("alike"))
+    chosen = read.withColumn("sha256", F.sha2("payload", 256)).join(firsts, (F.col("sha256") == F.col("address")) & F.col("page_id").eqNullSafe(F.col("first_id"))).select("sha256", "payload", "alike")
+    once = chosen.where("alike = 1").drop("alike").unionByName(chosen.where("alike > 1").drop("alike").dropDuplicates(["sha256"]))
+    once.write.option("compression", "zstd").parquet(f"{path}/payloads")
     return WarcArchive(spark, path)
 
 
