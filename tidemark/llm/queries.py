@@ -64,7 +64,7 @@ d AS (SELECT page_id, b, octet_length(b) AS payload_bytes, sha1(b) AS h FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY b) AS first_id FROM d),
 s AS (SELECT *, ('0x' || h) AS hx FROM f)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-  list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
