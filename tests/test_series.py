@@ -135,6 +135,13 @@ def test_the_stack_is_causal_and_repeats_itself(spark):
     assert memory[0].prior_memory is None and all(b.prior_memory == a.memory for a, b in zip(memory, memory[1:], strict=False))
 
 
+def test_contrast_describes_what_is_there(spark):
+    head = spark.createDataFrame([("a", "D1", "UP"), ("b", "D1", "DOWN"), ("c", "D1", "UP")], "instrument_id string, timeframe string, direction string")
+    seen = spark.createDataFrame([("a", "D1", 0.5, 0.2, None), ("b", "D1", None, None, None)], "instrument_id string, timeframe string, coherence double, recurrence double, prior_memory double")
+    got = {r.instrument_id: (r.state, [e.quality for e in r.evidence]) for r in indicators.contrast(head, seen).collect()}
+    assert got == {"a": ("NEUTRAL", ["coherent", "non_recurrent"]), "b": ("UNAVAILABLE", []), "c": ("UNAVAILABLE", [])}
+
+
 def test_linear_algebra_pieces():
     rng = np.random.default_rng(0)
     x = rng.random((40, 6))

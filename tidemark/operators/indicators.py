@@ -183,12 +183,19 @@ def technical_direction(bars: DataFrame, least_bars: int = LEAST_BARS) -> DataFr
 
 
 def contrast(technical: DataFrame, structural: DataFrame) -> DataFrame:
-    """Evidence rows that set the technical head beside the structural one. It describes, it does not
-    decide: the state is NEUTRAL where both sides are there and UNAVAILABLE elsewhere.
+    """Structural readings set beside the technical direction of each series. They describe, they do
+    not decide: NEUTRAL where there is a reading and a direction, UNAVAILABLE elsewhere.
 
-    ``structural``: instrument_id, timeframe, do_state, odce_trend, memory (any may be null).
+    ``structural``: instrument_id, timeframe, coherence, recurrence, prior_memory (any may be null).
     """
-    both = technical.join(structural, SERIES, "left")
-    item = lambda name, a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.lit(name).alias("name"), F.col(a).cast("string").alias("technical"), F.col(b).cast("string").alias("structural")))
-    evidence = F.filter(F.array(item("direction_state", "direction", "do_state"), item("counter_trend", "counter_reading", "odce_trend"), item("votes_memory", "up_votes", "memory")), lambda x: x.isNotNull())
-    return both.select(*SERIES, evidence.alias("evidence")).withColumn("state", F.when(F.size("evidence") > 0, "NEUTRAL").otherwise("UNAVAILABLE"))
+    both = technical.select(*SERIES, "direction").join(structural.select(*SERIES, "coherence", "recurrence", "prior_memory"), SERIES, "left")
+
+    def item(name: str, quality: Column) -> Column:
+        return F.when(F.col(name).isNotNull(), F.struct(F.lit(name).alias("reading"), F.col(name).alias("value"), quality.alias("quality")))
+
+    coherent = F.when(F.col("coherence") >= 0.5, "coherent").otherwise("incoherent")
+    recurrent = F.when(F.col("recurrence") >= 0.3, "recurrent").otherwise("non_recurrent")
+    evidence = F.filter(F.array(item("coherence", coherent), item("recurrence", recurrent), item("prior_memory", F.lit("strictly prior"))), lambda x: x.isNotNull())
+    judged = both.select(*SERIES, "direction", evidence.alias("evidence"))
+    there = (F.size("evidence") > 0) & F.col("direction").isNotNull() & (F.col("direction") != "UNAVAILABLE")
+    return judged.withColumn("state", F.when(there, "NEUTRAL").otherwise("UNAVAILABLE"))

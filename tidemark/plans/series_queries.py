@@ -172,6 +172,16 @@ def structural_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.snapshot(structure.stack(kernel_rows(spark, sf_dir)))
 
 
+def structural_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direction and structural readings of the last bar of each series."""
+    ship(spark)
+    seen = structure.observer(structure.paths(structure.robust_geometry(structure.bounded_state(kernel_rows(spark, sf_dir)))))
+    rows = seen.join(structure.exponential_memory(seen, "deficit"), [*S, "timestamp_ns"])
+    last = rows.groupBy(*S).agg(*[F.max_by(c, "timestamp_ns").alias(c) for c in ("coherence", "recurrence", "prior_memory")])
+    found = indicators.contrast(indicators.technical_direction(B.order_bars(spark, sf_dir)), last)
+    return found.select(*S, "direction", "state", F.size("evidence").alias("readings"), F.array_join(F.transform("evidence", lambda e: e["quality"]), ",").alias("qualities"))
+
+
 def exponential_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     rows = kernel_rows(spark, sf_dir).withColumn("deficit", F.expr("CASE WHEN lambda > 0.2D THEN delta END"))
@@ -238,7 +248,7 @@ def series_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("pair", "rows", F.round("similarity", 8).alias("similarity"), "agreement", dynamics.relation(F.col("similarity"), [F.col("agreement"), F.lit("ALIGNED"), F.lit("ALIGNED"), F.lit("UNAVAILABLE")]).alias("relation"))
 
 
-QUERIES = {f.__name__: f for f in (indicator_recurrences, bollinger_bands, technical_direction, direction_history, causal_volatility, symmetric_barrier, first_passage_labels, label_counts, right_censored, range_trajectories, frames_with_bars, prior_week_asof, asof_events, exact_pairs, greedy_band, union_pool, appended_series, complete_cases, cross_scale, bounded_state, robust_geometry, observer_states, structural_vectors, exponential_memory, weighted_mean, relative_magnitude, differentials, series_snapshots, dynamics_features, dynamics_variants, series_similarity)}
+QUERIES = {f.__name__: f for f in (indicator_recurrences, bollinger_bands, technical_direction, direction_history, causal_volatility, symmetric_barrier, first_passage_labels, label_counts, right_censored, range_trajectories, frames_with_bars, prior_week_asof, asof_events, exact_pairs, greedy_band, union_pool, appended_series, complete_cases, cross_scale, bounded_state, robust_geometry, observer_states, structural_vectors, structural_contrast, exponential_memory, weighted_mean, relative_magnitude, differentials, series_snapshots, dynamics_features, dynamics_variants, series_similarity)}
 
 #: One row for each bar and step of the recurrences, as a recursive query over row numbers.
 RECURSION = f"""{Q.ORDER_BARS},
