@@ -17,11 +17,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, written
+from .common import WORD, column, written
 from .components import connected_components
+from .lines import KEPT, bands, fuzzy_components, let, lowest, runs
 
 BITS = 64
 RADIUS = 2
@@ -133,6 +134,35 @@ def dedup_stage(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
 
 
+#: Words of a shingle where near copies of documents are told by Jaccard similarity.
+NEAR_SHINGLE = 5
+
+
+def word_shingles(text: Column) -> Column:
+    """All different runs of NEAR_SHINGLE words, as hashes; fewer words are one run."""
+    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda words: F.array_distinct(runs(words, NEAR_SHINGLE)))
+
+
+def near_copies_stage(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row for each group of near copies: that of the smallest doc_id.
+
+    Two texts are linked if their word shingles have a Jaccard similarity of 0.8 at least (candidates
+    come from MinHash bands, each is verified) or if their fingerprints are within ``radius``. Nulls
+    and repeated rows are treated as in ``dedup_stage``.
+    """
+    line = F.coalesce(F.col("text"), F.lit(""))
+    units = docs.select(F.xxhash64(line).alias("id"), line.alias("line"))
+    keys = written(units.select("id", let(let(word_shingles(F.col("line")), lambda s: lowest(s, KEPT)), bands).alias("keys")), "near_keys")
+    near = written(fuzzy_components(keys, units, word_shingles), "near")
+    fps = written(fingerprints(units, "id", "line").distinct(), "near_fps")
+    node = lambda c: F.xxhash64(F.lit(3), F.col(c))
+    alike = links(fps.select("fp").distinct(), radius).select(node("a").alias("a"), node("b").alias("b"))
+    parts = connected_components(near.select("id", "component").union(fps.select("doc_id", node("fp"))).union(alike)).withColumnRenamed("node", "id")
+    first = docs.groupBy(F.xxhash64(line).alias("id")).agg(F.min("doc_id").alias("first"))
+    keep = parts.join(first, "id").groupBy("component").agg(F.min("first").alias("keep_id")).select("keep_id").distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
 def brute_force(fps: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     """All linked pairs of positions; for tests."""
     return [(i, j) for i, j in combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= radius]
