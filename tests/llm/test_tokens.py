@@ -14,9 +14,8 @@ from tidemark.llm.tokens import KINDS, encoder
 LIBRARY = {}
 for name in KINDS:
     LIBRARY[name] = Tokenizer.from_file(public_tokenizers.path(name))
-    LIBRARY[name].encode_special_tokens = True
 
-ODD = ["", "  a  b ", "a\n\nb.\n c", "x\xa0y　z", "a\x1cb \x1d c", "don't we'll's 's", " \t\t x\n", "<|endoftext|> a <|startoftext|>", "é ́a", "ΑΣ ΟΔΟΣ.", "it's.,. a., b.", "   q", "a" * 500, "日本語、テキスト。 １２３", "x ,. y . , z", "İstanbul. Kﬁ, ²x.", "Ünïcode, Wörter.\nZwei"]
+ODD = ["", "  a  b ", "a\n\nb.\n c", "x\xa0y　z", "a\x1cb \x1d c", "don't we'll's 's", " \t\t x\n", "<|endoftext|> a <|startoftext|>", "é ́a", "ΑΣ ΟΔΟΣ.", "it's.,. a., b.", "   q", "a" * 500, "日本語、テキスト。 １２３", "x ,. y . , z", "İstanbul. Kﬁ, ²x.", "hello ǃ", "ƻ a", "ǀ", "a  <|endoftext|> b", "x<|startoftext|>  ", "<|endoftext|>.<|endoftext|>", "Ünïcode, Wörter.\nZwei"]
 
 
 def ids_of(name, text):
@@ -35,6 +34,23 @@ def test_any_text_gives_the_library_s_ids(text, name):
     assert np.frombuffer(encoder(name)(text), "<u4").tolist() == ids_of(name, text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), st.sampled_from(sorted(KINDS)))
+def test_any_unicode_text_gives_the_library_s_ids(text, name):
+    assert np.frombuffer(encoder(name)(text), "<u4").tolist() == ids_of(name, text)
+
+
+@pytest.mark.parametrize("name", sorted(KINDS))
+def test_many_random_texts_give_the_library_s_ids(name):
+    """Letters of the ranges that are cut specially, with what may stand around them."""
+    rng = np.random.default_rng(5)
+    points = np.array([c for c in range(0x20, 0x3000) if not 0x600 <= c < 0x1000] + [9, 10, 13, 0x3000, 0x4E00, 0xFF11, 0x1F600])
+    for _ in range(20_000):
+        pool = points[points < 0x250] if rng.random() < 0.7 else points
+        text = "".join(map(chr, np.where(rng.random(12) < 0.3, rng.choice([0x20, 0x2E, 0x2C, 0x41, 0x7A], 12), rng.choice(pool, 12)).tolist()))
+        assert np.frombuffer(encoder(name)(text), "<u4").tolist() == ids_of(name, text), text
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 255, 1000, 70_000])
 def test_blocks_round_trip_and_guard_themselves(n):
     rng = np.random.default_rng(n)

@@ -2,7 +2,8 @@
 
 A text is cut only where the tokenizer itself always cuts, so that the ids of the chunks, put one
 after another, are the ids of the text. Each chunk that isn't remembered goes through the
-``tokenizers`` library; the rest is a look-up.
+``tokenizers`` library; the rest is a look-up. A text with the string of a special token goes through
+the library whole, which makes it that token.
 """
 
 from __future__ import annotations
@@ -54,8 +55,8 @@ class _Memory(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         if PLAIN.fullmatch(chunk):  # one word for the model: it needs no more cutting
-            if self.lower and not chunk.islower():
-                got = self[chunk.lower()]
+            if self.lower and (low := chunk.lower()) != chunk:
+                got = self[low]
             else:
                 got = b"".join([self.ids[t.id] for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))])
         else:
@@ -71,11 +72,13 @@ class TextEncoder:
     def __init__(self, name: str, width: str = "<u4"):
         self.pattern = CHUNKS[KINDS[name]]
         tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.size = tokenizer.get_vocab_size()
         self.memory = _Memory(tokenizer, width, KINDS[name] == "word")
 
     def __call__(self, text: str) -> bytes:
+        if any(s in text for s in self.special):  # their neighbours are cut otherwise
+            return b"".join([self.memory.ids[i] for i in self.memory.tokenizer.encode(text, add_special_tokens=False).ids])
         return b"".join(map(self.memory.__getitem__, self.pattern.findall(text)))
 
 
