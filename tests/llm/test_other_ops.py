@@ -35,7 +35,37 @@ def test_licences_are_found_with_spans_and_edits(spark):
     assert [(r.doc_id, r.licence) for r in L.licence_scan(docs).collect()] == [(None, "mit-short")]
     assert L.licence_scan(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        L.Index.of({"short": "too few words"})
+        L.Index.of({"short": "word"})
+
+
+def test_every_copy_within_coverage_is_found():
+    """Up to a fifth of the words replaced, left out or added; against alignment at every diagonal."""
+    index, rng = L.Index.of(L.TEMPLATES), random.Random(1)
+    tried = 0
+    for t, name in enumerate(index.names):
+        words = L.words_of(L.TEMPLATES[name])
+        for _ in range(12):
+            copy = list(words)
+            for _ in range(rng.randrange(len(words) // 5 + 1)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randrange(2)] = rng.choice([[], ["zebra"], ["the"]])
+            text = ["quokka"] * 5 + copy + ["license", "quokka"]
+            ids = [index.vocabulary.get(w, -1) for w in text]
+            plain = max(L.align(words_ids, ids, d)[0] for words_ids in [index.words[t]] for d in range(-3, 9))
+            found = [m for m in L.scan(" ".join(text), index) if m[0] == name]
+            if plain >= L.COVERAGE * len(words) and len(copy) >= L.COVERAGE * len(words):
+                tried += 1
+                assert found and max(m[2] for m in found) >= L.COVERAGE * len(words), (name, copy)
+            elif plain < L.COVERAGE * len(words):
+                assert not found
+    assert tried > 80
+
+
+def test_overlapping_templates_and_very_long_texts():
+    index = L.Index.of({"a": "one two three four five six", "b": "four five six seven eight nine"})
+    assert [m[0] for m in L.scan("x one two three four five six seven eight nine x", index)] == ["a", "b"]
+    text = "filler words here " * 200_000 + "Released under the MIT Licence."
+    assert [m[0] for m in L.scan(text, L.Index.of(L.TEMPLATES))] == ["mit-short"]
 
 
 def test_alignment_bands_match_plain_local_alignment():

@@ -5,6 +5,13 @@ Templates are cut into words; hashes of their runs of ``GRAM`` words are winnowe
 the templates and places that have it. Every run of a document is looked up. Hits of one template on
 neighbouring diagonals make a candidate, which a banded local alignment of words turns into matched
 coverage and a span. The index is as large as the templates, not as the documents.
+
+No copy with few enough changes is missed. A copy of a template of n words with e words replaced, left
+out or added has a run of at least (n - e) / (e + 1) template words, rounded up, that is intact. With
+e <= n / 5, the most that COVERAGE leaves, that is 4 words or more from n = 16 on, and 2 or more for shorter
+templates. Any run of GRAM + WINDOW - 1 = 4 words holds a fingerprint; templates of fewer than ``SHORT``
+words keep all their runs of two words. Before a candidate
+is aligned, the words in reach of the band are counted: an alignment can't match more template words.
 """
 
 from __future__ import annotations
@@ -21,8 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import column
 
-GRAM = 5
-WINDOW = 4
+GRAM = 3
+WINDOW = 2
+#: Templates of fewer words are indexed by every run of two words.
+SHORT = 16
+SHORT_GRAM = 2
 #: Diagonals on either side of a candidate's that an alignment may reach.
 BAND = 12
 #: Share of a template's words that must match.
@@ -77,23 +87,25 @@ class Index:
     names: list[str]
     words: list[list[int]]
     vocabulary: dict[str, int]
-    postings: dict[int, list[tuple[int, int]]]
-    keys: np.ndarray
+    #: By length of run: fingerprint to (template, place).
+    postings: dict[int, dict[int, list[tuple[int, int]]]]
+    keys: dict[int, np.ndarray]
 
     @staticmethod
-    def of(templates: dict[str, str], gram: int = GRAM, window: int = WINDOW) -> Index:
-        """Templates with fewer than ``gram`` words can't be found and raise ValueError."""
+    def of(templates: dict[str, str]) -> Index:
+        """Templates with fewer than SHORT_GRAM words can't be found and raise ValueError."""
         names, words, vocabulary = sorted(templates), [], {}
-        postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        postings: dict[int, dict[int, list[tuple[int, int]]]] = {GRAM: defaultdict(list), SHORT_GRAM: defaultdict(list)}
         for t, name in enumerate(names):
             ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(templates[name])]
-            if len(ids) < gram:
-                raise ValueError(f"template {name} has fewer than {gram} words")
+            if len(ids) < SHORT_GRAM:
+                raise ValueError(f"template {name} has fewer than {SHORT_GRAM} words")
             words.append(ids)
+            gram, window = (SHORT_GRAM, 1) if len(ids) < SHORT else (GRAM, WINDOW)
             h = gram_hashes(np.array(ids), gram)
             for i in winnow(h, window):
-                postings[int(h[i])].append((t, i))
-        return Index(names, words, vocabulary, dict(postings), np.array(sorted(postings), np.uint64))
+                postings[gram][int(h[i])].append((t, i))
+        return Index(names, words, vocabulary, {g: dict(p) for g, p in postings.items()}, {g: np.array(sorted(p), np.uint64) for g, p in postings.items()})
 
 
 def align(template: list[int], text: list[int], offset: int, band: int = BAND) -> tuple[int, int, int]:
@@ -126,41 +138,43 @@ def align(template: list[int], text: list[int], offset: int, band: int = BAND) -
     return best[1], best[2], best[3]
 
 
-def scan(text: str, index: Index, coverage: float = COVERAGE, gram: int = GRAM, band: int = BAND) -> list[tuple[str, float, int, int, int]]:
+def scan(text: str, index: Index, coverage: float = COVERAGE, band: int = BAND) -> list[tuple[str, float, int, int, int]]:
     """(licence, coverage, matched words, start, end) of each match; offsets are characters."""
     get = index.vocabulary.get
     ids = np.array([get(w, -1) for w in words_of(text)], np.int64)
-    n = len(ids) - gram + 1
-    if n < 1:
-        return []
     unknown = np.concatenate([[0], np.cumsum(ids < 0)])
-    places = np.flatnonzero(unknown[gram:] == unknown[:-gram])
-    if not len(places):
-        return []
-    h = gram_hashes(ids, gram)[places]
-    hit = np.isin(h, index.keys)
-    if not hit.any():
-        return []
     diagonals: dict[int, set[int]] = defaultdict(set)
-    for p, key in zip(places[hit].tolist(), h[hit].tolist(), strict=True):
-        for t, i in index.postings[key]:
-            diagonals[t].add(p - i)
+    for gram, keys in index.keys.items():
+        places = np.flatnonzero(unknown[gram:] == unknown[:-gram])
+        if not len(places):
+            continue
+        h = gram_hashes(ids, gram)[places]
+        hit = np.isin(h, keys)
+        for p, key in zip(places[hit].tolist(), h[hit].tolist(), strict=True):
+            for t, i in index.postings[gram][key]:
+                diagonals[t].add(p - i)
+    if not diagonals:
+        return []
     listed = ids.tolist()
     found: list[tuple[str, float, int, int, int]] = []
     for t, ds in sorted(diagonals.items()):
         kept: list[tuple[int, int, int]] = []
+        size = len(index.words[t])
+        own = np.concatenate([[0], np.cumsum(np.isin(ids, index.words[t]))])  # template words so far
         free, last = listed.copy(), None
         for d in sorted(ds):
             if last is not None and d - last <= band // 2:
                 continue  # the alignment at ``last`` reaches this diagonal
+            if own[min(len(ids), max(0, d + size + band))] - own[min(len(ids), max(0, d - band))] < coverage * size:
+                continue  # too few template words in reach
             last = d
             while True:  # copies close to each other lie in one band: each match frees the next
                 matched, a, z = align(index.words[t], free, d, band)
-                if matched < coverage * len(index.words[t]):
+                if matched < coverage * size:
                     break
                 kept.append((matched, a, z))
                 free[a : z + 1] = [-2] * (z + 1 - a)
-        found += [(index.names[t], m / len(index.words[t]), m, a, z) for m, a, z in sorted(kept, key=lambda k: k[1])]
+        found += [(index.names[t], m / size, m, a, z) for m, a, z in sorted(kept, key=lambda k: k[1])]
     if not found:
         return []
     lowered = text.lower()
