@@ -46,7 +46,7 @@ def masked_distance(a: str, b: str, mask: str) -> Column:
     return F.when(active == 0, float("inf")).otherwise(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / F.greatest(active, F.lit(1))))
 
 
-def neighbours(queries: DataFrame, library: DataFrame, k: int, most: float | None = None, condition: Column | None = None) -> DataFrame:
+def neighbours(queries: DataFrame, library: DataFrame, k: int, most: float | None = None, condition: Column | str | None = None) -> DataFrame:
     """query_id, rank, sample_id, distance: the k nearest of equal mask within ``most``.
 
     ``queries`` and ``library`` come from ``normalize``; library columns may be used in ``condition``
@@ -71,7 +71,7 @@ def neighbours(queries: DataFrame, library: DataFrame, k: int, most: float | Non
     return out
 
 
-def kth_distance(queries: DataFrame, library: DataFrame, k: int, condition: Column | None = None) -> DataFrame:
+def kth_distance(queries: DataFrame, library: DataFrame, k: int, condition: Column | str | None = None) -> DataFrame:
     """query_id, distance of the k-th nearest of equal mask (of the last, if there are fewer)."""
     met = neighbours(queries, library, k, None, condition)
     return met.groupBy(F.col("q_sample_id").alias("query_id")).agg(F.max("distance").alias("kth_distance"), F.count("*").alias("n"))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.bars import SERIES
+from . import ledger
+
 
 def by():
     """Each series in order."""
@@ -205,11 +207,15 @@ def weighted_mean(rows: DataFrame, value: str, window: int, decay: float) -> Dat
 
 
 def relative_magnitude(rows: DataFrame, value: str, least: int = 8) -> DataFrame:
-    """|x| / (|x| + median of |x| over the 32 strictly prior rows), null with fewer than ``least``."""
+    """|x| / (|x| + median of |x| over the 32 strictly prior rows), null with fewer than ``least``.
+
+    A median of 0 gives 0 where x is 0 too, and null elsewhere.
+    """
     prior = by().rowsBetween(-PRIOR, -1)
     size = F.abs(F.col(value))
     usual = F.when(F.count(size).over(prior) >= least, F.percentile(size, F.lit(0.5)).over(prior))
-    return rows.select(*SERIES, "timestamp_ns", size.alias("size"), usual.alias("usual")).select(*SERIES, "timestamp_ns", F.when(F.col("size") + F.col("usual") > 0, F.try_divide(F.col("size"), F.col("size") + F.col("usual"))).otherwise(F.when(F.col("usual").isNotNull() & F.col("size").isNotNull(), 0.0)).alias("relative"))
+    known = rows.select(*SERIES, "timestamp_ns", size.alias("size"), usual.alias("usual"))
+    return known.select(*SERIES, "timestamp_ns", F.when(F.col("usual") > 0, F.col("size") / (F.col("size") + F.col("usual"))).when((F.col("usual") == 0) & (F.col("size") == 0), 0.0).alias("relative"))
 
 
 def differential(rows: DataFrame, cost: str, benefit: str) -> DataFrame:
@@ -233,9 +239,12 @@ def snapshot(rows: DataFrame) -> DataFrame:
 
 
 def stack(kernel_rows: DataFrame, low: float = 0.1, high: float = 1.0) -> DataFrame:
-    """All of the above: one row for each kernel row, with its 12-dimensional vector and memory."""
+    """All of the above: one row for each kernel row, with its 14-dimensional vector."""
     state = bounded_state(kernel_rows, low, high)
     seen = observer(paths(robust_geometry(state)))
     memory = exponential_memory(seen, "deficit")
-    joined = state.join(seen, [*SERIES, "timestamp_ns"]).join(memory, [*SERIES, "timestamp_ns"])
-    return vector_of(joined, [*AXES, "movement", "coherence", "recurrence", "contraction", "deficit", "prior_memory"])
+    place = [*SERIES, "timestamp_ns"]
+    known = kernel_rows.select(*place, "xi", "A", "lambda", "theta", "G").join(seen.select(*place, "coherence", "contraction"), place)
+    costs = ledger.ledger(known).select(*place, *ledger.DIFFERENTIALS)
+    joined = state.join(seen, place).join(costs, place).join(memory, place)
+    return vector_of(joined, [*AXES, "movement", "coherence", "recurrence", "contraction", "deficit", *ledger.DIFFERENTIALS, "prior_memory"])

@@ -14,11 +14,15 @@ from ..sources import records
 from . import sql as Q
 
 K, LEAST = 10, 3
+#: Dimensions of a sample: all of an embedding.
+DIMS = 64
+#: Queries are the samples whose id is divisible by this; all others are searched.
+EVERY = 50
 
 
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight dimensions of each embedding as a sample; some are left out to give masks."""
-    cells = [F.when(F.col("vec_id") % 7 == 0, None).otherwise(F.col("embedding")[i].cast("double")) if i == 3 else F.col("embedding")[i].cast("double") for i in range(8)]
+    """Each embedding as a sample; some dimensions are left out to give masks."""
+    cells = [F.when(F.col("vec_id") % 7 == 0, None).otherwise(F.col("embedding")[i].cast("double")) if i == 3 else F.col("embedding")[i].cast("double") for i in range(DIMS)]
     direction = F.element_at(F.array(*map(F.lit, ("UP", "RANGE", "DOWN"))), (F.col("label") % 3 + 1).cast("int"))
     return B.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.array(*cells).alias("vector"), direction.alias("direction"), (F.col("vec_id") % 10 + 1).cast("int").alias("first_passage_bars"))
 
@@ -26,7 +30,7 @@ def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scaled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = sample_rows(spark, sf_dir)
     scaled = S.normalize(rows, S.fit_normalization(rows))
-    return scaled.where("sample_id % 5 = 0"), scaled.where("sample_id % 5 <> 0")
+    return scaled.where(F.col("sample_id") % EVERY == 0), scaled
 
 
 def normalization_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +41,15 @@ def normalization_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalized_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sample_rows(spark, sf_dir)
     found = S.normalize(rows, S.fit_normalization(rows))
-    return found.select("sample_id", "mask_key", *[F.round(F.col("vector")[i], 8).alias(f"x{i}") for i in range(8)])
+    return found.select("sample_id", "mask_key", *[F.round(F.col("vector")[i], 8).alias(f"x{i}") for i in range(DIMS)])
+
+
+OTHERS = "l_sample_id != q_sample_id"
 
 
 def knn_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, lib = _scaled(spark, sf_dir)
-    return S.neighbours(q, lib, K, 4.0).select(F.col("q_sample_id").alias("query_id"), "rank", F.col("l_sample_id").alias("sample_id"), F.round("distance", 8).alias("distance"))
+    return S.neighbours(q, lib, K, 4.0, OTHERS).select(F.col("q_sample_id").alias("query_id"), "rank", F.col("l_sample_id").alias("sample_id"), F.round("distance", 8).alias("distance"))
 
 
 def temporal_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +61,12 @@ def temporal_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kth_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, lib = _scaled(spark, sf_dir)
-    return S.kth_distance(q, lib, K).select("query_id", F.round("kth_distance", 8).alias("kth_distance"), "n")
+    return S.kth_distance(q, lib, K, OTHERS).select("query_id", F.round("kth_distance", 8).alias("kth_distance"), "n")
 
 
 def _votes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     q, lib = _scaled(spark, sf_dir)
-    met = S.neighbours(q, lib, K, 4.0)
+    met = S.neighbours(q, lib, K, 4.0, OTHERS)
     votes = S.vote(met, LEAST)
     cases = votes.join(q.select(F.col("sample_id").alias("query_id"), F.col("direction").alias("actual")), "query_id").withColumnRenamed("winner", "predicted")
     return met, votes, cases, lib
@@ -100,7 +107,7 @@ def publication_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sample_rows(spark, sf_dir)
     scaled = S.normalize(rows, S.fit_normalization(rows))
-    return audits.pairs_of_mask(scaled.where("sample_id % 5 = 0"), scaled)
+    return audits.pairs_of_mask(scaled.where(F.col("sample_id") % EVERY == 0), scaled)
 
 
 def compactness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,8 +166,10 @@ def residual_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corrected_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slopes from the first half of the cases, applied without refitting to the later half."""
     cases = _votes(spark, sf_dir)[2].withColumn("feature", (F.col("query_id") % 13).cast("double"))
-    slopes = audits.residual_slopes(cases.where("query_id < 250"), "feature")
-    return audits.corrected(cases.where("query_id >= 250"), "feature", slopes).select("query_id", F.round("corrected_brier", 8).alias("corrected_brier"))
+    middle = cases.agg(F.percentile("query_id", F.lit(0.5)).alias("middle"))
+    parted = cases.join(F.broadcast(middle), F.lit(1) == F.lit(1))  # one row
+    slopes = audits.residual_slopes(parted.where("query_id < middle"), "feature")
+    return audits.corrected(parted.where("query_id >= middle"), "feature", slopes).select("query_id", F.round("corrected_brier", 8).alias("corrected_brier"))
 
 
 def basis_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,16 +272,16 @@ def signal_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (normalization_fit, normalized_samples, knn_neighbours, temporal_neighbours, kth_distances, knn_votes, weighted_horizons, knn_reliability, knn_recall, knn_scores, confusion_matrix, publication_gates, compactness, compactness_causal, class_geometry, neighbour_anatomy, dimension_availability, medians, price_quantiles, correlations, optional_means, residual_slopes, corrected_forecasts, basis_points, calibrated_model, parsed_dates, resolved_names, klines_json, aggregates_json, session_json, nearest_contracts, daily_csv, scalar_fields, day_texts, canonical_digests, signal_responses)}
 
-_CELLS = ", ".join(f"CASE WHEN vec_id % 7 = 0 THEN NULL ELSE CAST(embedding[{i + 1}] AS DOUBLE) END" if i == 3 else f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(8))
+_CELLS = ", ".join(f"CASE WHEN vec_id % 7 = 0 THEN NULL ELSE CAST(embedding[{i + 1}] AS DOUBLE) END" if i == 3 else f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(DIMS))
 SAMPLES = f"""sm AS (SELECT vec_id AS sample_id, [{_CELLS}] AS v, ['UP', 'RANGE', 'DOWN'][label % 3 + 1] AS direction, CAST(vec_id % 10 + 1 AS INTEGER) AS fp FROM embeddings),
-cl AS (SELECT sample_id, unnest(v) AS x, unnest(range(8)) AS axis FROM sm),
+cl AS (SELECT sample_id, unnest(v) AS x, unnest(range({DIMS})) AS axis FROM sm),
 c1 AS (SELECT axis, coalesce(quantile_cont(x, 0.5), 0) AS med, max(x) - min(x) AS wide FROM cl GROUP BY 1),
 nm AS (SELECT axis, med, CASE WHEN coalesce(quantile_cont(abs(x - med), 0.5), 0) > 0 THEN quantile_cont(abs(x - med), 0.5) WHEN any_value(wide) > 0 THEN any_value(wide) / 2 ELSE 1 END AS scale, any_value(coalesce(wide, 0)) > 0 AS eff FROM cl JOIN c1 USING (axis) GROUP BY 1, 2)"""
 SCALED = f"""{SAMPLES}, sc AS (SELECT sm.sample_id, any_value(direction) AS direction, any_value(fp) AS fp, list(coalesce((cl.x - med) / scale, 0) ORDER BY axis) AS v, list(cl.x IS NOT NULL AND eff ORDER BY axis) AS m,
   string_agg(CASE WHEN cl.x IS NOT NULL AND eff THEN '1' ELSE '0' END, '' ORDER BY axis) AS mask_key FROM sm JOIN cl USING (sample_id) JOIN nm USING (axis) GROUP BY 1)"""
-_DIST = "sqrt(list_sum(list_transform(range(1, 9), lambda i: CASE WHEN q.m[i] THEN (q.v[i] - l.v[i]) * (q.v[i] - l.v[i]) ELSE 0 END)) / len(list_filter(q.m, lambda x: x)))"
-PAIRS = f"{SCALED}, pr AS (SELECT q.sample_id AS query_id, l.sample_id, q.direction AS qd, l.direction AS ld, l.fp, q.v AS qv, l.v AS lv, q.m AS qm, {_DIST} AS distance FROM sc q JOIN sc l ON q.mask_key = l.mask_key WHERE q.sample_id % 5 = 0)"
-MET = f"{PAIRS}, met AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, sample_id) AS rank FROM pr WHERE sample_id % 5 <> 0 AND distance <= 4.0 QUALIFY rank <= {K})"
+_DIST = f"sqrt(list_sum(list_transform(range(1, {DIMS + 1}), lambda i: CASE WHEN q.m[i] THEN (q.v[i] - l.v[i]) * (q.v[i] - l.v[i]) ELSE 0 END)) / len(list_filter(q.m, lambda x: x)))"
+PAIRS = f"{SCALED}, pr AS (SELECT q.sample_id AS query_id, l.sample_id, q.direction AS qd, l.direction AS ld, l.fp, q.v AS qv, l.v AS lv, q.m AS qm, {_DIST} AS distance FROM sc q JOIN sc l ON q.mask_key = l.mask_key WHERE q.sample_id % {EVERY} = 0)"
+MET = f"{PAIRS}, met AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, sample_id) AS rank FROM pr WHERE sample_id <> query_id AND distance <= 4.0 QUALIFY rank <= {K})"
 
 
 def _bp(up: str, rng: str, down: str) -> str:
@@ -316,10 +325,10 @@ _P = lambda c: f"greatest(least({c}_bp / 10000.0 + z * slope_{c}, 1.0), 0.0)"  #
 
 ORACLE = {
     "normalization_fit": f"WITH {SAMPLES} SELECT CAST(axis AS INTEGER) AS axis, round(med, 10) AS median, round(scale, 10) AS scale, eff AS effective FROM nm",
-    "normalized_samples": f"WITH {SCALED} SELECT sample_id, mask_key, {', '.join(f'round(v[{i + 1}], 8) AS x{i}' for i in range(8))} FROM sc",
+    "normalized_samples": f"WITH {SCALED} SELECT sample_id, mask_key, {', '.join(f'round(v[{i + 1}], 8) AS x{i}' for i in range(DIMS))} FROM sc",
     "knn_neighbours": f"WITH {MET} SELECT query_id, CAST(rank AS INTEGER) AS rank, sample_id, round(distance, 8) AS distance FROM met",
-    "temporal_neighbours": f"WITH {PAIRS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, sample_id) AS rank FROM pr WHERE sample_id % 5 <> 0 AND sample_id < query_id AND sample_id + fp < query_id QUALIFY rank <= {K}) SELECT query_id, CAST(rank AS INTEGER) AS rank, sample_id, round(distance, 8) AS distance FROM t",
-    "kth_distances": f"WITH {PAIRS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, sample_id) AS rank FROM pr WHERE sample_id % 5 <> 0 QUALIFY rank <= {K}) SELECT query_id, round(max(distance), 8) AS kth_distance, count(*) AS n FROM t GROUP BY 1",
+    "temporal_neighbours": f"WITH {PAIRS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, sample_id) AS rank FROM pr WHERE sample_id < query_id AND sample_id + fp < query_id QUALIFY rank <= {K}) SELECT query_id, CAST(rank AS INTEGER) AS rank, sample_id, round(distance, 8) AS distance FROM t",
+    "kth_distances": f"WITH {PAIRS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, sample_id) AS rank FROM pr WHERE sample_id <> query_id QUALIFY rank <= {K}) SELECT query_id, round(max(distance), 8) AS kth_distance, count(*) AS n FROM t GROUP BY 1",
     "knn_votes": f"WITH {VOTES} SELECT query_id, support, up_bp, range_bp, down_bp, winner, edge_bp FROM vt",
     "weighted_horizons": f"""WITH {VOTES}, w AS (SELECT met.query_id, fp AS bars, {_W} AS wt, rank FROM met JOIN vt ON met.query_id = vt.query_id AND ld = winner),
 cu AS (SELECT *, sum(wt) OVER (PARTITION BY query_id ORDER BY bars, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r, sum(wt) OVER (PARTITION BY query_id) AS t FROM w)
@@ -328,7 +337,7 @@ SELECT query_id, min(bars) FILTER (r >= t * 0.25) AS p25_bars, min(bars) FILTER
 SELECT direction, cases, correct, {_ratio('correct', 'cases')} AS precision_bp, CAST(floor(greatest(least(((p + z2 / (2 * cases)) - {_Z} * sqrt((p * (1 - p) + z2 / (4 * cases)) / cases)) / (1 + z2 / cases), 1), 0) * 10000 + 0.5) AS BIGINT) AS lower_bp FROM p""",
     "knn_recall": f"WITH {VOTES}, c AS (SELECT actual AS direction, count(*) AS cases, count(*) FILTER (winner = actual) AS correct FROM vt GROUP BY 1) SELECT *, {_ratio('correct', 'cases')} AS recall_bp FROM c",
     "knn_scores": f"""WITH {VOTES}, rc AS (SELECT CAST(floor(avg(r)) AS BIGINT) AS bal FROM (SELECT {_ratio("count(*) FILTER (winner = actual)", "count(*)")} AS r FROM vt GROUP BY actual)),
-lb AS (SELECT count(*) FILTER (direction = 'UP') / count(*) AS fu, count(*) FILTER (direction = 'RANGE') / count(*) AS fr, count(*) FILTER (direction = 'DOWN') / count(*) AS fd FROM sc WHERE sample_id % 5 <> 0),
+lb AS (SELECT count(*) FILTER (direction = 'UP') / count(*) AS fu, count(*) FILTER (direction = 'RANGE') / count(*) AS fr, count(*) FILTER (direction = 'DOWN') / count(*) AS fd FROM sc),
 s AS (SELECT count(*) AS cases, count(*) FILTER (winner = actual) AS correct, avg({_BRIER}) AS brier, avg(pow(fu - (CASE WHEN actual = 'UP' THEN 1 ELSE 0 END), 2) + pow(fr - (CASE WHEN actual = 'RANGE' THEN 1 ELSE 0 END), 2) + pow(fd - (CASE WHEN actual = 'DOWN' THEN 1 ELSE 0 END), 2)) AS clim,
   (abs(avg(up_bp / 10000.0) - count(*) FILTER (actual = 'UP') / count(*)) + abs(avg(range_bp / 10000.0) - count(*) FILTER (actual = 'RANGE') / count(*)) + abs(avg(down_bp / 10000.0) - count(*) FILTER (actual = 'DOWN') / count(*))) / 3 AS gap FROM vt, lb)
 SELECT cases, correct, {_ratio('correct', 'cases')} AS accuracy_bp, bal AS balanced_accuracy_bp, round(brier, 8) AS brier, round(clim, 8) AS climatology, round(1 - brier / clim, 8) AS skill, round(gap, 8) AS calibration_error FROM s, rc""",
@@ -337,7 +346,7 @@ SELECT cases, correct, {_ratio('correct', 'cases')} AS accuracy_bp, bal AS balan
     "compactness": _compact("sample_id <> query_id"),
     "compactness_causal": _compact("sample_id < query_id"),
     "class_geometry": f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, sample_id) AS rank FROM pr WHERE sample_id <> query_id) SELECT query_id, ld AS direction, count(*) AS n, CAST(min(rank) AS INTEGER) AS nearest_rank, {STATS} FROM r GROUP BY 1, 2",
-    "neighbour_anatomy": f"""WITH {MET}, sq AS (SELECT query_id, sample_id, unnest(range(8)) AS axis, unnest(list_transform(range(1, 9), lambda i: CASE WHEN qm[i] THEN (qv[i] - lv[i]) * (qv[i] - lv[i]) ELSE 0 END)) AS s FROM met),
+    "neighbour_anatomy": f"""WITH {MET}, sq AS (SELECT query_id, sample_id, unnest(range({DIMS})) AS axis, unnest(list_transform(range(1, {DIMS + 1}), lambda i: CASE WHEN qm[i] THEN (qv[i] - lv[i]) * (qv[i] - lv[i]) ELSE 0 END)) AS s FROM met),
 sh AS (SELECT query_id, axis, s / sum(s) OVER (PARTITION BY query_id, sample_id) AS share FROM sq), me AS (SELECT query_id, axis, avg(share) AS ms FROM sh GROUP BY 1, 2)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(ms, 12) DESC, axis) AS INTEGER) AS place, CAST(axis AS INTEGER) AS axis, round(ms, 8) AS mean_share FROM me QUALIFY place <= 5""",
     "dimension_availability": f"WITH {SAMPLES} SELECT CAST(axis AS INTEGER) AS axis, count(*) AS rows, {_ratio('count(x)', 'count(*)')} AS available_bp FROM cl GROUP BY 1",
@@ -346,8 +355,8 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(ms
     "correlations": "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 8) AS price_quantity, CAST(NULL AS DOUBLE) AS \"none\" FROM lineitem GROUP BY 1",
     "optional_means": "SELECT l_shipdate, round(avg(CASE WHEN l_linenumber > 2 THEN l_quantity END), 8) AS mean_x, round(avg(CASE WHEN l_tax > 0.04 THEN 1.0 ELSE 0.0 END), 8) AS share FROM lineitem GROUP BY 1",
     "residual_slopes": f"WITH {VOTES}, ca AS (SELECT *, CAST(query_id % 13 AS DOUBLE) AS f FROM vt), {_slope_cte('ca', 'sl', True)} SELECT round(mean, 8) AS mean, round(dev, 8) AS dev, round(slope_up, 8) AS slope_up, round(slope_range, 8) AS slope_range, round(slope_down, 8) AS slope_down FROM sl",
-    "corrected_forecasts": f"""WITH {VOTES}, ca AS (SELECT *, CAST(query_id % 13 AS DOUBLE) AS f FROM vt), early AS (SELECT * FROM ca WHERE query_id < 250), {_slope_cte('early', 'sl', False)},
-zz AS (SELECT *, CASE WHEN dev > 0 THEN (f - mean) / dev ELSE 0 END AS z FROM ca, sl WHERE query_id >= 250), mv AS (SELECT *, {_P('up')} AS a, {_P('range')} AS b, {_P('down')} AS c FROM zz)
+    "corrected_forecasts": f"""WITH {VOTES}, ca AS (SELECT *, CAST(query_id % 13 AS DOUBLE) AS f FROM vt), mid AS (SELECT quantile_cont(query_id, 0.5) AS middle FROM ca), early AS (SELECT ca.* FROM ca, mid WHERE query_id < middle), {_slope_cte('early', 'sl', False)},
+zz AS (SELECT *, CASE WHEN dev > 0 THEN (f - mean) / dev ELSE 0 END AS z FROM ca, sl, mid WHERE query_id >= middle), mv AS (SELECT *, {_P('up')} AS a, {_P('range')} AS b, {_P('down')} AS c FROM zz)
 SELECT query_id, round(pow(a / (a + b + c) - (CASE WHEN actual = 'UP' THEN 1 ELSE 0 END), 2) + pow(b / (a + b + c) - (CASE WHEN actual = 'RANGE' THEN 1 ELSE 0 END), 2) + pow(c / (a + b + c) - (CASE WHEN actual = 'DOWN' THEN 1 ELSE 0 END), 2), 8) AS corrected_brier FROM mv""",
     "basis_points": f"WITH m AS (SELECT c_custkey, CAST(c_custkey % 7 AS DOUBLE) AS u, CAST(c_custkey % 11 AS DOUBLE) AS g, CAST(c_custkey % 3 AS DOUBLE) AS d FROM customer), b AS (SELECT c_custkey, {_bp('u', 'g', 'd')} AS bp FROM m) SELECT c_custkey, bp[1] AS up_bp, bp[2] AS range_bp, bp[3] AS down_bp FROM b",
     "parsed_dates": "SELECT CASE WHEN l_linenumber % 4 <> 3 THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS day, count(*) AS rows FROM lineitem GROUP BY 1",

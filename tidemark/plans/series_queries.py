@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import align, dynamics, indicators, labels, resample, structure, validation
+from ..operators import align, dynamics, indicators, labels, ledger, resample, structure, validation
 from ..session import ship
 from ..sources import bars as B
 from . import sql as Q
@@ -46,7 +46,7 @@ def causal_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symmetric_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = labels.symmetric_barrier(B.order_bars(spark, sf_dir), LOOKBACK, HORIZON, 1_000)
+    found = labels.symmetric_barrier(B.order_bars(spark, sf_dir), LOOKBACK, HORIZON)
     return found.select(*S, F.round("barrier", 8).alias("barrier"), "excursions")
 
 
@@ -204,6 +204,13 @@ def differentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*S, "timestamp_ns", *[F.round(c, 6).alias(c) for c in ("differential", "trend", "exposure")])
 
 
+def ledger_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs, benefits and their differences, with stand-ins for the observer's two columns."""
+    seen = {"coherence": "CASE WHEN lambda > 0.2D THEN delta / (1 + delta) END", "contraction": "CASE WHEN lambda < 0.95D THEN least(xi / theta, 1D) END"}
+    found = ledger.ledger(kernel_rows(spark, sf_dir).withColumns({c: F.expr(e) for c, e in seen.items()}))
+    return found.select(*S, "timestamp_ns", *[F.round(c, 7).alias(c) for c in found.columns if c not in (*S, "timestamp_ns")])
+
+
 def series_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = structure.snapshot(B.order_bars(spark, sf_dir).select(*S, F.col("close_time_ns").alias("timestamp_ns"), "trade_count"))
     return found.select(*S, "timestamp_ns", F.get_json_object("document", "$.trade_count").cast("long").alias("trade_count"))
@@ -248,7 +255,7 @@ def series_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("pair", "rows", F.round("similarity", 8).alias("similarity"), "agreement", dynamics.relation(F.col("similarity"), [F.col("agreement"), F.lit("ALIGNED"), F.lit("ALIGNED"), F.lit("UNAVAILABLE")]).alias("relation"))
 
 
-QUERIES = {f.__name__: f for f in (indicator_recurrences, bollinger_bands, technical_direction, direction_history, causal_volatility, symmetric_barrier, first_passage_labels, label_counts, right_censored, range_trajectories, frames_with_bars, prior_week_asof, asof_events, exact_pairs, greedy_band, union_pool, appended_series, complete_cases, cross_scale, bounded_state, robust_geometry, observer_states, structural_vectors, structural_contrast, exponential_memory, weighted_mean, relative_magnitude, differentials, series_snapshots, dynamics_features, dynamics_variants, series_similarity)}
+QUERIES = {f.__name__: f for f in (indicator_recurrences, bollinger_bands, technical_direction, direction_history, causal_volatility, symmetric_barrier, first_passage_labels, label_counts, right_censored, range_trajectories, frames_with_bars, prior_week_asof, asof_events, exact_pairs, greedy_band, union_pool, appended_series, complete_cases, cross_scale, bounded_state, robust_geometry, observer_states, structural_vectors, structural_contrast, exponential_memory, weighted_mean, relative_magnitude, differentials, ledger_trajectory, series_snapshots, dynamics_features, dynamics_variants, series_similarity)}
 
 #: One row for each bar and step of the recurrences, as a recursive query over row numbers.
 RECURSION = f"""{Q.ORDER_BARS},
@@ -320,6 +327,24 @@ STATE = f"""{KERNEL}, st AS (SELECT {Q.SERIES}, timestamp_ns, CASE WHEN delta_ti
 AXES = structure.AXES
 
 
+def _ledger_sql() -> str:
+    held, prior = f"{KBY} ROWS BETWEEN 31 PRECEDING AND CURRENT ROW", f"{KBY} ROWS BETWEEN 32 PRECEDING AND 1 PRECEDING"
+    faded = lambda x: f"list_sum(list_transform(range(1, len({x}) + 1), lambda i: {x}[i] * pow({ledger.DECAY}::DOUBLE, len({x}) - i))) / list_sum(list_transform(range(1, len({x}) + 1), lambda i: pow({ledger.DECAY}::DOUBLE, len({x}) - i)))"
+    channels = (*ledger.COSTS, *ledger.BENEFITS)
+    usual = ", ".join(f"CASE WHEN count({c}) OVER pr >= 8 THEN quantile_cont(abs({c}), 0.5) OVER pr END AS u_{c}" for c in channels)
+    parts = ", ".join(f"CASE WHEN u_{c} > 0 THEN abs({c}) / (abs({c}) + u_{c}) WHEN u_{c} = 0 AND {c} = 0 THEN 0 END AS relative_{c}" for c in channels)
+    gaps = ", ".join(f"relative_{c} - relative_{b} AS {d}" for d, (c, b) in ledger.DIFFERENTIALS.items())
+    ends = ", ".join(f"{d}, {d} - lag({d}) OVER ({KBY}) AS {d}_trend, coalesce(sum(greatest({d}, 0)) FILTER ({d} IS NOT NULL) OVER ({KBY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS {d}_exposure" for d in ledger.DIFFERENTIALS)
+    names = [*channels, *[f"relative_{c}" for c in channels], *[f"{d}{x}" for d in ledger.DIFFERENTIALS for x in ("", "_trend", "_exposure")]]
+    return f"""WITH {KERNEL}, o AS (SELECT *, (CASE WHEN lam > 0.2::DOUBLE THEN delta / (1 + delta) END) * (1 - CASE WHEN lam < 0.95::DOUBLE THEN least(xi / theta, 1) END) AS org FROM k),
+l AS (SELECT *, list(xi) OVER h AS xis, list(greatest(-g, 0)) OVER h AS falls, greatest(a - first_value(a) OVER h, 0) AS accumulated_debt, greatest(first_value(lam) OVER ({KBY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - lam, 0) AS capacity_consumption,
+  avg(CASE WHEN xi > theta THEN 1.0 ELSE 0.0 END) OVER h AS excess_persistence, greatest(lam - min(lam) OVER h, 0) AS structural_recovery, CASE WHEN count(org) OVER h >= 8 THEN avg(org) OVER h END AS adaptive_organization_level FROM o WINDOW h AS ({held})),
+c AS (SELECT *, {faded('xis')} AS retained_friction, {faded('falls')} AS adverse_trend FROM l), q AS (SELECT *, {usual} FROM c WINDOW pr AS ({prior})), t AS (SELECT *, {parts} FROM q), d AS (SELECT *, {gaps} FROM t),
+e AS (SELECT {Q.SERIES}, timestamp_ns, {', '.join(names[: 2 * len(channels)])}, {ends} FROM d)
+SELECT {Q.SERIES}, timestamp_ns, {', '.join(f'round({n}, 7) AS {n}' for n in names)} FROM e"""
+
+
+
 def _geometry() -> str:
     held = ", ".join(f"list({a}) OVER ({KBY} ROWS BETWEEN 32 PRECEDING AND 1 PRECEDING) AS p_{a}" for a in AXES)
     centre = ", ".join(f"list_median(p_{a}) AS c_{a}" for a in AXES)
@@ -373,7 +398,7 @@ ORACLE = {
     "technical_direction": f"{JUDGED} SELECT {Q.SERIES}, close_time_ns, {', '.join(TECHNICAL)}, round(sep, 6) AS ema_separation_atr, round(ext, 6) AS ema_extension FROM j WHERE rn = bars_used AND bars_used >= 60",
     "direction_history": f"{JUDGED} SELECT instrument_id, direction, counter_reading, count(*) AS bars FROM j WHERE ema50 IS NOT NULL GROUP BY ALL",
     "causal_volatility": f"WITH {VOLATILITY} SELECT {Q.SERIES}, close_time_ns, round(volatility, 8) AS volatility FROM vol",
-    "symmetric_barrier": f"""WITH {VOLATILITY}, tr AS (SELECT *, max(high) OVER ({Q.BY} ROWS BETWEEN 1 FOLLOWING AND {HORIZON} FOLLOWING) AS top, min(low) OVER ({Q.BY} ROWS BETWEEN 1 FOLLOWING AND {HORIZON} FOLLOWING) AS bottom FROM vol WHERE rn <= 1000),
+    "symmetric_barrier": f"""WITH {VOLATILITY}, tr AS (SELECT *, max(high) OVER ({Q.BY} ROWS BETWEEN 1 FOLLOWING AND {HORIZON} FOLLOWING) AS top, min(low) OVER ({Q.BY} ROWS BETWEEN 1 FOLLOWING AND {HORIZON} FOLLOWING) AS bottom FROM vol),
 ex AS (SELECT {Q.SERIES}, greatest(top / close - 1, 0) / volatility AS x FROM tr WHERE rn > 1 AND volatility IS NOT NULL AND top IS NOT NULL UNION ALL SELECT {Q.SERIES}, greatest(1 - bottom / close, 0) / volatility FROM tr WHERE rn > 1 AND volatility IS NOT NULL AND top IS NOT NULL)
 SELECT {Q.SERIES}, round(quantile_cont(x, 0.5), 8) AS barrier, count(*) AS excursions FROM ex GROUP BY ALL""",
     "first_passage_labels": f"WITH {LABELS} SELECT {Q.SERIES}, close_time_ns, direction, first_passage_bars, observed_bars FROM lab",
@@ -412,9 +437,10 @@ SELECT {Q.SERIES}, timestamp_ns, round(before, 8) AS prior_memory, round(after,
     "weighted_mean": f"""WITH {KERNEL}, h AS (SELECT {Q.SERIES}, timestamp_ns, list(delta) OVER ({KBY} ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS l FROM k)
 SELECT {Q.SERIES}, timestamp_ns, round(list_sum(list_transform(range(1, len(l) + 1), lambda i: l[i] * pow(0.9::DOUBLE, len(l) - i))) / list_sum(list_transform(range(1, len(l) + 1), lambda i: pow(0.9::DOUBLE, len(l) - i))), 8) AS weighted_mean FROM h""",
     "relative_magnitude": f"""WITH {KERNEL}, h AS (SELECT {Q.SERIES}, timestamp_ns, abs(m) AS x, count(*) OVER w AS n, quantile_cont(abs(m), 0.5) OVER w AS u FROM k WINDOW w AS ({KBY} ROWS BETWEEN 32 PRECEDING AND 1 PRECEDING))
-SELECT {Q.SERIES}, timestamp_ns, round(CASE WHEN n >= 8 THEN CASE WHEN x + u > 0 THEN x / (x + u) ELSE 0 END END, 8) AS relative FROM h""",
+SELECT {Q.SERIES}, timestamp_ns, round(CASE WHEN n >= 8 AND u > 0 THEN x / (x + u) WHEN n >= 8 AND u = 0 AND x = 0 THEN 0 END, 8) AS relative FROM h""",
     "differentials": f"""WITH {KERNEL}, h AS (SELECT {Q.SERIES}, timestamp_ns, delta - lam AS x FROM k)
 SELECT {Q.SERIES}, timestamp_ns, round(x, 6) AS differential, round(x - lag(x) OVER ({KBY}), 6) AS trend, round(sum(greatest(x, 0)) OVER ({KBY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS exposure FROM h""",
+    "ledger_trajectory": _ledger_sql(),
     "series_snapshots": f"WITH {Q.ORDER_BARS} SELECT {Q.SERIES}, max(close_time_ns) AS timestamp_ns, arg_max(trade_count, close_time_ns) AS trade_count FROM bars GROUP BY ALL",
     "dynamics_features": f"WITH {_dynamics()} SELECT {Q.SERIES}, timestamp_ns, {', '.join(c if c in ('regime_age', 'momentum_streak') else f'round({c}, 5) AS {c}' for c in DYNAMICS)} FROM dyn",
     "dynamics_variants": f"WITH {_dynamics()} {' UNION ALL '.join(map(_variant_sql, dynamics.VARIANTS))}",
