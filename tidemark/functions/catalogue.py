@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 # The instruments that queries may name, each with its aliases.
 INSTRUMENTS = {
     "crypto:binance:BTCUSDT": ["BTC", "BTCUSDT"],
-    "crypto:binance:ETHUSDT": ["ETH", "ETHUSDT"],
-    "crypto:binance:SOLUSDT": ["SOL", "SOLUSDT"],
     "crypto:binance:XRPUSDT": ["XRP", "XRPUSDT"],
-    "forex:massive:EURUSD": ["EUR/USD", "EURUSD"],
-    "futures:massive:GC": ["GC", "GOLD"],
-    "index:massive:NDX": ["NASDAQ", "NDX"],
-    "index:massive:SPX": ["S&P500", "SP500", "SPX"],
     "stock:massive:AAPL": ["AAPL"],
     "stock:massive:MSFT": ["MSFT"],
+    "index:massive:SPX": ["SPX", "SP500", "S&P500"],
+    "index:massive:NDX": ["NDX", "NASDAQ"],
+    "forex:massive:EURUSD": ["EURUSD", "EUR/USD"],
+    "futures:massive:GC": ["GC", "GOLD"],
+    "crypto:binance:ETHUSDT": ["ETH", "ETHUSDT"],
+    "crypto:binance:SOLUSDT": ["SOL", "SOLUSDT"],
 }
 
 
