@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import resample, validation
 from ..sources import bars as B
+from ..streaming import bars as streamed
 from . import sql as Q
 
 BAR_COLUMNS = ["instrument_id", "timeframe", "open_time_ns", "close_time_ns", "open", "high", "low", "close", "volume", "trade_count"]
@@ -24,6 +25,14 @@ def bars_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.lineitem_bars(spark, sf_dir).select(BAR_COLUMNS)
 
 
+def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream: the hourly bars that are closed once the newest event is an hour past them."""
+    schema = B.read(spark, sf_dir, "events").schema
+    ticks = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    closed = streamed.closed_bars(ticks, "event_type", "ts", F.col("value"), F.col("event_id"), "H1", "events", F.lit(1.0))
+    return streamed.until_now(spark, closed, "streamed").select(BAR_COLUMNS)
+
+
 def bar_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order prices as malformed bars: what each row breaks first."""
     rows = B.read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("instrument_id"), F.lit("lineitem").alias("source"), F.lit(0).cast("long").alias("open_time_ns"), F.col("l_linenumber").cast("long").alias("close_time_ns"), F.col("l_quantity").alias("open"), (F.col("l_quantity") + 20).alias("high"), (F.col("l_quantity") - 100 * F.col("l_tax")).alias("low"), (F.col("l_quantity") + 600 * F.col("l_discount") - 30).alias("close"), F.lit(1.0).alias("volume"), F.lit(None).cast("double").alias("quote_volume"), (F.col("l_linenumber") - 2).cast("long").alias("trade_count"))
@@ -77,6 +86,7 @@ def corpus_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "bars_orders": bars_orders,
     "bars_events": bars_events,
+    "streamed_bars": streamed_bars,
     "bars_lineitem": bars_lineitem,
     "bar_violations": bar_violations,
     "cadence_anomalies": cadence_anomalies,
@@ -108,6 +118,7 @@ FROM n GROUP BY instrument_id, bucket HAVING count(*) = {size}"""
 ORACLE = {
     "bars_orders": f"WITH {Q.ORDER_BARS} {_SELECT}",
     "bars_events": f"WITH {Q.EVENT_BARS} {_SELECT}",
+    "streamed_bars": f"WITH {Q.EVENT_BARS} {_SELECT} WHERE close_time_ns <= (SELECT max(epoch_ns(ts)) FROM events WHERE value IS NOT NULL) - {Q.HOUR}",
     "bars_lineitem": f"WITH {Q.LINE_BARS} {_SELECT}",
     "bar_violations": """SELECT violation, count(*) AS bars FROM (SELECT CASE
   WHEN trim(coalesce(l_returnflag, '')) = '' THEN 'MISSING_IDENTITY'
