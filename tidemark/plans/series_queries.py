@@ -250,9 +250,11 @@ def series_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = x.select(F.col("instrument_id").alias("other"), "timestamp_ns", F.col("values").alias("b"), F.col("state").alias("sb"))
     pairs = a.join(b, "timestamp_ns").where("one < other").withColumn("pair", F.concat_ws("~", "one", "other"))
     similar = dynamics.cosine_of_pairs(pairs)
-    agreed = pairs.groupBy("pair").agg(dynamics.agreement(F.lit(True), F.col("sa") == F.col("sb")).alias("agreement"))
-    both = similar.join(agreed, "pair")
-    return both.select("pair", "rows", F.round("similarity", 8).alias("similarity"), "agreement", dynamics.relation(F.col("similarity"), [F.col("agreement"), F.lit("ALIGNED"), F.lit("ALIGNED"), F.lit("UNAVAILABLE")]).alias("relation"))
+    same, always = F.col("sa") == F.col("sb"), F.lit(True)
+    # The ledger's and the memory's states have one value wherever they are causal, as here all rows are.
+    words = {"kernel": dynamics.agreement((F.col("a")[0] > 0) & (F.col("b")[0] > 0), same), "observer": dynamics.agreement(always, same), "ledger": dynamics.agreement(always, always), "memory": dynamics.agreement(always, always)}
+    both = similar.join(pairs.groupBy("pair").agg(*[w.alias(n) for n, w in words.items()]), "pair")
+    return both.select("pair", "rows", F.round("similarity", 8).alias("similarity"), *words, dynamics.relation(F.col("similarity"), [F.col(n) for n in words]).alias("relation"))
 
 
 QUERIES = {f.__name__: f for f in (indicator_recurrences, bollinger_bands, technical_direction, direction_history, causal_volatility, symmetric_barrier, first_passage_labels, label_counts, right_censored, range_trajectories, frames_with_bars, prior_week_asof, asof_events, exact_pairs, greedy_band, union_pool, appended_series, complete_cases, cross_scale, bounded_state, robust_geometry, observer_states, structural_vectors, structural_contrast, exponential_memory, weighted_mean, relative_magnitude, differentials, ledger_trajectory, series_snapshots, dynamics_features, dynamics_variants, series_similarity)}
@@ -445,7 +447,9 @@ SELECT {Q.SERIES}, timestamp_ns, round(x, 6) AS differential, round(x - lag(x) O
     "dynamics_features": f"WITH {_dynamics()} SELECT {Q.SERIES}, timestamp_ns, {', '.join(c if c in ('regime_age', 'momentum_streak') else f'round({c}, 5) AS {c}' for c in DYNAMICS)} FROM dyn",
     "dynamics_variants": f"WITH {_dynamics()} {' UNION ALL '.join(map(_variant_sql, dynamics.VARIANTS))}",
     "series_similarity": f"""WITH {Q.ORDER_BARS}, x AS (SELECT instrument_id, close_time_ns, {FIELDS} AS v, close > open AS up FROM bars),
-p AS (SELECT a.instrument_id || '~' || b.instrument_id AS pair, list_dot_product(a.v, b.v) AS xy, list_dot_product(a.v, a.v) AS xx, list_dot_product(b.v, b.v) AS yy, a.up = b.up AS same FROM x a JOIN x b ON a.close_time_ns = b.close_time_ns AND a.instrument_id < b.instrument_id),
-g AS (SELECT pair, count(*) AS rows, sum(xy) / (sqrt(sum(xx)) * sqrt(sum(yy))) AS sim, CASE WHEN count(*) FILTER (same) > count(*) FILTER (NOT same) THEN 'ALIGNED' ELSE 'DIVERGING' END AS agreement FROM p GROUP BY 1)
-SELECT pair, rows, round(sim, 8) AS similarity, agreement, CASE WHEN agreement = 'ALIGNED' AND sim >= 0.7 THEN 'STRONG_ALIGNMENT' WHEN agreement = 'ALIGNED' AND sim >= 0.4 THEN 'WEAK_ALIGNMENT' WHEN sim >= 0.5 THEN 'WEAK_ALIGNMENT' ELSE 'UNAVAILABLE' END AS relation FROM g""",
+p AS (SELECT a.instrument_id || '~' || b.instrument_id AS pair, list_dot_product(a.v, b.v) AS xy, list_dot_product(a.v, a.v) AS xx, list_dot_product(b.v, b.v) AS yy, a.up = b.up AS same, a.v[1] > 0 AND b.v[1] > 0 AS live FROM x a JOIN x b ON a.close_time_ns = b.close_time_ns AND a.instrument_id < b.instrument_id),
+g AS (SELECT pair, count(*) AS rows, sum(xy) / (sqrt(sum(xx)) * sqrt(sum(yy))) AS sim, CASE WHEN count(*) FILTER (live) = 0 THEN 'UNAVAILABLE' WHEN count(*) FILTER (live AND same) > count(*) FILTER (live AND NOT same) THEN 'ALIGNED' ELSE 'DIVERGING' END AS kernel,
+  CASE WHEN count(*) FILTER (same) > count(*) FILTER (NOT same) THEN 'ALIGNED' ELSE 'DIVERGING' END AS observer, 'ALIGNED' AS ledger, 'ALIGNED' AS memory FROM p GROUP BY 1),
+c AS (SELECT *, len(list_filter([kernel, observer, ledger, memory], lambda w: w = 'ALIGNED')) AS yes, len(list_filter([kernel, observer, ledger, memory], lambda w: w = 'DIVERGING')) AS no FROM g)
+SELECT pair, rows, round(sim, 8) AS similarity, kernel, observer, ledger, memory, CASE WHEN sim >= 0.7 AND yes >= 3 AND no = 0 THEN 'STRONG_ALIGNMENT' WHEN sim >= 0.4 AND yes >= 1 AND no = 0 THEN 'WEAK_ALIGNMENT' WHEN yes = 0 AND no >= 2 THEN 'DIVERGENCE' WHEN sim >= 0.5 THEN 'WEAK_ALIGNMENT' ELSE 'UNAVAILABLE' END AS relation FROM c""",
 }
