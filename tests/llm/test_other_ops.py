@@ -263,15 +263,24 @@ def test_mix_comes_near_its_targets_and_reruns_agree(spark):
 
 
 # WARC ------------------------------------------------------------------------------------------
-PAGES = [(3, "http://a/1", "<p>same</p>"), (1, "http://a/2", "<p>same</p>"), (2, None, None), (5, "http://b", ""), (9, "http://é", "é" * 3000), (1, "http://a/2", "<p>same</p>"), (None, "http://n", "only")]
+PAGES = [(3, "http://a/1", "<p>same</p>"), (1, "http://a/2", "<p>same</p>"), (2, None, None), (5, "http://b", ""), (9, "http://é", "é" * 3000), (1, "http://a/2", "<p>same</p>"), (None, "http://n", "only"), (1, "http://odd\r\nurl", "another"), (1, "http://odd\nurl", "another")]
 
 
 def test_archive_gives_back_every_record(spark):
     pages = spark.createDataFrame([(*p, "x") for p in PAGES], "page_id long, url string, html string, sha256 string")
     archive = W.write_archive(pages)
-    assert archive.payloads().count() == 4
-    back = sorted((r.page_id or -1, r.url, bytes(r.payload).decode()) for r in archive.originals().collect())
-    assert back == sorted((p or -1, u or "", h or "") for p, u, h in PAGES)
+    assert archive.payloads().count() == 5
+    back = sorted((r.page_id or -1, repr(r.url), bytes(r.payload).decode()) for r in archive.originals().collect())
+    assert back == sorted((p or -1, repr(u), h or "") for p, u, h in PAGES)
+    every = [W.from_bytes(bytes(r.record))[0] for r in archive.records().collect()]
+    assert len(every) == len({f["WARC-Record-ID"] for f in every}) == len(PAGES)
+    assert all(f["WARC-Date"] and f["Content-Type"] for f in every)
+    known = {f["WARC-Record-ID"]: f for f in every}
+    for f in every:
+        assert (f["WARC-Type"] == "revisit") == ("WARC-Refers-To" in f)
+        if "WARC-Refers-To" in f:
+            to = known[f["WARC-Refers-To"]]
+            assert to["WARC-Type"] == "response" and to["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
     for r in archive.records().collect():
         fields, block = W.from_bytes(bytes(r.record))
         assert fields["WARC-Type"] == r.record_type and (r.record_type == "response" or block == b"")

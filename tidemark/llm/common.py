@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,11 +21,14 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one that ``spark.checkpoint.dir`` names. Only where that is unset (tests on one
-    machine) a temporary folder is made and set as the checkpoint folder.
+    It is the one that ``spark.checkpoint.dir`` names. Only on one machine (a local master, as in tests)
+    a temporary folder is made and set as the checkpoint folder where that is unset; on a cluster a
+    missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(named)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -43,12 +47,24 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    store(df, path, partition_by)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``written`` wrote, once nothing reads it any more."""
+    remove(df.sparkSession, df.scratch_path)
+
+
+def store(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Write ``df`` to ``path``."""
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is now written
-    return spark.read.schema(df.schema).parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is now written
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -64,7 +80,7 @@ def _clear() -> None:
         try:
             remove(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended; the folder is scratch space
-            return
+            continue
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -73,12 +89,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def unhot(df: DataFrame, spread_over: int = 0) -> DataFrame:
-    """Deal rows out evenly before work that costs much per row (no key, so no hot key)."""
-    n = spread_over or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n)
-
-
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -16,7 +16,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import n_words, written
@@ -81,42 +81,45 @@ def pivotal(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.array(out)
 
 
-SIZES_SCHEMA = "doc_id long, source string, size long, source_size long, target double, whole long, p double, class long, salt long"
+#: What is rounded: a unit is all rows of one doc_id, text and source. No id goes through pandas.
+UNIT_SCHEMA = "unit long, mark long, size long, source string, p double, class long, salt long"
 
 
 def _level(rows: DataFrame, keys: list[str], number: int, seed: int) -> DataFrame:
     """Round within groups; a row whose p is still a fraction is the group's residual."""
 
     def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.assign(order=[zlib.crc32(f"{seed}:{d}".encode()) for d in x["doc_id"]]).sort_values(["size", "order", "doc_id"], kind="stable", ignore_index=True)
+        x = x.sort_values(["size", "mark"], kind="stable", ignore_index=True)
         name = zlib.crc32(repr((seed, number, *[None if pd.isna(k) else k for k in key])).encode())
         x["p"] = pivotal(x["p"].to_numpy(), np.random.default_rng(name))
-        return x.drop(columns="order")
+        return x
 
-    return written(rows.groupBy(*keys).applyInPandas(run, SIZES_SCHEMA), f"mix{number}")
+    return written(rows.groupBy(*keys).applyInPandas(run, UNIT_SCHEMA), f"mix{number}")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and copies for every row of ``docs``.
+def mix_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
+    """doc_id, text_hash, source, size, many, source_size, target and copies of each different (doc_id,
+    text, source): ``many`` rows that are ``copies`` times in the mix together.
 
-    size is the number of words (null text: 0). A row without words, or in a source without words,
-    takes nothing. Null sources are one source of their own, ranked last. Repeated rows are rows
-    each, and interchangeable; reruns agree whatever the partitioning. An empty table gives an empty
-    one. Other columns are not read.
+    Texts are told apart by a 64-bit hash beside doc_id and source.
     """
     spark = docs.sparkSession
-    sized = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(f"`{text_col}`").alias("size")), "sizes")
-    totals = {r.source: (r.size, r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count_if(F.col("size") > 0).alias("n")).collect()}  # one row for each source
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(f"`{text_col}`").alias("size"))
+    counted = narrow.groupBy("doc_id", "text_hash", "source", "size").agg(F.count("*").alias("many"))
+    units = written(counted.withColumn("unit", F.monotonically_increasing_id()), "units")
+    totals = {r.source: (r.size, r.n) for r in units.groupBy("source").agg(F.sum(F.col("size") * F.col("many")).alias("size"), F.count_if(F.col("size") > 0).alias("n")).collect()}  # one row for each source
     want = targets({s: v[0] for s, v in totals.items()})
     small = spark.createDataFrame([(s, v[0], want[s], max(1, -(-v[1] // GROUP))) for s, v in totals.items()], "source_name string, source_size long, target double, salts long")
     if len(totals) <= BROADCAST_SOURCES:
         small = F.broadcast(small)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).otherwise(0.0)
-    rows = sized.join(small, F.col("source").eqNullSafe(F.col("source_name"))).drop("source_name").withColumn("rate", rate)
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.floor(4 * F.log2(F.greatest(F.col("size"), F.lit(1)))).alias("class"), F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt"))
-    done = [rows.where("size = 0").withColumn("p", F.lit(0.0))]
-    now = _level(rows.where("size > 0"), ["source", "class", "salt"], 0, seed)
+    rate = F.when(F.col("source_size") > 0, F.col("many") * F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).otherwise(0.0)
+    rated = units.join(small, F.col("source").eqNullSafe(F.col("source_name"))).drop("source_name").withColumn("rate", rate)
+    mark = F.xxhash64(F.lit(seed), "doc_id", "text_hash")  # the order of equal sizes, and the group, whatever the partitioning
+    rows = rated.where("size > 0").select("unit", mark.alias("mark"), "size", "source", (F.col("rate") - F.floor("rate")).alias("p"), F.floor(4 * F.log2("size")).alias("class"), F.pmod(mark, F.col("salts")).alias("salt"))
+    now = _level(rows, ["source", "class", "salt"], 0, seed)
     salts, classes, number = max([1, *(-(-v[1] // GROUP) for v in totals.values())]), 256, 0
+    done = []
     while True:
         done.append(now.where("p <= 0 OR p >= 1"))
         left = now.where("p > 0 AND p < 1")
@@ -130,28 +133,51 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             classes = -(-classes // FAN_IN)
             left = left.withColumn("class", F.floor(F.col("class") / FAN_IN))
         now = _level(left, ["source", "class", "salt"], number, seed)
-    last = left.withColumn("p", (F.pmod(F.xxhash64(F.lit(seed), F.lit("last"), "source"), F.lit(1 << 40)) / float(1 << 40) < F.col("p")).cast("double"))
-    out = last
+    rounded = left.withColumn("p", (F.pmod(F.xxhash64(F.lit(seed), F.lit("last"), "source"), F.lit(1 << 40)) / float(1 << 40) < F.col("p")).cast("double"))
     for x in done:
-        out = out.unionByName(x)
-    copies = F.col("whole") + F.round("p").cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+        rounded = rounded.unionByName(x)
+    ones = rounded.where("p > 0.5").select("unit", F.lit(1).cast("long").alias("one"))
+    copies = F.floor("rate") + F.coalesce("one", F.lit(0))
+    return rated.join(ones, "unit", "left").select("doc_id", "text_hash", "source", "size", "many", "source_size", "target", copies.alias("copies"))
+
+
+def _share(nth: Column) -> Column:
+    """Copies of the nth (from 1) of a unit's rows: as even as can be."""
+    even = F.floor(F.col("copies") / F.col("many"))
+    return even + (nth <= F.col("copies") - even * F.col("many")).cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and copies for every row of ``docs``.
+
+    size is the number of words (null text: 0). A row without words, or in a source without words,
+    takes nothing. Null sources are one source of their own, ranked last. Rows that repeat doc_id, text
+    and source share what they take evenly; rows that only share a doc_id, or have none, are documents
+    of their own. Reruns agree whatever the partitioning. An empty table gives an empty one. Other
+    columns are not read.
+    """
+    units = mix_units(docs, id_col, text_col, source_col, seed)
+    rows = units.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("many"))).alias("nth"))
+    copies = _share(F.col("nth"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def mix_stage(docs: DataFrame, seed: int = 0) -> DataFrame:
     """``docs`` with each row as many times as the mix takes it; those it doesn't take go.
 
-    Rows of one doc_id share that doc_id's copies out (they are summed and dealt row by row). A row
-    without words is taken once, as it has no weight either way.
+    A row without words is taken once, as it has no weight either way. Nulls, repeated rows and rows that
+    share a doc_id: see ``mix``; which of the rows that repeat doc_id, text and source takes one more is
+    told by all their columns. Other columns stay, whatever their names.
     """
-    taken = mix(docs, seed=seed).select("doc_id", F.when(F.col("size") > 0, F.col("copies")).otherwise(1).alias("copies")).groupBy(F.col("doc_id").alias("mix_id")).agg(F.sum("copies").alias("mix_sum"), F.count("*").alias("mix_rows"))
-    names = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    joined = docs.select(row, F.col("doc_id").cast("long").alias("mix_id")).join(taken.withColumnRenamed("mix_id", "taken_id"), F.col("mix_id").eqNullSafe(F.col("taken_id")))
-    share = F.floor(F.col("mix_sum") / F.col("mix_rows"))
-    single = joined.where("mix_rows = 1").select("row", F.col("mix_sum").alias("n"))
     from pyspark.sql import Window
 
-    nth = F.row_number().over(Window.partitionBy("mix_id").orderBy(F.xxhash64("row")))
-    several = joined.where("mix_rows > 1").select("row", (share + (nth <= F.col("mix_sum") - share * F.col("mix_rows")).cast("long")).alias("n"))
-    return single.union(several).where("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
+    taken = mix_units(docs, seed=seed).withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(F.col("many")))
+    taken = taken.where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash"), F.col("source").alias("mix_source"), "many", "copies")
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row_hash"), F.col("source").cast("string").alias("row_source"))
+    same = (F.col("row_hash") == F.col("mix_hash")) & F.col("row_id").eqNullSafe(F.col("mix_id")) & F.col("row_source").eqNullSafe(F.col("mix_source"))
+    joined = rows.join(taken, same)
+    even = joined.where("copies % many = 0").select("row", F.expr("copies DIV many").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("mix_hash", "mix_id", "mix_source").orderBy(F.xxhash64("row")))
+    odd = joined.where("copies % many != 0").select("row", _share(nth).alias("n")).where("n > 0")
+    return even.union(odd).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*[F.col(f"row.`{c}`") for c in names])

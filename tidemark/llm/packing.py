@@ -10,6 +10,7 @@ islands, each a task of its own, and between epochs every island gets its neighb
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 8
 POPULATION = 5
+#: Pieces of a bin that are tried in pairs against one loose piece.
+PAIRED = 6
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -110,6 +113,40 @@ def fitness(sizes: list[int], bins: list[list[int]], capacity: int) -> tuple[int
     return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
+def replace(sizes: list[int], kept: list[list[int]], loose: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
+    """Let loose pieces dominate: in each bin one piece gives way to a larger loose one, or two to a single
+    one, where that fills the bin better; the loose pieces that remain are smaller (Falkenauer, 1996).
+    """
+    free = sorted((sizes[i], i) for i in loose)
+    bins = []
+    for held in kept:
+        items = list(held)
+        room = capacity - sum(sizes[i] for i in items)
+        if room and free:
+            best, gain, out = None, 0, ()
+            single = [(i,) for i in items]
+            double = [(items[x], items[y]) for x in range(min(len(items), PAIRED)) for y in range(x)]
+            for gone in (*single, *double):
+                have = sum(sizes[i] for i in gone)
+                at = bisect_right(free, (have + room, len(sizes))) - 1
+                if at >= 0 and free[at][0] - have > gain:
+                    best, gain, out = at, free[at][0] - have, gone
+                    if gain == room:
+                        break
+            if best is not None:
+                _, fresh = free.pop(best)
+                items = [i for i in items if i not in out] + [fresh]
+                for i in out:
+                    insort(free, (sizes[i], i))
+        bins.append(items)
+    return bins, [i for _, i in free]
+
+
+def _refill(sizes: list[int], kept: list[list[int]], loose: list[int], capacity: int) -> list[list[int]]:
+    kept, loose = replace(sizes, kept, loose, capacity)
+    return best_fit(sizes, sorted(loose, key=lambda i: -sizes[i]), capacity, kept)
+
+
 def crossover(sizes: list[int], into: list[list[int]], giver: list[list[int]], capacity: int, rng: np.random.Generator) -> list[list[int]]:
     """Inject well-filled bins of ``giver`` whole, drop bins with duplicates, best-fit the displaced."""
     fill = np.array([sum(sizes[i] for i in b) for b in giver])
@@ -122,16 +159,15 @@ def crossover(sizes: list[int], into: list[list[int]], giver: list[list[int]], c
             displaced += [i for i in b if i not in inside]
         else:
             kept.append(b)
-    return best_fit(sizes, sorted(displaced, key=lambda i: -sizes[i]), capacity, kept)
+    return _refill(sizes, kept, displaced, capacity)
 
 
 def mutate(sizes: list[int], bins: list[list[int]], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Empty the least filled bins and a few others, and best-fit their items in a shaken order."""
+    """Empty the least filled bins and a few others; their pieces replace smaller ones elsewhere, and what
+    is left is best-fitted."""
     fill = np.array([sum(sizes[i] for i in b) for b in bins])
     out = set(np.argsort(fill, kind="stable")[: max(2, len(bins) // 50)].tolist()) | set(rng.integers(0, len(bins), max(2, len(bins) // 25)).tolist())
-    loose = [i for k in out for i in bins[k]]
-    noise = dict(zip(loose, rng.normal(0, 0.05, len(loose)), strict=True))
-    return best_fit(sizes, sorted(loose, key=lambda i: -sizes[i] * (1 + noise[i])), capacity, [b for k, b in enumerate(bins) if k not in out])
+    return _refill(sizes, [b for k, b in enumerate(bins) if k not in out], [i for k in out for i in bins[k]], capacity)
 
 
 def evolve(sizes: list[int], elites: list[list[list[int]]], capacity: int, rng: np.random.Generator, bound: int, generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, column, written
 from .components import connected_components
-from .lines import KEPT, bands, fuzzy_components, let, lowest, runs
+from .lines import below, filtered, fuzzy_components, let, probable, sketched
 
 BITS = 64
 RADIUS = 2
@@ -123,44 +123,101 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def text_key() -> tuple[Column, Column, Column]:
+    """(doc_id, id, check): two hashes of the text stand for it."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.col("doc_id").cast("long").alias("near_doc"), F.xxhash64(text).alias("id"), F.xxhash64(F.lit(1), text).alias("check")
+
+
+def keep_one(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``docs`` with one row for each group of texts; ``parts`` (id, check, component) names the groups
+    of more than one text.
+
+    The row with the smallest (doc_id, id, check) of a group stays, null doc_ids last; of rows that repeat
+    both doc_id and text one stays. Only rows that may go are shuffled.
+    """
+    narrow = docs.select(*text_key()).groupBy("near_doc", "id", "check").agg(F.count("*").alias("many"))
+    placed = written(narrow.join(parts, ["id", "check"], "left").select("near_doc", "id", "check", "many", F.struct(F.coalesce("component", "id").alias("name"), F.when(F.col("component").isNull(), F.col("check")).alias("alone")).alias("group")), "placed")
+    order = F.struct(F.col("near_doc").isNull(), "near_doc", "id", "check")
+    heads = placed.groupBy("group").agg(F.min(order).alias("head"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    unlike = placed.join(heads, placed["group"].eqNullSafe(heads["group"]), "left").select("near_doc", "id", "check", "many", (F.col("head").isNull() | order.eqNullSafe(F.col("head"))).alias("stays"))
+    touched = written(unlike.where("NOT stays OR many > 1").select(F.xxhash64("near_doc", "id", "check").alias("spot"), "near_doc", "id", "check", "stays"), "touched")
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *text_key()).select("row", F.col("near_doc").alias("row_doc"), F.col("id").alias("row_id"), F.col("check").alias("row_check"), F.xxhash64("near_doc", "id", "check").alias("spot"))
+    judged = probable(rows, "spot", touched, touched.count())
+    same = (F.col("row_id") == F.col("id")) & (F.col("row_check") == F.col("check")) & F.col("row_doc").eqNullSafe(F.col("near_doc"))
+    met = judged.where("hit").join(touched.withColumnRenamed("spot", "touched_spot"), (F.col("spot") == F.col("touched_spot")) & same, "left").where("stays IS NULL OR stays")
+    alone = met.where("stays IS NULL").select("row")
+    once = met.where("stays IS NOT NULL").dropDuplicates(["row_doc", "row_id", "row_check"]).select("row")
+    return judged.where("NOT hit").select("row").unionByName(alone).unionByName(once).select(*[F.col(f"row.`{c}`") for c in names])
+
+
+def _same_fingerprints(docs: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) between ids of texts whose fingerprints are within ``radius``."""
+    line = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    fps = written(fingerprints(docs.select(F.xxhash64(line).alias("id"), line.alias("line")), "id", "line").distinct(), "near_fps")
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    equal = fps.join(first, "fp").where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    side = lambda x: first.select(F.col("fp").alias(x), F.col("first").alias("f" + x))
+    near = links(first.select("fp"), radius).join(side("a"), "a").join(side("b"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    return equal.union(near)
+
+
+def _named(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, check, component) of what ``edges`` between ids connect; of texts that share an id by accident
+    one takes part."""
+    checks = docs.select(*text_key()).groupBy("id").agg(F.min("check").alias("check"))
+    return connected_components(edges).withColumnRenamed("node", "id").join(checks, "id").select("id", "check", "component")
+
+
 def dedup_stage(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row for each component: that of the smallest doc_id.
+    """``docs`` with one row for each component of linked fingerprints.
 
-    Rows that repeat that doc_id are copies too: of them one stays. Rows with a null doc_id can't
-    be told apart: one of them stays if some component has no row with an id.
+    See ``keep_one`` for which row stays. Unrelated texts stay even if they share a doc_id or have none.
+    An empty table gives an empty one; other columns stay, whatever their names.
     """
-    found = simhash_components(docs, radius=radius)
-    keep = found.select(F.col("component_id").alias("keep_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return keep_one(docs, _named(docs, _same_fingerprints(docs, radius)))
 
 
 #: Words of a shingle where near copies of documents are told by Jaccard similarity.
 NEAR_SHINGLE = 5
+#: Texts of so few shingles may share one key only.
+ALONE_WORDS = 60
 
 
 def word_shingles(text: Column) -> Column:
     """All different runs of NEAR_SHINGLE words, as hashes; fewer words are one run."""
-    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda words: F.array_distinct(runs(words, NEAR_SHINGLE)))
+
+    def runs(words: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(words) - NEAR_SHINGLE, F.lit(0)))
+        return F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(NEAR_SHINGLE)]))
+
+    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda words: F.array_distinct(runs(words)))
+
+
+def placed_shingles(texts: DataFrame) -> DataFrame:
+    """(id, p, hash): a row for each of the p word shingles of each (id, line)."""
+    words = texts.select("id", F.regexp_extract_all("line", F.lit(WORD), F.lit(0)).alias("words"))
+    counted = words.select("id", "words", F.greatest(F.size("words") - (NEAR_SHINGLE - 1), F.lit(1)).alias("p"))
+    placed = counted.select("id", "p", "words", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("at"))
+    return placed.select("id", "p", F.xxhash64(*[F.get("words", F.col("at") + j) for j in range(NEAR_SHINGLE)]).alias("hash"))
 
 
 def near_copies_stage(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row for each group of near copies: that of the smallest doc_id.
+    """``docs`` with one row for each group of near copies (see ``keep_one`` for which).
 
     Two texts are linked if their word shingles have a Jaccard similarity of 0.8 at least (candidates
-    come from MinHash bands, each is verified) or if their fingerprints are within ``radius``. Nulls
-    and repeated rows are treated as in ``dedup_stage``.
+    come from MinHash signatures over all shingles, each is verified) or if their fingerprints are within
+    ``radius``. Null and empty texts, and texts of white space, are copies of each other. Unrelated texts
+    stay even if they share a doc_id or have none. An empty table gives an empty one; other columns stay,
+    whatever their names.
     """
-    line = F.coalesce(F.col("text"), F.lit(""))
-    units = docs.select(F.xxhash64(line).alias("id"), line.alias("line"))
-    keys = written(units.select("id", let(let(word_shingles(F.col("line")), lambda s: lowest(s, KEPT)), bands).alias("keys")), "near_keys")
-    near = written(fuzzy_components(keys, units, word_shingles), "near")
-    fps = written(fingerprints(units, "id", "line").distinct(), "near_fps")
-    node = lambda c: F.xxhash64(F.lit(3), F.col(c))
-    alike = links(fps.select("fp").distinct(), radius).select(node("a").alias("a"), node("b").alias("b"))
-    parts = connected_components(near.select("id", "component").union(fps.select("doc_id", node("fp"))).union(alike)).withColumnRenamed("node", "id")
-    first = docs.groupBy(F.xxhash64(line).alias("id")).agg(F.min("doc_id").alias("first"))
-    keep = parts.join(first, "id").groupBy("component").agg(F.min("first").alias("keep_id")).select("keep_id").distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    line = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("line")
+    units = docs.select(line).select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("check"), "line")
+    keys = placed_shingles(units).where(below(F.col("hash"), F.col("p"))).select("id", F.col("hash").alias("key"), (F.col("p") <= ALONE_WORDS).alias("alone"))
+    found = lambda ids, count: filtered(units, "id", ids, count).join(ids, "id", "left_semi")
+    near = written(fuzzy_components(written(keys, "near_keys"), found, word_shingles, lambda texts: sketched(placed_shingles(texts))), "near")
+    return keep_one(docs, _named(docs, near.select("id", "component").union(_same_fingerprints(docs, radius))))
 
 
 def brute_force(fps: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
