@@ -190,8 +190,13 @@ def test_csv_headers_dates_and_faults(spark, tmp_path):
         (tmp_path / "a.csv").write_text(text)
         return records.read_daily_csv(spark, str(tmp_path / "a.csv"), "x", "csv", **more).collect()
 
-    got = read(" Time ,CLOSE,Open,high,LOW,vol\n2024-01-02,2,1,3,0.5,0\n02/01/2024,2,1,3,0.5,7\n2024/01/03,2,1,3,0.5,\n")
-    assert [r.volume for r in got] == [None, 7.0, None] and got[0].open_time_ns == got[1].open_time_ns
+    got = read(" Time ,CLOSE,Open,high,LOW,vol\n2024-01-02,2,1,3,0.5,0\n03/01/2024,2,1,3,0.5,7\n2024/01/04,2,1,3,0.5,\n")
+    assert [r.volume for r in got] == [None, 7.0, None] and [r.open_time_ns - got[0].open_time_ns for r in got] == [0, DAY, 2 * DAY]
+    for second in ("2024-01-02", "2023-12-31"):
+        with pytest.raises(Exception, match="repeated or go back"):
+            read(f"date,open,high,low,close\n2024-01-02,1,2,0,1\n{second},1,2,0,1\n")
+    with pytest.raises(Exception, match="malformed"):
+        read("date,open,high,low,close\n2024-01-02,1,0,2,1\n")
     assert len(read("date,open,high,low,close\n2024-01-02,1,0,2,1\n2024-01-03,1,2,0,1\n", drop_malformed=True)) == 1
     with pytest.raises(ValueError, match="close"):
         read("date,open,high,low\n2024-01-02,1,2,0\n")

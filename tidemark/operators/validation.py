@@ -77,3 +77,20 @@ def request_problem(request: dict, supported: tuple[str, ...] = ("D1", "W1")) ->
     if request.get("mode") == "LIVE_PREVIEW":
         return "PREVIEW_NOT_ALLOWED"
     return None
+
+
+def request_problems(timeframes: Column, overrides: Column, mode: Column, supported: tuple[str, ...] = ("D1", "W1")) -> Column:
+    """``request_problem`` for a table of requests; null where a request is served."""
+    frames = F.coalesce(timeframes, F.array().cast("array<string>"))
+    known = F.array(*map(F.lit, supported))
+    return F.when(F.size(F.array_distinct(frames)) != F.size(frames), "DUPLICATE_TIMEFRAME").when(F.exists(frames, lambda f: ~F.array_contains(known, f)), "UNSUPPORTED_TIMEFRAME").when(F.size(overrides) > 0, "OVERRIDES_NOT_ALLOWED").when(mode == "LIVE_PREVIEW", "PREVIEW_NOT_ALLOWED")
+
+
+def readiness(profiles: DataFrame, corpus: DataFrame) -> DataFrame:
+    """For each profile (instrument_id, timeframe, loaded, valid) whether it can be served, and why not.
+
+    ``corpus``: instrument_id and status of each audited file; a rejected or missing file is not served.
+    """
+    both = profiles.join(corpus.select("instrument_id", F.col("status").alias("corpus_status")), "instrument_id", "left")
+    why = F.when(~F.coalesce("loaded", F.lit(False)), "PROFILE_MISSING").when(~F.coalesce("valid", F.lit(False)), "PROFILE_INVALID").when(F.col("corpus_status").isNull(), "CORPUS_MISSING").when(F.col("corpus_status") == "REJECTED", "CORPUS_REJECTED").otherwise("READY")
+    return both.select("instrument_id", "timeframe", why.alias("readiness"))

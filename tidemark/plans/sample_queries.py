@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canonical, catalogue
-from ..operators import audits, calibrate, scoring
+from ..operators import audits, calibrate, resample, scoring, validation
 from ..operators import samples as S
 from ..session import shared_path, ship
 from ..sources import bars as B
 from ..sources import records
+from . import bar_queries
 from . import sql as Q
 
 K, LEAST = 10, 3
@@ -232,12 +233,65 @@ def nearest_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One series written as CSV with odd headers, read back as bars."""
+    """Every order series written as CSV with odd headers, a file each, and read back as bars."""
     path = shared_path(spark, "csv")
-    bars = B.order_bars(spark, sf_dir).where("instrument_id = '5-LOW'")
-    text = bars.select(catalogue.day_text(F.col("open_time_ns")).alias("Date"), F.col("close").alias("CLOSE"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), (F.col("trade_count") - 1).alias("Vol"))
-    text.write.csv(path, header=True)
-    return records.read_daily_csv(spark, path, "5-LOW", "csv").select("instrument_id", "open_time_ns", "close_time_ns", "open", "high", "low", "close", "volume")
+    bars = B.order_bars(spark, sf_dir)
+    text = bars.select("instrument_id", "open_time_ns", catalogue.day_text(F.col("open_time_ns")).alias("Date"), F.col("close").alias("CLOSE"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), (F.col("trade_count") - 1).alias("Vol"))
+    text.repartition("instrument_id").sortWithinPartitions("instrument_id", "open_time_ns").drop("open_time_ns").write.partitionBy("instrument_id").csv(path, header=True)
+    out = None
+    for name in sorted(r.instrument_id for r in bars.select("instrument_id").distinct().collect()):  # five priorities
+        part = records.read_daily_csv(spark, f"{path}/instrument_id={name}", name, "csv")
+        out = part if out is None else out.unionByName(part)
+    return out.select("instrument_id", "open_time_ns", "close_time_ns", "open", "high", "low", "close", "volume")
+
+
+def kernel_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel input written as CSV, blank where a control does not apply, and read back."""
+    path = shared_path(spark, "kernel")
+    k = F.col("c_custkey")
+    rows = B.read(spark, sf_dir, "customer").select((k * 1_000_000_000).alias("timestamp_ns"), F.col("c_acctbal").cast("double").alias("omega"), F.when(k % 3 != 0, F.col("c_acctbal") / 2).alias("expected"), F.when(k % 4 == 0, k * 0.5).alias("u_lambda"), F.when(k % 5 != 0, k % 2 == 0).alias("sigma_op"))
+    rows.write.csv(path, header=True)
+    return records.read_kernel_csv(spark, path).withColumn("sigma_op", F.col("sigma_op").cast("string"))
+
+
+def document_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests appended twice to a log of JSON lines, and read back."""
+    path = shared_path(spark, "log")
+    rows = B.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"))
+    for _ in range(2):
+        records.write_documents(rows, path, "append")
+    return spark.read.schema("key long, name string").json(path).groupBy("key", "name").agg(F.count("*").alias("entries"))
+
+
+def source_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which source serves each of a table of requests."""
+    k = F.col("c_custkey")
+    asked = F.when(k % 4 == 0, "SUPPLIED_CORPUS").otherwise("AUTO")
+    rows = B.read(spark, sf_dir, "customer").select("c_custkey", records.chosen_source(asked, F.when(k % 7 != 0, k % 3 == 0), k % 5 != 0).alias("s"))
+    return rows.select("c_custkey", "s.source", "s.status")
+
+
+def request_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with each of a table of requests."""
+    k = F.col("c_custkey")
+    frames = F.filter(F.array(F.lit("D1"), F.when(k % 2 == 0, "W1"), F.when(k % 7 == 0, "D1"), F.when(k % 11 == 0, "H1")), lambda f: f.isNotNull())
+    problem = validation.request_problems(frames, F.when(k % 13 == 0, F.array(F.lit("k"))), F.when(k % 17 == 0, "LIVE_PREVIEW").otherwise("HISTORICAL"))
+    return B.read(spark, sf_dir, "customer").select(F.coalesce(problem, F.lit("SERVED")).alias("problem")).groupBy("problem").agg(F.count("*").alias("requests"))
+
+
+def profile_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which profiles can be served, given their state and the audit of their corpus."""
+    k = F.col("n_nationkey")
+    nations = B.read(spark, sf_dir, "nation")
+    profiles = nations.select(F.col("n_name").alias("instrument_id"), F.explode(F.array(F.lit("D1"), F.lit("W1"))).alias("timeframe"), (k % 5 != 0).alias("loaded"), F.when(k % 7 != 3, k % 4 != 1).alias("valid"))
+    corpus = nations.where("n_nationkey % 6 <> 2").select(F.col("n_name").alias("instrument_id"), F.when(k % 3 == 0, "REJECTED").otherwise("ACCEPTED").alias("status"))
+    return validation.readiness(profiles, corpus)
+
+
+def weekly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars made once from daily ones, and left alone the second time."""
+    once = resample.closed_weekly_once(B.lineitem_bars(spark, sf_dir), "D1")
+    return resample.closed_weekly_once(once, "W1").groupBy("instrument_id").agg(F.count("*").alias("weeks"), F.round(F.sum("close"), 4).alias("closes"))
 
 
 def scalar_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +324,7 @@ def signal_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("instrument_id", status.alias("status"), "watermark_ns", doc.alias("document"), F.concat(F.lit("sha256:"), F.sha2(doc, 256)).alias("response_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (normalization_fit, normalized_samples, knn_neighbours, temporal_neighbours, kth_distances, knn_votes, weighted_horizons, knn_reliability, knn_recall, knn_scores, confusion_matrix, publication_gates, compactness, compactness_causal, class_geometry, neighbour_anatomy, dimension_availability, medians, price_quantiles, correlations, optional_means, residual_slopes, corrected_forecasts, basis_points, calibrated_model, parsed_dates, resolved_names, klines_json, aggregates_json, session_json, nearest_contracts, daily_csv, scalar_fields, day_texts, canonical_digests, signal_responses)}
+QUERIES = {f.__name__: f for f in (normalization_fit, normalized_samples, knn_neighbours, temporal_neighbours, kth_distances, knn_votes, weighted_horizons, knn_reliability, knn_recall, knn_scores, confusion_matrix, publication_gates, compactness, compactness_causal, class_geometry, neighbour_anatomy, dimension_availability, medians, price_quantiles, correlations, optional_means, residual_slopes, corrected_forecasts, basis_points, calibrated_model, parsed_dates, resolved_names, klines_json, aggregates_json, session_json, nearest_contracts, daily_csv, kernel_csv, document_log, source_choices, request_problems, profile_readiness, weekly_once, scalar_fields, day_texts, canonical_digests, signal_responses)}
 
 _CELLS = ", ".join(f"CASE WHEN vec_id % 7 = 0 THEN NULL ELSE CAST(embedding[{i + 1}] AS DOUBLE) END" if i == 3 else f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(DIMS))
 SAMPLES = f"""sm AS (SELECT vec_id AS sample_id, [{_CELLS}] AS v, ['UP', 'RANGE', 'DOWN'][label % 3 + 1] AS direction, CAST(vec_id % 10 + 1 AS INTEGER) AS fp FROM embeddings),
@@ -323,6 +377,8 @@ def _slope_cte(src: str, name: str, clamp: bool) -> str:
 
 _P = lambda c: f"greatest(least({c}_bp / 10000.0 + z * slope_{c}, 1.0), 0.0)"
 
+WEEKLY_ONCE = f"SELECT instrument_id, count(*) AS weeks, round(sum(close), 4) AS closes FROM ({bar_queries.ORACLE['weekly_bars']}) GROUP BY 1"
+
 ORACLE = {
     "normalization_fit": f"WITH {SAMPLES} SELECT CAST(axis AS INTEGER) AS axis, round(med, 10) AS median, round(scale, 10) AS scale, eff AS effective FROM nm",
     "normalized_samples": f"WITH {SCALED} SELECT sample_id, mask_key, {', '.join(f'round(v[{i + 1}], 8) AS x{i}' for i in range(DIMS))} FROM sc",
@@ -367,7 +423,15 @@ SELECT name, CASE WHEN i IS NULL THEN 'UNSUPPORTED' ELSE 'FOUND' END AS status,
     "aggregates_json": f"WITH {Q.ORDER_BARS} SELECT instrument_id, open_time_ns, close_time_ns - 1 AS close_time_ns, open, high, low, close, CASE WHEN trade_count >= 3 THEN trade_count - 3.0::DOUBLE END AS volume, trade_count FROM bars",
     "session_json": f"WITH {Q.ORDER_BARS} SELECT instrument_id, open_time_ns, close_time_ns - 1 AS close_time_ns, open, high, low, close, CAST(trade_count AS DOUBLE) AS volume FROM bars WHERE open_time_ns < {10_000 * Q.DAY}",
     "nearest_contracts": "WITH p AS (SELECT p_brand, p_name AS ticker, p_size - 10 AS days FROM part), c AS (SELECT p_brand, coalesce(min({'d': days, 't': ticker}) FILTER (days >= 20), min({'d': days, 't': ticker}) FILTER (days >= 0)) AS c FROM p GROUP BY 1) SELECT p_brand, c.t AS ticker, c.d AS days FROM c",
-    "daily_csv": f"WITH {Q.ORDER_BARS} SELECT instrument_id, open_time_ns, close_time_ns, open, high, low, close, CASE WHEN trade_count > 1 THEN CAST(trade_count - 1 AS DOUBLE) END AS volume FROM bars WHERE instrument_id = '5-LOW'",
+    "daily_csv": f"WITH {Q.ORDER_BARS} SELECT instrument_id, open_time_ns, close_time_ns, open, high, low, close, CASE WHEN trade_count > 1 THEN CAST(trade_count - 1 AS DOUBLE) END AS volume FROM bars",
+    "kernel_csv": "SELECT c_custkey * 1000000000 AS timestamp_ns, CAST(c_acctbal AS DOUBLE) AS omega, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal / 2 END AS expected, CASE WHEN c_custkey % 4 = 0 THEN c_custkey * 0.5::DOUBLE END AS u_lambda, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey % 2 = 0 AS VARCHAR) END AS sigma_op FROM customer",
+    "document_log": "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name, 2 AS entries FROM nation",
+    "source_choices": """WITH r AS (SELECT c_custkey, c_custkey % 4 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 3 = 0 AS live, c_custkey % 5 <> 0 AS corpus FROM customer)
+SELECT c_custkey, CASE WHEN live THEN 'LIVE' WHEN corpus THEN 'CORPUS' ELSE 'NONE' END AS source, CASE WHEN live THEN 'OK' WHEN corpus THEN 'STALE_DATA' ELSE 'UNAVAILABLE' END AS status FROM r""",
+    "request_problems": "SELECT CASE WHEN c_custkey % 7 = 0 THEN 'DUPLICATE_TIMEFRAME' WHEN c_custkey % 11 = 0 THEN 'UNSUPPORTED_TIMEFRAME' WHEN c_custkey % 13 = 0 THEN 'OVERRIDES_NOT_ALLOWED' WHEN c_custkey % 17 = 0 THEN 'PREVIEW_NOT_ALLOWED' ELSE 'SERVED' END AS problem, count(*) AS requests FROM customer GROUP BY 1",
+    "profile_readiness": """SELECT n_name AS instrument_id, unnest(['D1', 'W1']) AS timeframe, CASE WHEN n_nationkey % 5 = 0 THEN 'PROFILE_MISSING' WHEN n_nationkey % 7 = 3 OR n_nationkey % 4 = 1 THEN 'PROFILE_INVALID'
+  WHEN n_nationkey % 6 = 2 THEN 'CORPUS_MISSING' WHEN n_nationkey % 3 = 0 THEN 'CORPUS_REJECTED' ELSE 'READY' END AS readiness FROM nation""",
+    "weekly_once": WEEKLY_ONCE,
     "scalar_fields": "WITH k AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN -3.0 WHEN 2 THEN 7.5 ELSE try_cast(props->>'$.k' AS DOUBLE) END AS x FROM events) SELECT event_id, CAST(x AS DOUBLE) AS number, CAST(CASE WHEN x >= 0 THEN x END AS DOUBLE) AS amount FROM k",
     "day_texts": f"SELECT o_orderkey, (date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 1) * {Q.DAY} AS day_end_ns, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CASE o_orderkey % 4 WHEN 0 THEN 'D1' WHEN 1 THEN 'W1' WHEN 2 THEN 'H4' END AS timeframe FROM orders",
     "canonical_digests": """SELECT n_nationkey, 'sha256:' || sha256('{"key":' || n_nationkey || ',"name":"' || n_name || '","region":' || n_regionkey || '}') AS digest FROM nation""",

@@ -5,7 +5,7 @@ Nothing here goes to a network: replies are strings in a column, read by Spark's
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,9 @@ def read_daily_csv(spark: SparkSession, path: str, instrument_id: str, source: s
     """Closed D1 bars from CSV files with a header in any order and case.
 
     The date is the first column, by place, named date, timestamp or time; volume (or vol) is
-    optional. A missing column, a date in no known format or a price that is no finite number raises.
+    optional. A missing column, a date in no known format or a price that is no finite number raises,
+    and so do a bar that breaks ``low <= open, close <= high`` (unless ``drop_malformed``) and a day that
+    does not come after the one on the line before it.
     """
     raw = spark.read.csv(path, header=True, mode="PERMISSIVE", enforceSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     place: dict[str, str] = {}
@@ -58,9 +60,12 @@ def read_daily_csv(spark: SparkSession, path: str, instrument_id: str, source: s
     day = F.when(day.isNull(), F.raise_error(F.lit("a date is in no known format")).cast("date")).otherwise(day)
     rows = raw.select((F.unix_date(day).cast("long") * DAY_NS).alias("open_time_ns"), price("open"), price("high"), price("low"), price("close"), amount.alias("volume"))
     bars = rows.select(F.lit(instrument_id).alias("instrument_id"), F.lit("D1").alias("timeframe"), "open_time_ns", (F.col("open_time_ns") + DAY_NS).alias("close_time_ns"), "open", "high", "low", "close", F.lit(True).alias("is_closed"), F.lit(source).alias("source"), "volume", F.lit(None).cast("double").alias("quote_volume"), F.lit(None).cast("long").alias("trade_count"))
-    if drop_malformed:
-        bars = bars.where("low <= high AND high >= greatest(open, close) AND low <= least(open, close)")
-    return bars
+    sound = F.expr("low <= high AND high >= greatest(open, close) AND low <= least(open, close)")
+    bars = bars.withColumn("line_number", F.monotonically_increasing_id())
+    bars = bars.where(sound) if drop_malformed else bars.withColumn("low", F.when(sound, F.col("low")).otherwise(F.raise_error(F.lit("a malformed bar"))))
+    before = F.lag("open_time_ns").over(Window.partitionBy("instrument_id").orderBy("line_number"))  # one series
+    later = F.coalesce(F.col("open_time_ns") > before, F.lit(True))
+    return bars.withColumn("open_time_ns", F.when(later, F.col("open_time_ns")).otherwise(F.raise_error(F.lit("days are repeated or go back")).cast("long"))).drop("line_number")
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -128,6 +133,14 @@ def write_documents(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).json(path)
 
 
+def chosen_source(requested: Column, live_ready: Column, corpus_ready: Column) -> Column:
+    """``choose_source`` for a table of requests: a struct of source and status. A null flag is not ready."""
+    live = (requested != "SUPPLIED_CORPUS") & F.coalesce(live_ready, F.lit(False))
+    corpus = F.coalesce(corpus_ready, F.lit(False))
+    pick = lambda a, b, c: F.when(live, a).when(corpus, b).otherwise(c)
+    return F.struct(pick("LIVE", "CORPUS", "NONE").alias("source"), pick("OK", "STALE_DATA", "UNAVAILABLE").alias("status"))
+
+
 def choose_source(requested: str, live_ready: bool, corpus_ready: bool) -> tuple[str, str]:
     """(source, status): live where asked for and ready, else the corpus, marked stale on fallback."""
     if requested == "SUPPLIED_CORPUS":
