@@ -256,19 +256,19 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, tables: int = TAB
     asked = good.where(F.col("vec_id") % every == 0).select("vec_id", F.xxhash64(plus).alias("hash"), F.xxhash64(F.lit(1), plus).alias("check")).distinct().join(distinct.select("hash", "check", "vid"), ["hash", "check"]).select(F.col("vec_id").alias("query_id"), F.col("vid").alias("qid"))
     asked = written(asked, "asked")
     queries = written(asked.select("qid").distinct().join(distinct.select(F.col("vid").alias("qid"), "v"), "qid"), "queries")
-    found = None
-    for rows in _blocks(queries, BLOCK):
-        part = _search(indexed, rows, hashes, probes, d, k + 1)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    # Each block's answers are written before the next block's vectors and buckets come to the driver.
+    paths = [written(_search(indexed, rows, hashes, probes, d, k + 1), "found").scratch_path for rows in _blocks(queries, BLOCK)]
+    if not paths:
         return spark.createDataFrame([], schema)
+    found = spark.read.schema(MEASURED).parquet(*paths)
     top = written(_best(found, k + 1), "top")
     # Who has met fewer than k + 1 ids (one may be the query's own) is searched exactly.
     held = top.select("qid", F.explode("cs").alias("c")).select("qid", F.col("c.vid").alias("vid")).join(distinct.select("vid", F.size("ids").alias("n")), "vid").groupBy("qid").agg(F.sum("n").alias("n"))
     short = written(queries.join(held.where(F.col("n") > k), "qid", "left_anti"), "short")
     everything = top.join(short.select("qid"), "qid", "left_anti")
-    for rows in _blocks(short, BLOCK):
-        everything = everything.unionByName(_best(_search(indexed, rows, None, 0, d, k + 1), k + 1))
+    exact = [written(_search(indexed, rows, None, 0, d, k + 1), "exact").scratch_path for rows in _blocks(short, BLOCK)]
+    if exact:
+        everything = everything.unionByName(_best(spark.read.schema(MEASURED).parquet(*exact), k + 1))
     chosen = everything.select("qid", F.explode("cs").alias("c")).select("qid", F.col("c.score").alias("score"), F.col("c.vid").alias("vid")).join(distinct.select("vid", "ids"), "vid")
     from pyspark.sql import Window
 

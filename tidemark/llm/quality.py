@@ -35,6 +35,9 @@ FEATURES = {
 #: Most labelled rows that a list is learned from; those with the smallest hash of doc_id.
 FIT_ROWS = 10_000
 
+#: Most thresholds of one statistic that a step of growing a rule tries; they are spread evenly over all.
+CUTS = 128
+
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words inside windows that occur twice or more in ``words``, first occurrences included."""
@@ -114,7 +117,7 @@ def _cuts(v: np.ndarray) -> np.ndarray:
     if len(u) < 2:
         return u[:0]
     mid = (u[1:] + u[:-1]) / 2
-    return mid if len(mid) <= 128 else mid[np.linspace(0, len(mid) - 1, 128).astype(int)]
+    return mid if len(mid) <= CUTS else mid[np.linspace(0, len(mid) - 1, CUTS).astype(int)]
 
 
 def _grow(x: dict[str, np.ndarray], y: np.ndarray, longest: int) -> list[Test]:

@@ -241,7 +241,9 @@ class TokenArchive:
                 yield block()
 
         n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        ordered = tokens.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+        # A number beside it, so that rows of one doc_id can be dealt to several tasks too.
+        numbered = tokens.withColumn("row_number", F.monotonically_increasing_id())
+        ordered = numbered.repartitionByRange(n, "doc_id", "row_number").sortWithinPartitions("doc_id", "row_number")
         ordered.select("doc_id", "ids").mapInArrow(run, "shard long, before long, n_ids long, block binary").write.option("compression", "uncompressed").parquet(f"{self.path}/blocks")
 
     def read(self, width: str = "<u4", digest: bool = False) -> DataFrame:
