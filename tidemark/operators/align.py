@@ -77,8 +77,8 @@ def greedy_band(left: DataFrame, right: DataFrame, keys: list[str], most_ns: int
                 j += 1
         return pd.DataFrame(pairs, columns=[*keys, "left_ns", "right_ns"])
 
-    cols = [*keys, "timestamp_ns"]
-    return left.select(cols).groupBy(*keys).cogroup(right.select(cols).groupBy(*keys)).applyInPandas(run, schema)
+    cols = lambda df: df.select(*[F.col(c).alias(c) for c in (*keys, "timestamp_ns")])  # noqa: E731  new names, as both may come from one table
+    return cols(left).groupBy(*keys).cogroup(cols(right).groupBy(*keys)).applyInPandas(run, schema)
 
 
 def exact_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

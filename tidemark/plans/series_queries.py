@@ -97,23 +97,34 @@ def prior_week_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.prior_week(_frames(bars), _frames(resample.weekly(bars)), "close")
 
 
+def _sides(bars: DataFrame, both_ways: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``bars`` as left and as right sides of every pair of different series.
+
+    The names of the series, a row each, are broadcast; each row comes once for each other series.
+    """
+    names = F.broadcast(bars.select(F.col("instrument_id").alias("name")).distinct())
+    mine = bars.join(names, F.col("instrument_id") != F.col("name") if both_ways else F.col("instrument_id") < F.col("name"))
+    other = bars.join(names, F.col("instrument_id") != F.col("name") if both_ways else F.col("instrument_id") > F.col("name"))
+    return mine.withColumn("pair", F.concat_ws("~", "instrument_id", "name")), other.withColumn("pair", F.concat_ws("~", "name", "instrument_id"))
+
+
 def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each hourly bar of one event type with the last earlier value of any bar of another."""
-    bars = _frames(B.event_bars(spark, sf_dir))
-    left, right = bars.where("instrument_id = 'click'").withColumn("k", F.lit(1)), bars.where("instrument_id = 'view'").withColumn("k", F.lit(1))
-    return align.asof(left, right, ["k"], "timestamp_ns", "close", True, 6 * Q.HOUR).select("timestamp_ns", F.col("close_at").alias("view_at"), F.col("close").alias("view_close"))
+    """Each hourly bar of an event type with the last earlier value of any bar of each other type."""
+    left, right = _sides(_frames(B.event_bars(spark, sf_dir)), True)
+    return align.asof(left, right, ["pair"], "timestamp_ns", "close", True, 6 * Q.HOUR).select("pair", "timestamp_ns", F.col("close_at").alias("other_at"), F.col("close").alias("other_close"))
 
 
 def exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = _frames(B.order_bars(spark, sf_dir))
-    low, high = bars.where("instrument_id = '5-LOW'").select("timeframe", "timestamp_ns"), bars.where("instrument_id = '1-URGENT'").select("timeframe", "timestamp_ns")
-    return align.exact_pairs(low, high, ["timeframe"])
+    """The times that each pair of order series has in common."""
+    left, right = _sides(_frames(B.order_bars(spark, sf_dir)), False)
+    return align.exact_pairs(left, right, ["pair"])
 
 
 def greedy_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of each pair of order series paired in order, at most a day apart."""
     ship(spark)
-    bars = _frames(B.order_bars(spark, sf_dir))
-    return align.greedy_band(bars.where("instrument_id = '5-LOW'").select("timeframe", "timestamp_ns"), bars.where("instrument_id = '1-URGENT'").select("timeframe", "timestamp_ns"), ["timeframe"], Q.DAY)
+    left, right = _sides(_frames(B.order_bars(spark, sf_dir)), False)
+    return align.greedy_band(left, right, ["pair"], Q.DAY)
 
 
 def union_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,10 +427,15 @@ SELECT instrument_id, close_time_ns, first_passage_bars, round(list_max(h) / clo
 wl AS (SELECT instrument_id, wn, max(pt) AS pt, arg_max(pc, pt) AS pc FROM wk GROUP BY 1, 2),
 d AS (SELECT {Q.SERIES}, close_time_ns AS timestamp_ns, {WEEK_OF.format('close_time_ns')} AS week_ns FROM bars)
 SELECT d.instrument_id, d.timeframe, d.timestamp_ns, pt AS prior_timestamp_ns, pc AS prior_value FROM d ASOF LEFT JOIN wl ON d.instrument_id = wl.instrument_id AND d.week_ns > wl.wn""",
-    "asof_events": f"""WITH {Q.EVENT_BARS}, c AS (SELECT close_time_ns AS timestamp_ns FROM bars WHERE instrument_id = 'click'), v AS (SELECT close_time_ns AS seen, close FROM bars WHERE instrument_id = 'view'),
-j AS (SELECT timestamp_ns, seen, close FROM c ASOF LEFT JOIN v ON c.timestamp_ns > v.seen)
-SELECT timestamp_ns, CASE WHEN timestamp_ns - seen <= {6 * Q.HOUR} THEN seen END AS view_at, CASE WHEN timestamp_ns - seen <= {6 * Q.HOUR} THEN close END AS view_close FROM j""",
-    "exact_pairs": f"WITH {Q.ORDER_BARS} SELECT a.timeframe, a.close_time_ns AS timestamp_ns FROM bars a JOIN bars b USING (timeframe, close_time_ns) WHERE a.instrument_id = '5-LOW' AND b.instrument_id = '1-URGENT'",
+    "asof_events": f"""WITH {Q.EVENT_BARS}, b AS (SELECT instrument_id, close_time_ns AS t, close FROM bars), l AS (SELECT b.instrument_id || '~' || o.instrument_id AS pair, t FROM b JOIN (SELECT DISTINCT instrument_id FROM b) o ON o.instrument_id <> b.instrument_id),
+v AS (SELECT o.instrument_id || '~' || b.instrument_id AS pair, t AS seen, close FROM b JOIN (SELECT DISTINCT instrument_id FROM b) o ON o.instrument_id <> b.instrument_id), j AS (SELECT l.pair, l.t AS timestamp_ns, seen, close FROM l ASOF LEFT JOIN v ON l.pair = v.pair AND l.t > v.seen)
+SELECT pair, timestamp_ns, CASE WHEN timestamp_ns - seen <= {6 * Q.HOUR} THEN seen END AS other_at, CASE WHEN timestamp_ns - seen <= {6 * Q.HOUR} THEN close END AS other_close FROM j""",
+    "exact_pairs": f"WITH {Q.ORDER_BARS} SELECT a.instrument_id || '~' || b.instrument_id AS pair, a.close_time_ns AS timestamp_ns FROM bars a JOIN bars b USING (close_time_ns) WHERE a.instrument_id < b.instrument_id",
+    "greedy_band": f"""WITH RECURSIVE {Q.ORDER_BARS}, n AS MATERIALIZED (SELECT instrument_id, close_time_ns AS t, row_number() OVER (PARTITION BY instrument_id ORDER BY close_time_ns) AS k FROM bars),
+i AS (SELECT DISTINCT instrument_id AS id FROM n), g AS (SELECT a.id AS one, b.id AS other, 1::BIGINT AS i, 1::BIGINT AS j, NULL::BIGINT AS l, NULL::BIGINT AS r FROM i a JOIN i b ON a.id < b.id
+UNION ALL SELECT one, other, CASE WHEN abs(x.t - y.t) <= {Q.DAY} OR x.t < y.t THEN i + 1 ELSE i END, CASE WHEN abs(x.t - y.t) <= {Q.DAY} OR x.t > y.t THEN j + 1 ELSE j END,
+  CASE WHEN abs(x.t - y.t) <= {Q.DAY} THEN x.t END, CASE WHEN abs(x.t - y.t) <= {Q.DAY} THEN y.t END FROM g JOIN n x ON x.instrument_id = one AND x.k = i JOIN n y ON y.instrument_id = other AND y.k = j)
+SELECT one || '~' || other AS pair, l AS left_ns, r AS right_ns FROM g WHERE l IS NOT NULL""",
     "union_pool": f"WITH {Q.ORDER_BARS} SELECT {Q.SERIES}, close_time_ns AS timestamp_ns, close FROM bars",
     "appended_series": f"WITH {Q.ORDER_BARS} SELECT {Q.SERIES}, count(*) AS bars, max(close_time_ns) AS last_ns FROM bars GROUP BY ALL",
     "complete_cases": f"WITH {LABELS}, n AS (SELECT {Q.SERIES}, close_time_ns, row_number() OVER ({Q.BY}) AS k FROM bars) SELECT n.instrument_id, n.timeframe, close_time_ns AS timestamp_ns FROM n JOIN lab USING (instrument_id, timeframe, close_time_ns) WHERE direction <> 'CENSORED' AND k > 9",
