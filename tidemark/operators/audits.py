@@ -19,9 +19,11 @@ def distance_stats(rows: DataFrame, group: list[str], value: str) -> DataFrame:
 
 def upper_median(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     """The upper middle of whole numbers: the element at n div 2 in order."""
-    by = Window.partitionBy(*group).orderBy(value)
-    numbered = rows.where(F.col(value).isNotNull()).select(*group, value, F.row_number().over(by).alias("i"), F.count("*").over(Window.partitionBy(*group)).alias("n"))
-    return numbered.where(F.col("i") == F.floor(F.col("n") / 2) + 1).select(*group, F.col(value).alias("upper_median"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("here"))  # a row for each different value
+    by = Window.partitionBy(*group)
+    upto = counts.select(*group, value, "here", F.sum("here").over(by.orderBy(value)).alias("upto"), F.sum("here").over(by).alias("n"))
+    place = F.floor(F.col("n") / 2) + 1
+    return upto.where((F.col("upto") >= place) & (F.col("upto") - F.col("here") < place)).select(*group, F.col(value).alias("upper_median"))
 
 
 def guarded_corr(x: str, y: str) -> Column:
@@ -52,11 +54,12 @@ def compactness(pairs: DataFrame, ks: tuple[int, ...] = (5, 10, 20), causal: boo
 
     With ``causal`` only earlier samples count.
     """
-    rows = pairs.where("sample_id < query_id") if causal else pairs
+    rows = (pairs.where("sample_id < query_id") if causal else pairs).withColumn("same", F.col("query_direction") == F.col("direction"))
+    nearest = rows.groupBy("query_id").agg(F.min(F.when(F.col("same"), F.col("distance"))).alias("nearest_same"), F.min(F.when(~F.col("same"), F.col("distance"))).alias("nearest_other"))
     by = Window.partitionBy("query_id").orderBy("distance", "sample_id")
-    ranked = rows.withColumns({"rank": F.row_number().over(by), "same": F.col("query_direction") == F.col("direction")})
+    ranked = rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= max(ks))  # each task passes on so many rows of a query
     share = [F.try_divide(F.count_if(F.col("same") & (F.col("rank") <= k)), F.count_if(F.col("rank") <= k)).alias(f"same_share_{k}") for k in ks]
-    return ranked.groupBy("query_id").agg(F.min(F.when(F.col("same"), F.col("distance"))).alias("nearest_same"), F.min(F.when(~F.col("same"), F.col("distance"))).alias("nearest_other"), *share)
+    return nearest.join(ranked.groupBy("query_id").agg(*share), "query_id")
 
 
 def class_geometry(pairs: DataFrame) -> DataFrame:
