@@ -130,7 +130,7 @@ def kernel(spark, n=80):
 def test_the_stack_is_causal_and_repeats_itself(spark):
     whole = structure.stack(kernel(spark)).orderBy("timestamp_ns").collect()
     part = structure.stack(kernel(spark, 60)).orderBy("timestamp_ns").collect()
-    assert part == whole[:60] and len(whole[0]["values"]) == 12
+    assert part == whole[:60] and len(whole[0]["values"]) == 14
     memory = structure.exponential_memory(kernel(spark), "delta").orderBy("timestamp_ns").collect()
     assert memory[0].prior_memory is None and all(b.prior_memory == a.memory for a, b in zip(memory, memory[1:], strict=False))
 
