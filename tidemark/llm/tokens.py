@@ -3,7 +3,7 @@
 A text is cut only where the tokenizer itself always cuts, so that the ids of the chunks, put one
 after another, are the ids of the text. Each chunk that isn't remembered goes through the
 ``tokenizers`` library; the rest is a look-up. A text with the string of a special token goes through
-the library whole, which makes it that token.
+the library whole, which makes it that token; with ``plain`` such strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import sentencepiece
+from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
 # Unicode's White_Space characters, which the tokenizers' \s means. Python's \s has
@@ -69,10 +71,11 @@ class _Memory(dict):
 class TextEncoder:
     """Ids of texts as little-endian bytes, ``width`` bytes ('<u2' or '<u4') an id."""
 
-    def __init__(self, name: str, width: str = "<u4"):
+    def __init__(self, name: str, width: str = "<u4", plain: bool = False):
         self.pattern = CHUNKS[KINDS[name]]
         tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.size = tokenizer.get_vocab_size()
         self.memory = _Memory(tokenizer, width, KINDS[name] == "word")
 
@@ -82,10 +85,70 @@ class TextEncoder:
         return b"".join(map(self.memory.__getitem__, self.pattern.findall(text)))
 
 
+class _Pieces(dict):
+    def __init__(self, model: sentencepiece.SentencePieceProcessor, raw: list[bytes]):
+        super().__init__()
+        self.model, self.raw = model, raw
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.model.encode(chunk)
+        same = b"".join([self.raw[i] for i in ids]) == chunk.encode("utf-8", "surrogatepass")
+        got = np.array(ids, "<u2").tobytes() if same else None
+        if len(self) < REMEMBERED // 2 and len(chunk) <= LONGEST:
+            self[chunk] = got
+        return got
+
+
+class PieceEncoder:
+    """Ids (``<u2``) of a sentencepiece BPE model with byte fallback, for texts with the leading space
+    that the model adds; None if the bytes of the pieces, joined, aren't those of the text.
+
+    Pieces have white space in front only, or are white space, and none has a letter of LATIN before
+    a full stop, comma or line feed, or a line feed beside anything; a text is cut there. A vocabulary that
+    breaks this is applied to whole texts.
+    """
+
+    CHUNKS = re.compile(f" *[{LATIN}]+(?=[ \\n.,]|\\Z)|\\n| *[^ \\n]+| +")
+    CROSSING = re.compile(f"[^ ] |\\n.|.\\n|[{LATIN}][.,]", re.S)
+
+    def __init__(self, name: str):
+        with open(public_tokenizers.path(name), "rb") as f:
+            spec = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+        spec.normalizer_spec.add_dummy_prefix = False
+        model = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
+        normal = spec.pieces[0].NORMAL
+        self.raw = [bytes([int(p.piece[1:-1], 16)]) if p.type == p.BYTE else p.piece.replace("\u2581", " ").encode() for p in spec.pieces]
+        self.lengths = np.array([len(x) for x in self.raw], np.int64)
+        if any(p.type == normal and self.CROSSING.search(p.piece.replace("\u2581", " ")) for p in spec.pieces):
+            self.CHUNKS = re.compile("(?s).+")
+        self.memory = _Pieces(model, self.raw)
+
+    def __call__(self, text: str) -> bytes | None:
+        if "\u2581" in text:
+            return None
+        got = list(map(self.memory.__getitem__, self.CHUNKS.findall(text)))
+        return None if None in got else b"".join(got)
+
+
 @lru_cache(2)
-def encoder(name: str, width: str = "<u4") -> TextEncoder:
+def encoder(name: str, width: str = "<u4", plain: bool = False) -> TextEncoder:
     """One encoder for each Python worker."""
-    return TextEncoder(name, width)
+    return TextEncoder(name, width, plain)
+
+
+@lru_cache(1)
+def piece_encoder(name: str) -> PieceEncoder:
+    return PieceEncoder(name)
+
+
+@lru_cache(2)
+def byte_lengths(name: str) -> np.ndarray:
+    """Bytes that each id of a byte-level vocabulary stands for: a letter of an entry is a byte."""
+    vocab = Tokenizer.from_file(public_tokenizers.path(name)).get_vocab()
+    out = np.zeros(max(vocab.values()) + 1, np.int64)
+    for entry, i in vocab.items():
+        out[i] = len(entry)
+    return out
 
 
 @lru_cache(8)
