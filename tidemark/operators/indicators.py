@@ -1,125 +1,90 @@
 """Windowed indicators. Every value depends on the bar itself and earlier ones only.
 
-What is a plain trailing window is a Spark window. Recurrences (EMA, Wilder's smoothing) fold a
-series in order: they run once for each series in Arrow batches, all indicators in one pass.
+What is a plain trailing window is a Spark window. Recurrences (EMA, Wilder's smoothing) are a blocked
+scan over each series.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.bars import SERIES
+from .scan import factor, scan, smoothed
 
 #: Bars that a direction needs at least.
 LEAST_BARS = 60
 
-INDICATORS = ["ema12", "ema20", "ema26", "ema50", "macd_line", "macd_signal", "macd_histogram", "rsi14", "atr14", "adx14"]
-
-
-def _sum(x: np.ndarray) -> float:
-    """Plain left-to-right sum; sum() and np.sum() round otherwise."""
-    return float(np.cumsum(x)[-1])
-
-
-def ema(x: np.ndarray, period: int) -> np.ndarray:
-    """Exponential mean seeded by the mean of the first ``period`` values; NaN before it."""
-    out = np.full(len(x), np.nan)
-    if len(x) < period:
-        return out
-    k = 2.0 / (period + 1.0)
-    now = out[period - 1] = _sum(x[:period]) / period
-    for i, v in enumerate(x[period:].tolist(), period):
-        now = v * k + now * (1.0 - k)
-        out[i] = now
-    return out
-
-
-def wilder(x: np.ndarray, period: int, first: int) -> np.ndarray:
-    """Wilder's mean of x[first:], seeded by the plain mean of its first ``period`` values."""
-    out = np.full(len(x), np.nan)
-    seed = first + period - 1
-    if len(x) <= seed:
-        return out
-    now = out[seed] = _sum(x[first : seed + 1]) / period
-    for i, v in enumerate(x[seed + 1 :].tolist(), seed + 1):
-        now = (now * (period - 1.0) + v) / period
-        out[i] = now
-    return out
-
-
-def rsi(close: np.ndarray, period: int = 14) -> np.ndarray:
-    """100 where there was no loss, a flat series included."""
-    step = np.diff(close, prepend=close[:1])
-    gain, loss = wilder(np.maximum(step, 0.0), period, 1), wilder(np.maximum(-step, 0.0), period, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(np.isnan(loss), np.nan, np.where(loss > 0, 100.0 - 100.0 / (1.0 + gain / loss), 100.0))
-
+EMAS = (12, 20, 26, 50)
+WILDER = 14
 
-def macd(close: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line, signal and histogram (12, 26, 9). The signal starts one bar after its ninth line value:
-    its seed is the mean of the first nine, and row 34 shows the seed itself."""
-    line = ema(close, 12) - ema(close, 26)
-    signal = np.full(len(close), np.nan)
-    if len(close) > 34:
-        now = signal[34] = _sum(line[25:34]) / 9.0
-        for i, v in enumerate(line[35:].tolist(), 35):
-            now = v * 0.2 + now * 0.8
-            signal[i] = now
-    return line, signal, line - signal
+INDICATORS = ["ema12", "ema20", "ema26", "ema50", "macd_line", "macd_signal", "macd_histogram", "rsi14", "atr14", "adx14"]
 
 
-def true_range(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndarray:
-    before = np.concatenate([close[:1], close[:-1]])
-    out = np.maximum(high - low, np.maximum(np.abs(high - before), np.abs(low - before)))
-    out[:1] = 0.0
-    return out
+def _true_range(high: np.ndarray, low: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return np.maximum(high - low, np.maximum(np.abs(high - before), np.abs(low - before)))
 
 
-def adx(high: np.ndarray, low: np.ndarray, close: np.ndarray, period: int = 14) -> np.ndarray:
-    """ADX with smoothed ratios: each directional ratio 100 DM / ATR is smoothed, not DM alone.
+def _recurrences(block: dict[str, np.ndarray], first: int, before: dict[str, float], carries: list[np.ndarray]):
+    """The indicators of one block as a stage of ``scan``: EMAs, gains, losses and ATR first; then the
+    MACD signal and the smoothed ratios of movement to ATR; then the mean of DX.
 
-    Once ATR is 0 a ratio is NaN for good and DX is 0 from there on.
+    EMA is seeded by the mean of its first ``period`` values, Wilder's mean by that of the first 14 after
+    row 0. The signal starts one bar after its ninth line value: its seed is the mean of the first nine,
+    and row 34 shows the seed itself. RSI is 100 where there was no loss, a flat series included. Each
+    directional ratio 100 DM / ATR is smoothed, not DM alone; once ATR is 0 a ratio is NaN for good and DX
+    is 0 from there on.
     """
-    n = len(close)
-    up, down = np.diff(high, prepend=high[:1]), -np.diff(low, prepend=low[:1])
-    plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
-    atr = wilder(true_range(high, low, close), period, 1)
-    out = np.full(n, np.nan)
-    if n < 2 * period:
-        return out
-    dx = np.zeros(n)
+    h, l, c = block["high"], block["low"], block["close"]  # noqa: E741
+    n = len(c)
+    place = np.arange(first, first + n)
+    prior = {k: np.concatenate([[before[k] if first else block[k][0]], block[k][:-1]]) for k in ("high", "low", "close")}
+    move = c - prior["close"]
+    tr = np.where(place == 0, 0.0, _true_range(h, l, prior["close"]))
+    up, down = h - prior["high"], prior["low"] - l
+    inputs = [*[(c, 0, p, "ema") for p in EMAS], *[(x, 1, WILDER, "wilder") for x in (np.maximum(move, 0.0), np.maximum(-move, 0.0), tr)]]
+
+    def step(kind: str, period: int):
+        if kind == "ema":
+            k = 2.0 / (period + 1.0)
+            return lambda s, v: v * k + s * (1.0 - k)
+        return lambda s, v: (s * (period - 1.0) + v) / period
+
+    keep = lambda kind, period: 1.0 - 2.0 / (period + 1.0) if kind == "ema" else (period - 1.0) / period
+    stage = len(carries)
+    if stage == 0:
+        return {}, [(factor(n, first, b, p, keep(k, p)), float(smoothed(x, first, b, p, step(k, p), 0.0)[-1])) for x, b, p, k in inputs]
+    found = [np.where(place >= b + p - 1, smoothed(x, first, b, p, step(k, p), s), np.nan) for (x, b, p, k), s in zip(inputs, carries[0].tolist(), strict=True)]
+    emas, (gain, loss, atr) = dict(zip(EMAS, found, strict=False)), found[len(EMAS) :]
+    line = emas[12] - emas[26]
     with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.float64(100.0 * (_sum(plus[1 : period + 1]) / period)) / atr[period]
-        m = np.float64(100.0 * (_sum(minus[1 : period + 1]) / period)) / atr[period]
-        for i in range(period, n):
-            if i > period:
-                p = (p * (period - 1.0) + 100.0 * plus[i] / atr[i]) / period
-                m = (m * (period - 1.0) + 100.0 * minus[i] / atr[i]) / period
-            dx[i] = 100.0 * abs(p - m) / (p + m) if p + m > 0 else 0.0
-    seed = 2 * period - 1
-    now = out[seed] = _sum(dx[period : seed + 1]) / period
-    for i in range(seed + 1, n):
-        now = out[i] = (now * (period - 1.0) + dx[i]) / period
-    return out
+        rsi = np.where(np.isnan(loss), np.nan, np.where(loss > 0, 100.0 - 100.0 / (1.0 + gain / loss), 100.0))
+        ratios = [np.where(place <= WILDER, m, 100.0 * m / atr) for m in (np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0))]
+        at = WILDER - first  # where the ratios are seeded
+        seed = lambda s, v: float(np.float64(100.0 * ((s + v) / WILDER)) / atr[at])
+        signal_step, signal_seed = lambda s, v: v * 0.2 + s * 0.8, lambda s, v: s / 9.0
+
+        def second(signal: float, plus: float, minus: float) -> list[np.ndarray]:
+            return [smoothed(np.nan_to_num(line), first, 25, 10, signal_step, signal, signal_seed), *[smoothed(x, first, 1, WILDER, step("wilder", WILDER), s, seed) for x, s in zip(ratios, (plus, minus), strict=True)]]
+
+        if stage == 1:
+            seeded = 100.0 / WILDER / atr[at] if 0 <= at < n and atr[at] else 1.0
+            return {}, [(factor(n, first, 25, 10, 0.8, 1 / 9), float(second(0.0, 0.0, 0.0)[0][-1])), *[(factor(n, first, 1, WILDER, keep("wilder", WILDER), seeded), float(x[-1])) for x in second(0.0, 0.0, 0.0)[1:]]]
+        signal, plus, minus = second(*carries[1].tolist())
+        dx = np.where((place >= WILDER) & (plus + minus > 0), 100.0 * np.abs(plus - minus) / (plus + minus), 0.0)
+        dx = np.nan_to_num(dx)
+    if stage == 2:
+        return {}, [(factor(n, first, WILDER, WILDER, keep("wilder", WILDER)), float(smoothed(dx, first, WILDER, WILDER, step("wilder", WILDER), 0.0)[-1]))]
+    adx = np.where(place >= 2 * WILDER - 1, smoothed(dx, first, WILDER, WILDER, step("wilder", WILDER), float(carries[2][0])), np.nan)
+    signal = np.where(place >= 34, signal, np.nan)
+    return dict(zip(INDICATORS, [emas[12], emas[20], emas[26], emas[50], line, signal, line - signal, rsi, atr, adx], strict=True)), []
 
 
 def recurrences(bars: DataFrame) -> DataFrame:
-    """Each bar's close with its INDICATORS, null until they are available."""
-    schema = "instrument_id string, timeframe string, close_time_ns long, close double, " + ", ".join(f"{c} double" for c in INDICATORS)
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("close_time_ns", ignore_index=True)
-        h, l, c = (x[k].to_numpy(float) for k in ("high", "low", "close"))  # noqa: E741
-        line, signal, histogram = macd(c)
-        atr = wilder(true_range(h, l, c), 14, 1)
-        values = [ema(c, 12), ema(c, 20), ema(c, 26), ema(c, 50), line, signal, histogram, rsi(c), atr, adx(h, l, c)]
-        return pd.concat([x[["instrument_id", "timeframe", "close_time_ns", "close"]], pd.DataFrame(dict(zip(INDICATORS, values, strict=True)))], axis=1)
-
-    made = bars.select(*SERIES, "close_time_ns", "high", "low", "close").groupBy(*SERIES).applyInPandas(run, schema)
-    return made.select(*SERIES, "close_time_ns", "close", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in INDICATORS))
+    """Each bar's close with its INDICATORS, null until they are available; any length of series is spread
+    over tasks (see ``scan``)."""
+    return scan(bars, "close_time_ns", ["high", "low", "close"], _recurrences, 3, INDICATORS, ["close"])
 
 
 def bollinger(bars: DataFrame, period: int = 20, width: float = 2.0) -> DataFrame:

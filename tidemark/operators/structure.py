@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.bars import SERIES
 from . import ledger
+from .scan import LEAST_FACTOR, scan
 
 
 def by():
@@ -176,23 +177,29 @@ def observer(geometry: DataFrame) -> DataFrame:
 
 
 def exponential_memory(rows: DataFrame, value: str, tau: float = 32.0) -> DataFrame:
-    """Memory of ``value`` before and after each row; a null neither updates nor decays it."""
-    schema = "instrument_id string, timeframe string, timestamp_ns long, prior_memory double, memory double"
+    """Memory of ``value`` before and after each row; a null neither updates nor decays it.
+
+    A blocked scan of two recurrences: the memory, and whether there was a value at all.
+    """
     keep = float(np.exp(-1.0 / tau))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("timestamp_ns", ignore_index=True)
-        z, begun, before, after = 0.0, False, [], []
-        for v in g["value"].tolist():
-            before.append(z if begun else None)
-            if v is not None and not np.isnan(v):
-                z, begun = keep * z + (1.0 - keep) * v, True
-            after.append(z if begun else None)
-        return g[["instrument_id", "timeframe", "timestamp_ns"]].assign(prior_memory=before, memory=after)
-
-    made = rows.select(*SERIES, "timestamp_ns", F.col(value).alias("value")).groupBy(*SERIES).applyInPandas(run, schema)
-    null = F.lit(None).cast("double")
-    return made.withColumns({"prior_memory": F.nanvl("prior_memory", null), "memory": F.nanvl("memory", null)})
+    def stage(block: dict[str, np.ndarray], first: int, before: dict[str, float], carries: list[np.ndarray]):
+        known = ~np.isnan(block["value"])
+        if not carries:
+            z = 0.0
+            for v in block["value"][known].tolist():
+                z = keep * z + (1.0 - keep) * v
+            return {}, [(max(keep ** int(known.sum()), LEAST_FACTOR), z), (1.0, float(known.sum()))]
+        z, seen = carries[0].tolist()
+        prior, after = [], []
+        for v, k in zip(block["value"].tolist(), known.tolist(), strict=True):
+            prior.append(z if seen else np.nan)
+            if k:
+                z, seen = keep * z + (1.0 - keep) * v, True
+            after.append(z if seen else np.nan)
+        return {"prior_memory": np.array(prior), "memory": np.array(after)}, []
+
+    return scan(rows.withColumn("value", F.col(value)), "timestamp_ns", ["value"], stage, 1, ["prior_memory", "memory"])
 
 
 def weighted_mean(rows: DataFrame, value: str, window: int, decay: float) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -52,3 +53,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
         named = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(named)
     return f"{named.rstrip('/')}/bars/{name}-{uuid.uuid4().hex}"
+
+
+_stored: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends here, nothing is computed twice.
+
+    The table goes when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    _stored.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _stored:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may have ended; the folder is scratch space
+            continue
