@@ -6,15 +6,17 @@ A table is a pair of half keys, one of each collection, so that 28 half keys (84
 table with probability (1 - (1 - s^3)^14)^2: at 0.85 all but 3 in a million, at 0.2 one in a hundred.
 
 1. Texts of one set of shingles are one node (128-bit digest), whatever their number.
-2. In each half-key bucket the members are held against one hub, another one for each collection key:
-   a group of near copies comes together with work in proportion to its size.
+2. In each half-key bucket the members are held against one hub, the member that shares half keys with
+   most texts: a group of near copies of one text comes together with work in proportion to its size.
 3. What is then still apart and has both half keys in common with something else enters the tables.
    Pairs of one bucket in different components meet in blocks of ``BLOCK`` rows by ``BLOCK``; sizes and
-   MinHash agreement decide which are verified. A large bucket becomes several tasks.
+   sketches decide which are verified. A large bucket becomes several tasks.
 4. Every candidate is verified on the full sets of both texts; links are joined by union-find.
 
-``AGREE`` of 84 equal values is 5.9 standard deviations below what a pair at 0.85 has (about one such
-pair in ten million falls below it).
+A sketch has one byte of the smallest hash in each of 256 parts of the hash range. Equal bytes among the
+parts that either set occupies estimate the similarity; a pair is verified from ``DEVIATIONS`` standard
+deviations below 0.85 on (fewer than one linked pair in ten million is lower; a set that fills few parts is
+almost wholly in its sketch).
 """
 
 from __future__ import annotations
@@ -38,10 +40,13 @@ LEAST = 85
 COLLECTION = 14
 HALF = 3
 VALUES = 2 * COLLECTION * HALF
-#: Equal MinHash values (of VALUES) that a pair needs before it is verified.
-AGREE = 52
-#: Rows of a bucket that meet in one task at a time, and members of a hub in one task.
-BLOCK = 512
+#: Parts that the hash range is cut into for a sketch: one byte of the smallest hash of each part.
+PARTS = 256
+#: Standard deviations below what a pair at LEAST has, down to which pairs are verified.
+DEVIATIONS = 5.5
+#: Rows of a bucket that meet in one task at a time, and shingles of the sets that one task holds of each side.
+BLOCK = 8192
+HELD = 4_000_000
 #: Words whose hash a Python worker remembers.
 REMEMBERED = 1_000_000
 
@@ -90,6 +95,23 @@ def min_values(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """PARTS bytes: 0 for a part of the hash range without a hash, else 1 to 255 of its smallest one."""
+    begins = np.searchsorted(hashes, np.arange(PARTS, dtype=np.uint64) << np.uint64(64 - 8))
+    found = np.append(hashes, np.uint64(0))[begins]
+    there = (found >> np.uint64(64 - 8)) == np.arange(PARTS, dtype=np.uint64)
+    there &= begins < len(hashes)
+    return np.where(there, found % np.uint64(255) + np.uint64(1), 0).astype(np.uint8).tobytes()
+
+
+def alike(u: np.ndarray, v: np.ndarray, least: int) -> np.ndarray:
+    """Which rows of two sketch tables may be linked."""
+    filled = ((u | v) != 0).sum(1)
+    equal = ((u == v) & (u != 0)).sum(1)
+    p = least / 100
+    return equal >= p * filled - DEVIATIONS * np.sqrt(p * (1 - p) * filled)
+
+
 def linked(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> bool:
     """Whether two sets have 100 * intersection >= least * union."""
     if 100 * min(len(a), len(b)) < least * max(len(a), len(b)):
@@ -99,7 +121,7 @@ def linked(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> bool:
 
 
 def _signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """Each row with its set's size, digest (null if empty), half keys and one byte of each MinHash value."""
+    """Each row with its set's size, digest (null if empty), half keys and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,49 +135,55 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
                 v = min_values(s)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 keys.append([xxhash.xxh64_intdigest(v[i : i + HALF].tobytes(), i) - (1 << 63) for i in range(0, VALUES, HALF)])
-                sketch.append((v >> np.uint64(7)).astype(np.uint8).tobytes())
+                sketch.append(sketch_of(s))
             yield pa.RecordBatch.from_arrays([*[column(b, c) for c in ("doc_id", "id", "check")], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "id", "check", "n_shingles", "node", "keys", "sketch"])
 
     return docs.mapInArrow(run, "doc_id long, id long, check long, n_shingles long, node binary, keys array<long>, sketch binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """The (a, b) of ``pairs`` (a stored table) whose full sets are linked; ``texts`` has (node, text).
 
-    The members of an a come to it in groups of BLOCK at most (by hash), each group with its own copy of
-    a's text, which comes first; a task holds one set at a time.
+    Nodes are dealt to blocks of about ``HELD`` shingles by hash; a pair goes to the cell of its two
+    blocks, and with it, once for each cell, the texts that its pairs need. A task holds the sets of one
+    cell. A hub is in as many cells as there are blocks, whatever its number of partners.
     """
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("groups")).where("groups > 1")
-    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).alias("salt"))
-    hubs = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
-    members = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
+    total = nodes.join(texts.select("node"), "node", "left_semi").agg(F.sum("n_shingles")).first()[0] or 0
+    blocks = F.lit(max(1, -(-int(total) // HELD)))
+    side = lambda c: F.pmod(F.xxhash64(c), blocks).cast("int")
+    dealt = pairs.select("a", "b", side("a").alias("i"), side("b").alias("j"))
+    asked = dealt.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    none = F.lit(None).cast("binary")
+    rows = asked.join(texts, "node").select("i", "j", F.col("node").alias("a"), none.alias("b"), "text").union(dealt.select("i", "j", "a", "b", F.lit(None).cast("string")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, held = None, np.empty(0, np.uint64)
+        cell, sets = None, {}
         for batch in batches:
-            out: list[tuple] = []
-            for a, b, x in zip(column(batch, "a"), column(batch, "b"), column(batch, "text"), strict=True):
-                if not b.is_valid:
-                    if a != hub:
-                        hub, held = a, shingle_set(x.as_py() or "", shingle)
-                elif linked(held, shingle_set(x.as_py() or "", shingle), least):
-                    out.append((a.as_py(), b.as_py()))
-            cols = list(zip(*out, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], ["a", "b"])
+            out: list[tuple[bytes, bytes]] = []
+            cols = [column(batch, c).to_pylist() for c in ("i", "j", "a", "b")]
+            for i, j, a, b, x in zip(*cols, column(batch, "text"), strict=True):
+                if (i, j) != cell:
+                    cell = (i, j)
+                    sets.clear()
+                if b is None:
+                    sets[a] = shingle_set(x.as_py() or "", shingle)
+                elif linked(sets[a], sets[b], least):
+                    out.append((a, b))
+            yield _edges(out)
 
-    return hubs.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a binary, b binary").distinct()
+    return rows.repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").asc_nulls_first()).mapInArrow(run, "a binary, b binary")
 
 
 def _apart(rows: list[tuple], others: list[tuple], least: int) -> Iterator[tuple[bytes, bytes]]:
     """Pairs (smaller node, larger node) of two blocks, in different components, near in size and sketch."""
-    table = np.frombuffer(b"".join(r[3] for r in others), np.uint8).reshape(-1, VALUES)
+    component_of = np.array([r[1] for r in others], object)
+    table = np.frombuffer(b"".join(r[3] for r in others), np.uint8).reshape(-1, PARTS)
     size = np.array([r[2] for r in others])
     for node, component, n, sketch in rows:
-        near = (100 * np.minimum(size, n) >= least * np.maximum(size, n)).nonzero()[0]
-        near = near[(table[near] == np.frombuffer(sketch, np.uint8)).sum(1) >= AGREE]
+        near = ((100 * np.minimum(size, n) >= least * np.maximum(size, n)) & (component_of != component)).nonzero()[0]
+        near = near[alike(table[near], np.frombuffer(sketch, np.uint8)[None], least)]
         for i in near.tolist():
-            if others[i][1] != component:
-                yield (node, others[i][0]) if node < others[i][0] else (others[i][0], node)
+            yield (node, others[i][0]) if node < others[i][0] else (others[i][0], node)
 
 
 def _met(members: DataFrame, least: int) -> DataFrame:
@@ -221,18 +249,19 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Half keys that two nodes share; a node goes on if it shares one of each collection.
     halves = nodes.select("node", F.posexplode("keys").alias("t", "key"))
-    hub = F.min_by("node", F.xxhash64("node", "t"))
-    shared = halves.groupBy("t", "key").agg(hub.alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    both = F.min("t") < COLLECTION
+    shared = halves.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     half = written(halves.join(shared, ["t", "key"]), "halves")
-    going = half.groupBy("node").agg(both.alias("x"), (F.max("t") >= COLLECTION).alias("y")).where("x AND y").select("node")
+    both = (F.min("t") < COLLECTION) & (F.max("t") >= COLLECTION)
+    going = written(half.groupBy("node").agg(both.alias("both"), F.sum("n").alias("met")).where("both").select("node", "met"), "going")
     wanted = nodes.join(going, "node").select("node", F.col("row.doc_id").alias("d"), F.col("row.id").alias("id"), F.col("row.check").alias("check"))
     same = (rows["id"] == wanted["id"]) & (rows["check"] == wanted["check"]) & rows["doc_id"].eqNullSafe(wanted["d"])
     texts = written(rows.join(wanted, same).select("node", "text"), "texts")
 
     # Hubs first.
-    stars = half.where("node != hub").join(going, "node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(verified(written(_like(stars, nodes, least), "stars"), texts, shingle, least), "links")
+    central = half.join(going, "node")
+    hubs = central.groupBy("t", "key").agg(F.max_by("node", F.struct("met", "node")).alias("a"))
+    stars = central.join(hubs, ["t", "key"]).where("node != a").select("a", F.col("node").alias("b")).distinct()
+    links = written(verified(written(_like(stars, nodes, least), "stars"), texts, nodes, shingle, least), "links")
     parts = written(connected_components(links), "parts")
 
     # Then the tables, for what is still apart.
@@ -244,7 +273,7 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entered = written(tables.select(F.xxhash64("x.t", "x.key", "y.t", "y.key").alias("table"), "node", "component"), "tables")
     open_ = entered.groupBy("table").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("table")
     members = entered.join(open_, "table").join(nodes.select("node", "n_shingles", "sketch"), "node")
-    more = verified(written(_met(members, least), "met"), texts, shingle, least)
+    more = verified(written(_met(members, least), "met"), texts, nodes, shingle, least)
     parts = connected_components(written(links.union(more), "links"))
 
     firsts = nodes.select("node", F.col("row.doc_id").alias("first"))
@@ -262,9 +291,9 @@ def _like(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u, v = (np.frombuffer(b"".join(column(b, c).to_pylist()), np.uint8).reshape(-1, VALUES) for c in ("su", "sv"))
+            u, v = (np.frombuffer(b"".join(column(b, c).to_pylist()), np.uint8).reshape(-1, PARTS) for c in ("su", "sv"))
             m, n = (column(b, c).to_numpy() for c in ("m", "n"))
-            keep = pa.array(((u == v).sum(1) >= AGREE) & (100 * np.minimum(m, n) >= least * np.maximum(m, n)))
+            keep = pa.array(alike(u, v, least) & (100 * np.minimum(m, n) >= least * np.maximum(m, n)))
             yield pa.RecordBatch.from_arrays([column(b, c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     side = lambda c, n, s: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(n), F.col("sketch").alias(s))
