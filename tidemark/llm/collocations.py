@@ -12,11 +12,14 @@
 
 from __future__ import annotations
 
+import struct
 import tempfile
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +38,7 @@ COVER = 50
 TOP = 2000
 #: Characters of pieces that are counted at a time, hash buckets for each shuffle partition, and the
 #: memory that duckdb may take in a task.
-CHUNK = 4_000_000
+CHUNK = 8_000_000
 BUCKETS = 8
 MEMORY = "300MB"
 SALTS = 16
@@ -62,15 +65,28 @@ def _grams(longest: int, buckets: int) -> str:
     return f"""
     WITH w AS (SELECT lang, n, string_split(piece, ' ') AS ws FROM chunk),
     g AS (SELECT lang, n, unnest({every}) AS gram FROM w UNION ALL SELECT lang, n * len(ws), '' FROM w)
-    SELECT lang, gram, sum(n)::BIGINT AS n, (hash(gram) % {buckets})::INTEGER AS bucket FROM g GROUP BY lang, gram ORDER BY bucket
+    SELECT lang, gram, sum(n)::BIGINT AS n, (hash(gram) % {buckets})::INTEGER AS bucket FROM g GROUP BY lang, gram ORDER BY bucket, lang
     """
 
 
-def _packed(table: pa.Table) -> bytes:
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_table(table.combine_chunks())
-    return out.getvalue().to_pybytes()
+def _packed(grams: pa.StringArray, numbers: np.ndarray) -> bytes:
+    """Compressed texts, their lengths and numbers, with the sizes of the first two in front."""
+    ends = np.frombuffer(grams.buffers()[1], np.int32)[grams.offset : grams.offset + len(grams) + 1]
+    data = grams.buffers()[2]
+    pack = zstandard.ZstdCompressor(3).compress
+    text = pack(memoryview(data)[ends[0] : ends[-1]] if data else b"")
+    lengths, counts = pack(np.diff(ends).astype("<u4").tobytes()), pack(numbers.astype("<i8").tobytes())
+    return struct.pack("<II", len(text), len(lengths)) + text + lengths + counts
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    a, b = struct.unpack_from("<II", data)
+    open_ = zstandard.ZstdDecompressor().decompress
+    text, lengths, counts = open_(data[8 : 8 + a]), np.frombuffer(open_(data[8 + a : 8 + a + b]), "<u4"), open_(data[8 + a + b :])
+    ends = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=ends[1:])
+    grams = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(text))
+    return pa.table({"gram": grams, "n": pa.array(np.frombuffer(counts, "<i8"))})
 
 
 def gram_counts(weighted: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
@@ -88,12 +104,16 @@ def gram_counts(weighted: DataFrame, longest: int = LONGEST, least: int = LEAST)
                 got = con.sql(query).to_arrow_table()
                 con.unregister("chunk")
                 held.clear()
-                at = got["bucket"].to_numpy()
-                starts = [0, *((at[1:] != at[:-1]).nonzero()[0] + 1).tolist(), len(at)]
-                parts = [got.slice(s, e - s) for s, e in zip(starts, starts[1:], strict=False) if s < e]
-                for i in range(0, len(parts), 64):
-                    some = parts[i : i + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([p["bucket"][0].as_py() for p in some], pa.int32()), pa.array([_packed(p.drop_columns("bucket")) for p in some], pa.binary())], ["bucket", "counts"])
+                if not got.num_rows:
+                    return
+                got = got.set_column(0, "lang", got["lang"].dictionary_encode()).unify_dictionaries().combine_chunks()
+                bucket, lang = got["bucket"].to_numpy(), got["lang"].chunk(0).indices.to_numpy()
+                grams, numbers = got["gram"].chunk(0), got["n"].to_numpy()
+                starts = [0, *(((bucket[1:] != bucket[:-1]) | (lang[1:] != lang[:-1])).nonzero()[0] + 1).tolist(), len(bucket)]
+                names = got["lang"].chunk(0).dictionary.to_pylist()
+                for i in range(0, len(starts) - 1, 256):
+                    parts = list(zip(starts[i : i + 256], starts[i + 1 : i + 257], strict=False))
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket[x] for x, _ in parts], pa.int32()), pa.array([names[lang[x]] for x, _ in parts], pa.string()), pa.array([_packed(grams.slice(x, y - x), numbers[x:y]) for x, y in parts], pa.binary())], ["bucket", "lang", "counts"])
 
             size = 0
             for b in batches:
@@ -115,18 +135,18 @@ def gram_counts(weighted: DataFrame, longest: int = LONGEST, least: int = LEAST)
                 con.execute("TRUNCATE part")
 
             for b in batches:
-                for k, data in zip(column(b, "bucket").to_pylist(), column(b, "counts"), strict=True):
+                for k, lang, data in zip(column(b, "bucket").to_pylist(), column(b, "lang").to_pylist(), column(b, "counts"), strict=True):
                     if k != bucket:
                         if bucket is not None:
                             yield from close()
                         bucket = k
-                    con.register("new", pa.ipc.open_stream(data.as_buffer()).read_all())
-                    con.execute("INSERT INTO part SELECT lang, gram, n FROM new")
+                    con.register("new", _unpacked(data.as_py()))
+                    con.execute("INSERT INTO part SELECT ?, gram, n FROM new", [lang])
                     con.unregister("new")
             if bucket is not None:
                 yield from close()
 
-    packed = weighted.mapInArrow(count, "bucket int, counts binary")
+    packed = weighted.mapInArrow(count, "bucket int, lang string, counts binary")
     return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "lang string, gram string, f long")
 
 
