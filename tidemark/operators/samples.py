@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that go with the tasks at once; beyond it they come in blocks of this many.
-BLOCK = 2_000
+from .metric_index import MetricIndex
 
 
 def fit_normalization(samples: DataFrame) -> DataFrame:
@@ -46,34 +45,19 @@ def masked_distance(a: str, b: str, mask: str) -> Column:
     return F.when(active == 0, float("inf")).otherwise(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / F.greatest(active, F.lit(1))))
 
 
-def neighbours(queries: DataFrame, library: DataFrame, k: int, most: float | None = None, condition: Column | str | None = None) -> DataFrame:
-    """query_id, rank, sample_id, distance: the k nearest of equal mask within ``most``.
+def neighbours(queries: DataFrame, library: DataFrame, k: int, most: float | Column | None = None, eligible: str = "all") -> DataFrame:
+    """q_ and l_ columns, rank and distance: the k nearest of equal mask within ``most``.
 
-    ``queries`` and ``library`` come from ``normalize``; library columns may be used in ``condition``
-    with the prefix l_, query columns with q_ (for strictly earlier rows, or others than itself).
-    A stated query set against all rows: blocks of queries are broadcast, so the library is read and
-    never shuffled, and each task passes on k rows for each query.
+    ``queries`` and ``library`` come from ``normalize``. ``eligible`` says which rows count: "all", "others"
+    than the query itself, or "matured" ones, whose at and known_at are both before the query's at. Exact;
+    see ``metric_index``.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    lib = library.select(*[F.col(c).alias(f"l_{c}") for c in library.columns])
-    out = None
-    for i in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("q_sample_id"), F.lit(blocks)) == i)
-        met = lib.join(F.broadcast(part), F.col("l_mask_key") == F.col("q_mask_key"))
-        met = met.where(condition) if condition is not None else met
-        far = met.withColumn("distance", masked_distance("q_vector", "l_vector", "q_mask"))
-        far = far.where(F.col("distance") <= most) if most is not None else far
-        rank = F.row_number().over(Window.partitionBy("q_sample_id").orderBy("distance", "l_sample_id"))
-        keep = far.withColumn("rank", rank).where(F.col("rank") <= k)
-        out = keep if out is None else out.unionByName(keep)
-    return out
-
-
-def kth_distance(queries: DataFrame, library: DataFrame, k: int, condition: Column | str | None = None) -> DataFrame:
+    return MetricIndex(library).search(queries, k, most, eligible)[0]
+
+
+def kth_distance(queries: DataFrame, library: DataFrame, k: int, eligible: str = "all") -> DataFrame:
     """query_id, distance of the k-th nearest of equal mask (of the last, if there are fewer)."""
-    met = neighbours(queries, library, k, None, condition)
+    met = neighbours(queries, library, k, None, eligible)
     return met.groupBy(F.col("q_sample_id").alias("query_id")).agg(F.max("distance").alias("kth_distance"), F.count("*").alias("n"))
 
 

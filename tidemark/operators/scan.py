@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import ship, stored
 from ..sources.bars import SERIES
 
 BLOCK_ROWS = 4096
@@ -158,6 +158,7 @@ def scan(rows: DataFrame, order: str, columns: list[str], stage: Stage, stages:
     ``stage`` runs once for each of the stages with the carries known so far, and once more with all of
     them. NaN in an output becomes null. Equal values of ``order`` in a series have no stated order.
     """
+    ship(rows.sparkSession)
     kept = keep or []
     cut = blocks(rows, order, columns)
 

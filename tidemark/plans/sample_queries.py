@@ -45,7 +45,7 @@ def normalized_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("sample_id", "mask_key", *[F.round(F.col("vector")[i], 8).alias(f"x{i}") for i in range(DIMS)])
 
 
-OTHERS = "l_sample_id != q_sample_id"
+OTHERS = "others"
 
 
 def knn_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +55,8 @@ def knn_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def temporal_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only samples that are earlier and whose outcome was known before the query."""
-    q, lib = _scaled(spark, sf_dir)
-    prior = (F.col("l_sample_id") < F.col("q_sample_id")) & (F.col("l_sample_id") + F.col("l_first_passage_bars") < F.col("q_sample_id"))
-    return S.neighbours(q, lib, K, None, prior).select(F.col("q_sample_id").alias("query_id"), "rank", F.col("l_sample_id").alias("sample_id"), F.round("distance", 8).alias("distance"))
+    q, lib = (x.withColumns({"at": F.col("sample_id"), "known_at": F.col("sample_id") + F.col("first_passage_bars")}) for x in _scaled(spark, sf_dir))
+    return S.neighbours(q, lib, K, None, "matured").select(F.col("q_sample_id").alias("query_id"), "rank", F.col("l_sample_id").alias("sample_id"), F.round("distance", 8).alias("distance"))
 
 
 def kth_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
