@@ -8,9 +8,10 @@ table with probability (1 - (1 - s^3)^14)^2: at 0.85 all but 3 in a million, at
 1. Texts of one set of shingles are one node (128-bit digest), whatever their number.
 2. In each half-key bucket the members are held against one hub, the member that shares half keys with
    most texts: a group of near copies of one text comes together with work in proportion to its size.
-3. What is then still apart and has both half keys in common with something else enters the tables.
-   Pairs of one bucket in different components meet in blocks of ``BLOCK`` rows by ``BLOCK``; sizes and
-   sketches decide which are verified. A large bucket becomes several tasks.
+3. What is then still apart and has both half keys in common with something else enters the tables. Rows
+   of tables that hold two components meet, for each first half key, in blocks of ``BLOCK`` rows by ``BLOCK``:
+   a pair counts if it has a second half key in common too, that is, a table; sizes and sketches decide
+   which are verified. A large bucket becomes several tasks, and a pair comes once, whatever it shares.
 4. Every candidate is verified on the full sets of both texts; links are joined by union-find.
 
 A sketch has one byte of the smallest hash in each of 256 parts of the hash range. Equal bytes among the
@@ -174,49 +175,62 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int
     return rows.repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").asc_nulls_first()).mapInArrow(run, "a binary, b binary")
 
 
-def _apart(rows: list[tuple], others: list[tuple], least: int) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs (smaller node, larger node) of two blocks, in different components, near in size and sketch."""
-    component_of = np.array([r[1] for r in others], object)
-    table = np.frombuffer(b"".join(r[3] for r in others), np.uint8).reshape(-1, PARTS)
-    size = np.array([r[2] for r in others])
-    for node, component, n, sketch in rows:
-        near = ((100 * np.minimum(size, n) >= least * np.maximum(size, n)) & (component_of != component)).nonzero()[0]
-        near = near[alike(table[near], np.frombuffer(sketch, np.uint8)[None], least)]
-        for i in near.tolist():
-            yield (node, others[i][0]) if node < others[i][0] else (others[i][0], node)
+class _Block:
+    """Rows of a bucket as arrays."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows = rows
+        self.component = np.array([r[1] for r in rows], object)
+        self.size = np.array([r[2] for r in rows])
+        self.sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, PARTS)
+        self.keys = np.array([r[4] for r in rows], np.int64).reshape(-1, 2 * COLLECTION)
+
+
+def _apart(rows: _Block, others: _Block, bucket: int, least: int) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs (smaller node, larger node) of two blocks of a bucket that share a table whose first half key is
+    the bucket's, are in different components, and are near in size and sketch. A pair that shares several
+    buckets comes from the first of them."""
+    for i, (node, component, n, _, _) in enumerate(rows.rows):
+        near = ((100 * np.minimum(others.size, n) >= least * np.maximum(others.size, n)) & (others.component != component)).nonzero()[0]
+        near = near[alike(others.sketch[near], rows.sketch[i][None], least)]
+        same = others.keys[near] == rows.keys[i]
+        for j in near[(same[:, :COLLECTION].argmax(1) == bucket) & same[:, COLLECTION:].any(1)].tolist():
+            other = others.rows[j][0]
+            yield (node, other) if node < other else (other, node)
 
 
 def _met(members: DataFrame, least: int) -> DataFrame:
     """Distinct (a, b) that share a table, are in different components and may be linked.
 
-    ``members`` has (table, node, component, n_shingles, sketch). Rows of a table are dealt to blocks by
-    hash; each pair of blocks is a group of its own, in which the first block is held and the second
-    passes by. In a table of one block a row meets the rows before it.
+    ``members`` has (t, key, node, component, n_shingles, sketch, keys), a row for each bucket of a first
+    half key. Rows of a bucket are dealt to blocks by hash; each pair of blocks is a group of its own, in
+    which the first block is held and the second passes by.
     """
-    many = members.groupBy("table").agg(F.ceil(F.count("*") / (BLOCK / 2)).cast("int").alias("blocks"))
-    own = members.join(many, "table").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    many = members.groupBy("t", "key").agg(F.ceil(F.count("*") / (BLOCK / 2)).cast("int").alias("blocks"))
+    own = members.join(many, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = spread.select("table", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), "node", "component", "n_shingles", "sketch")
+    cell_of = ["t", "key", "i", "j"]
+    cells = spread.select("t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), "node", "component", "n_shingles", "sketch", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, first, passing, seen = None, [], [], set()
+        cell, first, passing = None, [], []
 
         def close() -> list[tuple[bytes, bytes]]:
-            i, j = cell[1:] if cell else (0, 0)
-            new = {p for p in _apart(passing if i != j else first, first, least)} if first and (passing or i == j) else set()
-            new -= seen
+            if not first or not (passing or cell[2] == cell[3]):
+                passing.clear()
+                return []
+            held = _Block(first)
+            found = list({*_apart(_Block(passing) if passing else held, held, cell[0], least)})
             passing.clear()
-            if len(seen) < 200_000:
-                seen.update(new)
-            return list(new)
+            return found
 
         for batch in batches:
             out: list[tuple[bytes, bytes]] = []
-            cols = [column(batch, c).to_pylist() for c in ("table", "i", "j", "second", "node", "component", "n_shingles", "sketch")]
-            for t, i, j, second, *row in zip(*cols, strict=True):
-                if (t, i, j) != cell:
+            cols = [column(batch, c).to_pylist() for c in (*cell_of, "second", "node", "component", "n_shingles", "sketch", "keys")]
+            for t, key, i, j, second, *row in zip(*cols, strict=True):
+                if (t, key, i, j) != cell:
                     out += close()
-                    cell = (t, i, j)
+                    cell = (t, key, i, j)
                     first.clear()
                 (passing if second else first).append(tuple(row))
                 if len(passing) >= BLOCK:
@@ -224,7 +238,7 @@ def _met(members: DataFrame, least: int) -> DataFrame:
             yield _edges(out)
         yield _edges(close())
 
-    return cells.repartition("table", "i", "j").sortWithinPartitions("table", "i", "j", "second").mapInArrow(run, "a binary, b binary").distinct()
+    return cells.repartition(*cell_of).sortWithinPartitions(*cell_of, "second").mapInArrow(run, "a binary, b binary")
 
 
 def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -270,9 +284,9 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = placed.join(mixed, ["t", "key"]).groupBy("node", "component").agg(F.collect_list(F.struct("t", "key")).alias("keys"))  # 28 at most
     sides = [F.filter("keys", lambda x: x["t"] < COLLECTION), F.filter("keys", lambda x: x["t"] >= COLLECTION)]
     tables = lists.select("node", "component", F.explode(sides[0]).alias("x"), sides[1].alias("ys")).select("node", "component", "x", F.explode("ys").alias("y"))
-    entered = written(tables.select(F.xxhash64("x.t", "x.key", "y.t", "y.key").alias("table"), "node", "component"), "tables")
+    entered = written(tables.select(F.xxhash64("x.t", "x.key", "y.t", "y.key").alias("table"), "node", "component", "x.t", "x.key"), "tables")
     open_ = entered.groupBy("table").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("table")
-    members = entered.join(open_, "table").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    members = entered.join(open_, "table").select("t", "key", "node", "component").distinct().join(nodes.select("node", "n_shingles", "sketch", "keys"), "node")
     more = verified(written(_met(members, least), "met"), texts, nodes, shingle, least)
     parts = connected_components(written(links.union(more), "links"))
 
