@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .samples import CLASSES, masked_distance
+from .samples import masked_distance
+from .selection import quantiles
 
 #: Quantiles of every distance report.
 QUANTILES = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
 
 
 def distance_stats(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Count and exact linear quantiles of ``value`` for each group."""
-    names = ("least", "p10", "p25", "p50", "p75", "most")
-    return rows.groupBy(*group).agg(F.count(value).alias("n"), *[F.percentile(value, F.lit(q)).alias(n) for q, n in zip(QUANTILES, names, strict=True)])
+    """Count and exact linear quantiles of ``value`` for each group that has one."""
+    return quantiles(rows, group, value, dict(zip(("least", "p10", "p25", "p50", "p75", "most"), QUANTILES, strict=True)))
 
 
 def upper_median(rows: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -84,33 +84,8 @@ def top_dimensions(met: DataFrame, top: int = 5) -> DataFrame:
     return mean.withColumn("place", F.row_number().over(by)).where(F.col("place") <= top)
 
 
-def residual_slopes(cases: DataFrame, feature: str, low: float | None = None, high: float | None = None) -> DataFrame:
-    """One row: the least-squares slope of (outcome - forecast) on the standardised feature, by class.
-
-    ``low`` and ``high`` clamp the feature to the range it was fitted on.
-    """
-    x = F.col(feature)
-    if low is not None:
-        x = F.greatest(F.least(x, F.lit(high)), F.lit(low))
-    stats = cases.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("dev"))
-    z = F.when(F.col("dev") > 0, F.try_divide(x - F.col("mean"), F.col("dev"))).otherwise(0.0)
-    rows = cases.join(F.broadcast(stats), F.lit(1) == F.lit(1)).withColumn("z", z)  # one row
-    slope = [F.try_divide(F.sum(F.col("z") * (F.when(F.col("actual") == c, 1.0).otherwise(0.0) - F.col(f"{c.lower()}_bp") / 10_000.0)), F.sum(F.col("z") * F.col("z"))).alias(f"slope_{c.lower()}") for c in CLASSES]
-    return rows.agg(F.max("mean").alias("mean"), F.max("dev").alias("dev"), *slope)
-
-
-def corrected(cases: DataFrame, feature: str, slopes: DataFrame) -> DataFrame:
-    """Forecasts moved along fitted slopes, clamped and made to sum to one, with their Brier score."""
-    z = F.when(F.col("dev") > 0, F.try_divide(F.col(feature) - F.col("mean"), F.col("dev"))).otherwise(0.0)
-    rows = cases.join(F.broadcast(slopes), F.lit(1) == F.lit(1)).withColumn("z", z)  # one row
-    moved = [F.greatest(F.least(F.col(f"{c.lower()}_bp") / 10_000.0 + F.col("z") * F.col(f"slope_{c.lower()}"), F.lit(1.0)), F.lit(0.0)) for c in CLASSES]
-    total = moved[0] + moved[1] + moved[2]
-    p = [F.when(total > 0, F.try_divide(m, total)).otherwise(1 / 3) for m in moved]
-    score = sum((F.pow(x - F.when(F.col("actual") == c, 1.0).otherwise(0.0), 2) for x, c in zip(p, CLASSES, strict=True)), F.lit(0.0))
-    return rows.withColumns({f"p_{c.lower()}": x for x, c in zip(p, CLASSES, strict=True)}).withColumn("corrected_brier", score)
-
-
-def rank_variants(scores: DataFrame) -> DataFrame:
-    """Best first: skill, balanced accuracy, calibration error, cases, fewer dimensions, name."""
-    order = [F.desc_nulls_last("skill"), F.desc("balanced_accuracy_bp"), F.asc("calibration_error"), F.desc("cases"), F.asc("dimensions"), F.asc("variant")]
-    return scores.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # a row for each variant
+def rank_variants(scores: DataFrame, by: list[str]) -> DataFrame:
+    """``scores`` with place in each group, best first: skill, balanced accuracy, calibration error, coverage,
+    fewer dimensions, name of the variant."""
+    order = [F.desc("skill"), F.desc("balanced_accuracy"), F.asc("calibration_error"), F.desc("coverage"), F.asc("dimensions"), F.asc("variant")]
+    return scores.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))  # a row for each variant

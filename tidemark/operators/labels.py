@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.bars import SERIES
+from .selection import quantiles
 
 def by():
     """Each series in order."""
@@ -41,7 +42,7 @@ def symmetric_barrier(bars: DataFrame, lookback: int, horizon: int, train_bars:
     up = F.greatest(F.try_divide(F.col("top"), F.col("close")) - 1, F.lit(0.0)) / F.col("volatility")
     down = F.greatest(1 - F.try_divide(F.col("bottom"), F.col("close")), F.lit(0.0)) / F.col("volatility")
     pooled = paths.select(*SERIES, F.explode(F.array(up, down)).alias("excursion"))
-    return pooled.groupBy(*SERIES).agg(F.percentile("excursion", F.lit(0.5)).alias("barrier"), F.count("*").alias("excursions")).where("barrier > 0")
+    return quantiles(pooled, SERIES, "excursion", {"barrier": 0.5}).withColumnRenamed("n", "excursions").where("barrier > 0")
 
 
 def first_passage(bars: DataFrame, lookback: int, horizon: int, upper: float | Column, lower: float | Column) -> DataFrame:

@@ -66,8 +66,8 @@ def _spread(rows: np.ndarray, active: np.ndarray, count: int) -> np.ndarray:
 class MetricIndex:
     """Stored library rows with ball and distance to its pivot; ``search`` finds neighbours in it.
 
-    ``library`` comes from ``samples.normalize`` (vector, mask, mask_key) and has sample_id, and for
-    "matured" searches at and known_at.
+    ``library`` comes from ``samples.normalize`` (vector, mask, mask_key) and has sample_id, which names a row
+    among those of its mask_key, and for "matured" searches at and known_at.
     """
 
     def __init__(self, library: DataFrame):
@@ -220,12 +220,12 @@ class MetricIndex:
         asked = queries.withColumn("reach", limit.cast("double"))
         first = self._read(stored(self._visits(asked, k, False), "visits"), k, eligible)
         own = first.where("l IS NOT NULL")
-        order = Window.partitionBy("q.sample_id").orderBy("distance", "l.sample_id")
-        kth = own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("q.sample_id").alias("sample_id"), "distance")
-        bounded = asked.join(kth, "sample_id", "left").withColumn("reach", F.least(F.col("reach"), F.coalesce("distance", "reach"))).select(*asked.columns)
+        order = Window.partitionBy("q.mask_key", "q.sample_id").orderBy("distance", "l.sample_id")
+        kth = own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("q.mask_key", "q.sample_id", "distance")
+        bounded = asked.join(kth, ["mask_key", "sample_id"], "left").withColumn("reach", F.least(F.col("reach"), F.coalesce("distance", "reach"))).select(*asked.columns)
         second = self._read(stored(self._visits(bounded, k, True), "visits"), k, eligible)
         both = first.unionByName(second)
         best = both.where("l IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         names = [*[F.col(f"q.{c}").alias(f"q_{c}") for c in queries.columns], *[F.col(f"l.{c}").alias(f"l_{c}") for c in self.fields]]
-        measured = both.where("l IS NULL").groupBy(F.col("q.sample_id").alias("query_id")).agg(F.sum("distance").cast(LongType()).alias("measured"))
+        measured = both.where("l IS NULL").groupBy("q.mask_key", F.col("q.sample_id").alias("query_id")).agg(F.sum("distance").cast(LongType()).alias("measured"))
         return best.select(*names, "distance", "rank"), measured

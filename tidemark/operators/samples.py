@@ -9,20 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .metric_index import MetricIndex
+from .selection import quantiles
 
 
-def fit_normalization(samples: DataFrame) -> DataFrame:
+def fit_normalization(samples: DataFrame, by: list[str] | None = None) -> DataFrame:
     """axis, median, scale, effective: one row for each dimension.
 
     The scale is the median absolute deviation, else half the range, else 1; a constant dimension is
-    not effective. Exact quantiles, two passes.
+    not effective. Exact quantiles with a bounded state (see ``selection``). With ``by``, one row for each of
+    its groups and dimension.
     """
-    cells = samples.select(F.posexplode("vector").alias("axis", "x"))
-    centre = cells.groupBy("axis").agg(F.coalesce(F.percentile("x", F.lit(0.5)), F.lit(0.0)).alias("median"), F.min("x").alias("low"), F.max("x").alias("high"))
-    spread = cells.join(F.broadcast(centre), "axis").groupBy("axis", "median", "low", "high").agg(F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("mad"))  # a row for each dimension
+    by = by or []
+    cells = samples.select(*by, F.posexplode("vector").alias("axis", "x"))
+    key = [*by, "axis"]
+    centre = stored(quantiles(cells, key, "x", {"low": 0.0, "median": 0.5, "high": 1.0}), "centres")
+    off = cells.join(centre.select(*key, "median"), key).select(*key, F.abs(F.col("x") - F.col("median")).alias("off"))
+    spread = quantiles(off, key, "off", {"mad": 0.5}).drop("n")
+    axes = cells.select(*key).distinct().join(centre, key, "left").join(spread, key, "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
     wide = F.coalesce(F.col("high") - F.col("low"), F.lit(0.0))
-    return spread.select("axis", "median", F.when(F.coalesce("mad", F.lit(0.0)) > 0, F.col("mad")).when(wide > 0, wide / 2).otherwise(1.0).alias("scale"), (wide > 0).alias("effective"))
+    return axes.select(*key, "median", F.when(F.coalesce("mad", F.lit(0.0)) > 0, F.col("mad")).when(wide > 0, wide / 2).otherwise(1.0).alias("scale"), (wide > 0).alias("effective"))
 
 
 def _literal(normalization: DataFrame) -> tuple[Column, Column, Column]:

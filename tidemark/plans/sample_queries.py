@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canonical, catalogue
-from ..operators import audits, calibrate, resample, scoring, validation
+from ..operators import audits, calibrate, resample, residuals, scoring, validation
 from ..operators import samples as S
-from ..session import shared_path, ship
+from ..operators.selection import quantiles
+from ..session import shared_path, ship, stored
 from ..sources import bars as B
 from ..sources import records
 from . import bar_queries
@@ -137,7 +138,7 @@ def dimension_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean-of-middle and upper medians of prices and quantities by flag."""
     rows = B.read(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", F.col("l_quantity").cast("long").alias("q"))
-    both = rows.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.lit(0.5)).alias("median_price"))
+    both = quantiles(rows, ["l_returnflag"], "l_extendedprice", {"median_price": 0.5}).drop("n")
     return both.join(audits.upper_median(rows, ["l_returnflag"], "q"), "l_returnflag")
 
 
@@ -157,19 +158,27 @@ def optional_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_shipdate").agg(F.round(F.avg("x"), 8).alias("mean_x"), F.round(F.avg((F.col("l_tax") > 0.04).cast("double")), 8).alias("share"))
 
 
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Voted cases before and from the middle query on, with a feature of the query: its first dimension."""
+    _, _, cases, lib = _votes(spark, sf_dir)
+    feature = lib.select(F.col("sample_id").alias("query_id"), F.col("vector")[0].alias("feature"))
+    rows = stored(residuals.forecasts(cases).join(feature, "query_id").withColumn("all", F.lit("all")), "cases")
+    middle = rows.agg(F.percentile("query_id", F.lit(0.5)).alias("middle"))
+    parted = rows.join(F.broadcast(middle), F.lit(1) == F.lit(1))  # one row
+    return parted.where("query_id < middle").drop("middle"), parted.where("query_id >= middle").drop("middle")
+
+
 def residual_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = _votes(spark, sf_dir)[2].withColumn("feature", (F.col("query_id") % 13).cast("double"))
-    found = audits.residual_slopes(cases, "feature", 2.0, 10.0)
-    return found.select(*[F.round(c, 8).alias(c) for c in found.columns])
+    """The fit of a feature on the errors of the first half of the cases."""
+    found = residuals.fit(_halves(spark, sf_dir)[0], "feature", ["all"]).drop("all")
+    return found.select(*[F.col(c) if c == "n" else F.round(c, 8).alias(c) for c in found.columns])
 
 
 def corrected_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slopes from the first half of the cases, applied without refitting to the later half."""
-    cases = _votes(spark, sf_dir)[2].withColumn("feature", (F.col("query_id") % 13).cast("double"))
-    middle = cases.agg(F.percentile("query_id", F.lit(0.5)).alias("middle"))
-    parted = cases.join(F.broadcast(middle), F.lit(1) == F.lit(1))  # one row
-    slopes = audits.residual_slopes(parted.where("query_id < middle"), "feature")
-    return audits.corrected(parted.where("query_id >= middle"), "feature", slopes).select("query_id", F.round("corrected_brier", 8).alias("corrected_brier"))
+    """That fit applied to the later half, within the range that the feature had in the first."""
+    early, late = _halves(spark, sf_dir)
+    moved = residuals.apply(late, "feature", residuals.fit(early, "feature", ["all"]), ["all"])
+    return moved.select("query_id", *[F.round(f"p_{n}", 8).alias(f"p_{n}") for n in residuals.NAMES], F.round(residuals.brier(), 8).alias("corrected_brier"))
 
 
 def basis_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,14 +376,30 @@ def _compact(where: str) -> str:
 SELECT query_id, round(min(distance) FILTER (same), 8) AS nearest_same, round(min(distance) FILTER (NOT same), 8) AS nearest_other, {share(5)}, {share(10)}, {share(20)} FROM r GROUP BY 1"""
 
 
-def _slope_cte(src: str, name: str, clamp: bool) -> str:
-    x = "greatest(least(f, 10.0), 2.0)" if clamp else "f"
-    z = f"(CASE WHEN dev > 0 THEN ({x} - mean) / dev ELSE 0 END)"
-    s = lambda c: f"sum({z} * ((CASE WHEN actual = '{c.upper()}' THEN 1.0 ELSE 0.0 END) - {c}_bp / 10000.0)) / sum({z} * {z}) AS slope_{c}"
-    return f"{name}_s AS (SELECT avg({x}) AS mean, stddev_pop({x}) AS dev FROM {src}), {name} AS (SELECT max(mean) AS mean, max(dev) AS dev, {s('up')}, {s('range')}, {s('down')} FROM {src}, {name}_s)"
+_CASES = f"""WITH {VOTES}, ca AS (SELECT vt.*, v[1] AS f FROM vt JOIN sc ON sc.sample_id = vt.query_id), mid AS (SELECT quantile_cont(query_id, 0.5) AS middle FROM ca),
+early AS (SELECT ca.* FROM ca, mid WHERE query_id < middle), late AS (SELECT ca.* FROM ca, mid WHERE query_id >= middle)"""
+
+
+def fit_sql(src: str, name: str, feature: str, p: str = "{}_bp / 10000.0", by: str = "") -> str:
+    """CTEs of a residual fit, as ``residuals.fit``."""
+    err = lambda c: f"((CASE WHEN actual = '{c.upper()}' THEN 1.0 ELSE 0.0 END) - {p.format(c)})"
+    key, group, using = (f"{by}, ", f" GROUP BY {by}", f"JOIN {name}_m USING ({by})") if by else ("", "", f", {name}_m")
+    cols = ", ".join(f"(sum(z * {err(c)}) - avg({err(c)}) * sum(z)) / sum(z * z) AS slope_{c}" for c in ("up", "range", "down"))
+    return f"""{name}_m AS (SELECT {key}avg({feature}) AS mean, stddev_pop({feature}) AS dev FROM {src} WHERE {feature} IS NOT NULL{group}), {name}_z AS (SELECT *, ({feature} - mean) / dev AS z FROM {src} {using} WHERE {feature} IS NOT NULL),
+{name} AS (SELECT {key}count(*) AS n, any_value(mean) AS mean, any_value(dev) AS dev, min(z) AS low, max(z) AS high, {', '.join(f'avg({err(c)}) AS intercept_{c}' for c in ('up', 'range', 'down'))}, {cols} FROM {name}_z{group})"""
+
+
+def apply_sql(src: str, fitted: str, name: str, feature: str, p: str = "{}_bp / 10000.0", by: str = "") -> str:
+    """CTEs of its application: {name} has the columns of ``src`` with p_up, p_range and p_down."""
+    met = f"{src} JOIN {fitted} USING ({by})" if by else f"{src}, {fitted}"
+    raw = ", ".join(f"greatest({p.format(c)} + slope_{c} * greatest(least(({feature} - mean) / dev, high), low), 0) AS m_{c}" for c in ("up", "range", "down"))
+    drop = "" if p.startswith("{}_bp") else " EXCLUDE (p_up, p_range, p_down)"
+    total = "(m_up + m_range + m_down)"
+    share = ", ".join(f"CASE WHEN {total} > 0 THEN m_{c} / {total} ELSE 1.0 / 3 END AS p_{c}" for c in ("up", "range", "down"))
+    return f"{name}_r AS (SELECT {src}.*, {raw} FROM {met}), {name} AS (SELECT *{drop}, {share} FROM {name}_r)".replace(f"SELECT *{drop}, CASE", f"SELECT * EXCLUDE (m_up, m_range, m_down{', p_up, p_range, p_down' if drop else ''}), CASE")
 
 
-_P = lambda c: f"greatest(least({c}_bp / 10000.0 + z * slope_{c}, 1.0), 0.0)"
+BRIER_P = " + ".join(f"pow(p_{c} - (CASE WHEN actual = '{c.upper()}' THEN 1 ELSE 0 END), 2)" for c in ("up", "range", "down"))
 
 WEEKLY_ONCE = f"SELECT instrument_id, count(*) AS weeks, round(sum(close), 4) AS closes FROM ({bar_queries.ORACLE['weekly_bars']}) GROUP BY 1"
 
@@ -409,10 +434,8 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(ms
     "price_quantiles": f"SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, {STATS.replace('distance', 'l_extendedprice').replace(', 8)', ', 6)')} FROM lineitem GROUP BY 1, 2",
     "correlations": "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 8) AS price_quantity, CAST(NULL AS DOUBLE) AS \"none\" FROM lineitem GROUP BY 1",
     "optional_means": "SELECT l_shipdate, round(avg(CASE WHEN l_linenumber > 2 THEN l_quantity END), 8) AS mean_x, round(avg(CASE WHEN l_tax > 0.04 THEN 1.0 ELSE 0.0 END), 8) AS share FROM lineitem GROUP BY 1",
-    "residual_slopes": f"WITH {VOTES}, ca AS (SELECT *, CAST(query_id % 13 AS DOUBLE) AS f FROM vt), {_slope_cte('ca', 'sl', True)} SELECT round(mean, 8) AS mean, round(dev, 8) AS dev, round(slope_up, 8) AS slope_up, round(slope_range, 8) AS slope_range, round(slope_down, 8) AS slope_down FROM sl",
-    "corrected_forecasts": f"""WITH {VOTES}, ca AS (SELECT *, CAST(query_id % 13 AS DOUBLE) AS f FROM vt), mid AS (SELECT quantile_cont(query_id, 0.5) AS middle FROM ca), early AS (SELECT ca.* FROM ca, mid WHERE query_id < middle), {_slope_cte('early', 'sl', False)},
-zz AS (SELECT *, CASE WHEN dev > 0 THEN (f - mean) / dev ELSE 0 END AS z FROM ca, sl, mid WHERE query_id >= middle), mv AS (SELECT *, {_P('up')} AS a, {_P('range')} AS b, {_P('down')} AS c FROM zz)
-SELECT query_id, round(pow(a / (a + b + c) - (CASE WHEN actual = 'UP' THEN 1 ELSE 0 END), 2) + pow(b / (a + b + c) - (CASE WHEN actual = 'RANGE' THEN 1 ELSE 0 END), 2) + pow(c / (a + b + c) - (CASE WHEN actual = 'DOWN' THEN 1 ELSE 0 END), 2), 8) AS corrected_brier FROM mv""",
+    "residual_slopes": f"{_CASES}, {fit_sql('early', 'sl', 'f')} SELECT n, {', '.join(f'round({c}, 8) AS {c}' for c in ('mean', 'dev', 'low', 'high', *[f'{x}_{c}' for x in ('intercept', 'slope') for c in ('up', 'range', 'down')]))} FROM sl",
+    "corrected_forecasts": f"{_CASES}, {fit_sql('early', 'sl', 'f')}, {apply_sql('late', 'sl', 'mv', 'f')} SELECT query_id, round(p_up, 8) AS p_up, round(p_range, 8) AS p_range, round(p_down, 8) AS p_down, round({BRIER_P}, 8) AS corrected_brier FROM mv",
     "basis_points": f"WITH m AS (SELECT c_custkey, CAST(c_custkey % 7 AS DOUBLE) AS u, CAST(c_custkey % 11 AS DOUBLE) AS g, CAST(c_custkey % 3 AS DOUBLE) AS d FROM customer), b AS (SELECT c_custkey, {_bp('u', 'g', 'd')} AS bp FROM m) SELECT c_custkey, bp[1] AS up_bp, bp[2] AS range_bp, bp[3] AS down_bp FROM b",
     "parsed_dates": "SELECT CASE WHEN l_linenumber % 4 <> 3 THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS day, count(*) AS rows FROM lineitem GROUP BY 1",
     "resolved_names": """WITH t AS (SELECT DISTINCT [' btc', 'Btc-USDT', 'eur/usd', 's&p 500', 'sp500', 'GOLD!', 'nasdaq', 'aapl', 'doge', ''][n_nationkey % 10 + 1] AS name FROM nation),

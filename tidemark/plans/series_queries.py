@@ -158,7 +158,11 @@ def cross_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kernel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in kernel rows made from bars: the kernel itself is an input to this library."""
-    b = B.order_bars(spark, sf_dir)
+    return kernel_of(B.order_bars(spark, sf_dir))
+
+
+def kernel_of(b: DataFrame) -> DataFrame:
+    """Stand-in kernel rows of any bars."""
     made = {"delta": "(high - low) / close", "delta_tilde": "(close - open) / open", "xi": "0.2D * (high - low) / close", "lambda": "0.1D + 0.9D * (trade_count % 10) / 10", "theta": "1D + (high - low) / high", "M": "(close - open) / open", "G": "(high - close) / close", "A": "2D * (high - low) / close"}
     return b.select(*S, F.col("close_time_ns").alias("timestamp_ns"), *[F.expr(e).alias(n) for n, e in made.items()])
 
