@@ -3,11 +3,11 @@
 1. ``pieces``: texts are cut at punctuation and line ends; identical pieces of a language become one row
    with its number, by partial aggregation.
 2. ``gram_counts``: a task turns ``CHUNK`` characters of pieces at a time into weighted n-gram counts and
-   sends them, compressed, to hash buckets, several for each partition. A bucket's counts are added up in
-   duckdb with a fixed memory limit; beyond it duckdb spills to a folder that lives as long as the task, as
-   Spark's own spills do. A frequent n-gram is one row for each chunk, not for each occurrence.
+   sends them, compressed, to hash buckets, several for each partition. A task's buckets stream into duckdb,
+   which adds them up with a fixed memory limit; beyond it duckdb spills to a folder that lives as long as the
+   task, as Spark's own spills do. A frequent n-gram is one row for each chunk, not for each occurrence.
 3. ``collocations``: every phrase asks for the counts of its parts: requests and counts meet in a shuffle
-   join on part and salt, so that a word that a third of the phrases ask for is in ``SALTS`` tasks.
+   join on part and salt, so that a word that a third of the phrases ask for is in ``SALTS`` tasks; longer parts are asked for by few.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 from .common import column, written
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Where pieces end, and what parts words inside a piece.
+#: Where pieces end.
 ENDS = r"[.,;:!?\x0A-\x0D]"
-SPACE = r"[\x20\x09]+"
 
 LONGEST = 3
 #: Occurrences that a candidate has at least.
@@ -39,19 +38,17 @@ TOP = 2000
 #: Characters of pieces that are counted at a time, hash buckets for each shuffle partition, and the
 #: memory that duckdb may take in a task.
 CHUNK = 8_000_000
-BUCKETS = 8
+BUCKETS = 4
 MEMORY = "300MB"
 SALTS = 16
 
 
 def pieces(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, piece, n): the different pieces of each language, words parted by one space, and how often
-    each occurs. A null text has none; a null language is ``und``."""
+    """(lang, piece, n): the different pieces of each language as they are written, and how often each
+    occurs. A null text has none; a null language is ``und``."""
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
-    low = F.translate(F.col(text_col).cast("string"), LETTERS, LETTERS.lower())
-    split = docs.select(lang.alias("lang"), F.explode(F.split(low, ENDS)).alias("raw"))
-    piece = F.trim(F.regexp_replace("raw", SPACE, " "))
-    return split.select("lang", piece.alias("piece")).where("piece != ''").groupBy("lang", "piece").agg(F.count("*").alias("n"))
+    split = docs.select(lang.alias("lang"), F.explode(F.split(F.col(text_col).cast("string"), ENDS)).alias("piece"))
+    return split.where("piece != ''").groupBy("lang", "piece").agg(F.count("*").alias("n"))
 
 
 def _duck(folder: str) -> duckdb.DuckDBPyConnection:
@@ -59,34 +56,36 @@ def _duck(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _grams(longest: int, buckets: int) -> str:
-    """DuckDB SQL: weighted n-grams of ``chunk`` with their buckets; the empty one counts words."""
+    """DuckDB SQL: weighted n-grams of ``chunk`` with their buckets; the empty one counts words. A-Z become
+    a-z, and words are what spaces and tabs part."""
     runs = [f"list_transform(range(1, len(ws) - {k - 2}), lambda i: " + " || ' ' || ".join(f"ws[i + {j}]" for j in range(k)) + ")" for k in range(2, longest + 1)]
     every = f"list_concat(ws, {', '.join(runs)})" if len(runs) == 1 else "flatten([ws, " + ", ".join(runs) + "])"
     return f"""
-    WITH w AS (SELECT lang, n, string_split(piece, ' ') AS ws FROM chunk),
+    WITH w AS (SELECT lang, n, list_filter(string_split(translate(piece, '{LETTERS}\t', '{LETTERS.lower()} '), ' '), lambda x: x <> '') AS ws FROM chunk),
     g AS (SELECT lang, n, unnest({every}) AS gram FROM w UNION ALL SELECT lang, n * len(ws), '' FROM w)
-    SELECT lang, gram, sum(n)::BIGINT AS n, (hash(gram) % {buckets})::INTEGER AS bucket FROM g GROUP BY lang, gram ORDER BY bucket, lang
+    SELECT lang, gram, sum(n)::BIGINT AS n, (hash(gram) % {buckets})::INTEGER AS bucket FROM g GROUP BY lang, gram ORDER BY bucket
     """
 
 
-def _packed(grams: pa.StringArray, numbers: np.ndarray) -> bytes:
-    """Compressed texts, their lengths and numbers, with the sizes of the first two in front."""
+def _packed(langs: np.ndarray, grams: pa.StringArray, numbers: np.ndarray) -> bytes:
+    """Compressed places of the languages, texts, their lengths, and numbers; the sizes of the first three
+    are in front."""
     ends = np.frombuffer(grams.buffers()[1], np.int32)[grams.offset : grams.offset + len(grams) + 1]
     data = grams.buffers()[2]
     pack = zstandard.ZstdCompressor(3).compress
-    text = pack(memoryview(data)[ends[0] : ends[-1]] if data else b"")
-    lengths, counts = pack(np.diff(ends).astype("<u4").tobytes()), pack(numbers.astype("<i8").tobytes())
-    return struct.pack("<II", len(text), len(lengths)) + text + lengths + counts
+    parts = [pack(langs.astype("<u4").tobytes()), pack(memoryview(data)[ends[0] : ends[-1]] if data else b""), pack(np.diff(ends).astype("<u4").tobytes()), pack(numbers.astype("<i8").tobytes())]
+    return struct.pack("<III", *map(len, parts[:3])) + b"".join(parts)
 
 
-def _unpacked(data: bytes) -> pa.Table:
-    a, b = struct.unpack_from("<II", data)
+def _unpacked(data: bytes, names: list[str]) -> pa.RecordBatch:
+    a, b, c = struct.unpack_from("<III", data)
     open_ = zstandard.ZstdDecompressor().decompress
-    text, lengths, counts = open_(data[8 : 8 + a]), np.frombuffer(open_(data[8 + a : 8 + a + b]), "<u4"), open_(data[8 + a + b :])
-    ends = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=ends[1:])
-    grams = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(text))
-    return pa.table({"gram": grams, "n": pa.array(np.frombuffer(counts, "<i8"))})
+    cuts = np.cumsum([12, a, b, c])
+    langs, text, lengths, counts = (open_(data[x:y]) for x, y in zip(cuts, [*cuts[1:], len(data)], strict=True))
+    ends = np.zeros(len(lengths) // 4 + 1, np.int32)
+    np.cumsum(np.frombuffer(lengths, "<u4"), out=ends[1:])
+    grams = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(text))
+    return pa.record_batch([pa.array(names, pa.string()).take(pa.array(np.frombuffer(langs, "<u4"))), grams, pa.array(np.frombuffer(counts, "<i8"))], ["lang", "gram", "n"])
 
 
 def gram_counts(weighted: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
@@ -109,11 +108,11 @@ def gram_counts(weighted: DataFrame, longest: int = LONGEST, least: int = LEAST)
                 got = got.set_column(0, "lang", got["lang"].dictionary_encode()).unify_dictionaries().combine_chunks()
                 bucket, lang = got["bucket"].to_numpy(), got["lang"].chunk(0).indices.to_numpy()
                 grams, numbers = got["gram"].chunk(0), got["n"].to_numpy()
-                starts = [0, *(((bucket[1:] != bucket[:-1]) | (lang[1:] != lang[:-1])).nonzero()[0] + 1).tolist(), len(bucket)]
+                starts = [0, *((bucket[1:] != bucket[:-1]).nonzero()[0] + 1).tolist(), len(bucket)]
                 names = got["lang"].chunk(0).dictionary.to_pylist()
                 for i in range(0, len(starts) - 1, 256):
                     parts = list(zip(starts[i : i + 256], starts[i + 1 : i + 257], strict=False))
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket[x] for x, _ in parts], pa.int32()), pa.array([names[lang[x]] for x, _ in parts], pa.string()), pa.array([_packed(grams.slice(x, y - x), numbers[x:y]) for x, y in parts], pa.binary())], ["bucket", "lang", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket[x] for x, _ in parts], pa.int32()), pa.array([names] * len(parts), pa.list_(pa.string())), pa.array([_packed(lang[x:y], grams.slice(x, y - x), numbers[x:y]) for x, y in parts], pa.binary())], ["bucket", "langs", "counts"])
 
             size = 0
             for b in batches:
@@ -126,28 +125,19 @@ def gram_counts(weighted: DataFrame, longest: int = LONGEST, least: int = LEAST)
                 yield from out()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tempfile.TemporaryDirectory() as folder, _duck(folder) as con:
-            con.execute("CREATE TABLE part (lang VARCHAR, gram VARCHAR, n BIGINT)")
-            bucket = None
-
-            def close() -> Iterator[pa.RecordBatch]:
-                yield from con.sql(f"SELECT lang, gram, sum(n)::BIGINT AS f FROM part GROUP BY lang, gram HAVING sum(n) >= {least} OR gram = ''").to_arrow_table().to_batches()
-                con.execute("TRUNCATE part")
+        schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
+        def parts() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for k, lang, data in zip(column(b, "bucket").to_pylist(), column(b, "lang").to_pylist(), column(b, "counts"), strict=True):
-                    if k != bucket:
-                        if bucket is not None:
-                            yield from close()
-                        bucket = k
-                    con.register("new", _unpacked(data.as_py()))
-                    con.execute("INSERT INTO part SELECT ?, gram, n FROM new", [lang])
-                    con.unregister("new")
-            if bucket is not None:
-                yield from close()
+                for names, data in zip(column(b, "langs").to_pylist(), column(b, "counts"), strict=True):
+                    yield _unpacked(data.as_py(), names)
+
+        with tempfile.TemporaryDirectory() as folder, _duck(folder) as con:
+            con.register("part", pa.RecordBatchReader.from_batches(schema, parts()))
+            yield from con.sql(f"SELECT lang, gram, sum(n)::BIGINT AS f FROM part GROUP BY lang, gram HAVING sum(n) >= {least} OR gram = ''").to_arrow_table().to_batches()
 
-    packed = weighted.mapInArrow(count, "bucket int, lang string, counts binary")
-    return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "lang string, gram string, f long")
+    packed = weighted.mapInArrow(count, "bucket int, langs array<string>, counts binary")
+    return packed.repartition(partitions, "bucket").mapInArrow(add_up, "lang string, gram string, f long")
 
 
 def _run(words: Column, start: int, length: Column | int) -> Column:
@@ -176,8 +166,10 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     cuts = range(1, longest)
     asked = F.array(*[F.struct(F.lit(c).alias("cut"), F.lit(left).alias("left"), (_run(words, 1, c) if left else _run(words, c + 1, F.lit(longest))).alias("part")) for c in cuts for left in (True, False)])
     asking = found.select("lang", "phrase", "a", F.explode(F.filter(asked, lambda x: x["cut"] < F.col("k"))).alias("x"))
-    requests = asking.select("lang", F.col("x.part").alias("part"), F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).alias("salt"), "phrase", "a", F.col("x.cut").alias("cut"), F.col("x.left").alias("left"))
-    answers = counts.where("gram != ''").select("lang", F.col("gram").alias("part"), "f", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    requests = asking.select("lang", F.col("x.part").alias("part"), F.when(F.instr("x.part", " ") == 0, F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).otherwise(0).alias("salt"), "phrase", "a", F.col("x.cut").alias("cut"), F.col("x.left").alias("left"))
+    length = F.size(F.split("gram", " "))
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(length == 1, F.lit(SALTS - 1)).otherwise(0).cast("bigint")))
+    answers = counts.where((F.col("gram") != "") & (length < longest)).select("lang", F.col("gram").alias("part"), "f", copies.alias("salt"))
     replies = requests.join(answers, ["lang", "part", "salt"]).select("lang", "phrase", "a", "cut", "left", "f", F.lit(None).cast("long").alias("longer"))
 
     # What each phrase contains, with its own occurrences: the most that a longer one has.
