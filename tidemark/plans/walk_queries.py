@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audits, dynamics, labels, residuals, resample, structure, walk
-from ..session import ship, stored
+from ..operators import audits, dynamics, frozen, labels, resample, residuals, structure, walk
+from ..session import shared_path, ship, stored
 from ..sources import bars as B
 from . import sample_queries as P
 from . import series_queries as R
@@ -79,9 +79,8 @@ def structural_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("instrument_id", "place", "variant", "dimensions", "observations", "resolved", *[F.round(c, 6).alias(c) for c in ("skill", "balanced_accuracy", "calibration_error", "coverage")])
 
 
-def sequential_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brier scores of the base forecasts, corrected by velocity, by acceleration, and by acceleration on
-    what velocity leaves."""
+def _featured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Validation and evaluation cases of the base variant with velocity and acceleration."""
     ship(spark)
     bars, told, frames = _base(spark, sf_dir)
     rows = stored(dynamics.features(R.dynamics_input(spark, sf_dir), R.dynamics_input(spark, sf_dir, True)), "dynamics")
@@ -90,11 +89,33 @@ def sequential_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     validation, evaluation, _ = walk.walk_forward(walk.candidates(vectors, bars, told), frames)
     feature = complete.select(*S, F.col("timestamp_ns").alias("at"), "delta_velocity", "delta_acceleration")
     with_feature = lambda c: stored(residuals.forecasts(c).join(feature, [*S, "at"]), "cases")
-    found = residuals.sequential(with_feature(validation), with_feature(evaluation), "delta_velocity", "delta_acceleration", ["instrument_id"])
+    return with_feature(validation), with_feature(evaluation)
+
+
+def sequential_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brier scores of the base forecasts, corrected by velocity, by acceleration, and by acceleration on
+    what velocity leaves."""
+    found = residuals.sequential(*_featured(spark, sf_dir), "delta_velocity", "delta_acceleration", ["instrument_id"])
     return found.select("instrument_id", "cases", *[F.round(c, 6).alias(c) for c in found.columns if c.startswith("brier")])
 
 
-QUERIES = {f.__name__: f for f in (walk_forward, ablation_ranking, structural_ablation, sequential_residuals)}
+def frozen_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The velocity correction, registered on validation cases, scored by a stream of later ones."""
+    validation, evaluation = _featured(spark, sf_dir)
+    boundary = validation.groupBy(*S).agg(F.max("at").alias("boundary_ns"))
+    fits, cases, out = (shared_path(spark, x) for x in ("fits", "cases", "scores"))
+    frozen.register(residuals.fit(validation, "delta_velocity", S), "delta_velocity", boundary, fits)
+    # Earlier cases are sent along, and all of them twice.
+    validation.unionByName(evaluation).write.parquet(cases)
+    evaluation.write.mode("append").parquet(cases)
+    stream = spark.readStream.schema(evaluation.schema).parquet(cases)
+    frozen.score_stream(stream, frozen.registered(spark, fits), "delta_velocity", out, shared_path(spark, "progress")).awaitTermination()
+    scores = spark.read.parquet(out)
+    lies = [F.count_if(F.col("support") == x).alias(x.lower()) for x in ("BELOW", "WITHIN", "ABOVE")]
+    return scores.groupBy("instrument_id").agg(F.count("*").alias("cases"), F.round(F.avg("brier"), 6).alias("brier"), F.round(F.avg("corrected_brier"), 6).alias("corrected_brier"), *lies)
+
+
+QUERIES = {f.__name__: f for f in (walk_forward, ablation_ranking, structural_ablation, sequential_residuals, frozen_forward)}
 
 KEY = "instrument_id, timeframe"
 
@@ -171,4 +192,8 @@ SELECT instrument_id, CAST(row_number() OVER (PARTITION BY instrument_id ORDER B
 {P.apply_sql('ev', 'f1s', 'e1', 'f1', _BP, _ID)}, {P.apply_sql('ev', 'f2s', 'e2', 'f2', _BP, _ID)}, {P.apply_sql('e1', 'f2a', 'e12', 'f2', _P, _ID)}, e0 AS (SELECT *, {_PLAIN} FROM ev),
 {_SCORE('e0', 's0')}, {_SCORE('e1', 's1')}, {_SCORE('e2', 's2')}, {_SCORE('e12', 's12')}
 SELECT instrument_id, s0.cases, round(s0.b, 6) AS brier, round(s1.b, 6) AS brier_first, round(s2.b, 6) AS brier_second, round(s12.b, 6) AS brier_both FROM s0 JOIN s1 USING (instrument_id) JOIN s2 USING (instrument_id) JOIN s12 USING (instrument_id)""",
+    "frozen_forward": f"""WITH {BOTH}, {COMMON}, {_candidates('vx')}, {_walk(6)}, va AS {_FEATURED} AND part = 'V'), ev AS {_FEATURED} AND part = 'E'),
+{P.fit_sql('va', 'f1s', 'f1', _BP, _ID)}, {P.apply_sql('ev', 'f1s', 'e1', 'f1', _BP, _ID)}, e0 AS (SELECT *, {_PLAIN} FROM ev), {_SCORE('e0', 's0')}, {_SCORE('e1', 's1')},
+su AS (SELECT instrument_id, count(*) FILTER ((f1 - mean) / dev < low) AS below, count(*) FILTER ((f1 - mean) / dev > high) AS above, count(*) AS total FROM ev JOIN f1s USING (instrument_id) GROUP BY 1)
+SELECT instrument_id, s0.cases, round(s0.b, 6) AS brier, round(s1.b, 6) AS corrected_brier, below, total - below - above AS "within", above FROM s0 JOIN s1 USING (instrument_id) JOIN su USING (instrument_id)""",
 }
