@@ -96,5 +96,5 @@ def test_recall_of_the_tables(similarity):
         sets = [np.unique(np.array(x, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for x in (words[:n], words[n - shared :])]
         a, b = map(M.min_values, sets)
         same = (a == b).reshape(-1, M.HALF).all(1)
-        met += bool(same[: M.COLLECTION].any() and same[M.COLLECTION :].any()) and bool(M.alike(*(np.frombuffer(M.sketch_of(x), np.uint8)[None] for x in sets), M.LEAST)[0])
+        met += bool(same[: M.COLLECTION].any() and same[M.COLLECTION :].any()) and bool(M.alike(*(np.frombuffer(M.sketch_of(x), np.uint8)[None] for x in sets), *(np.array([len(x)]) for x in sets), M.LEAST)[0])
     assert met == 200

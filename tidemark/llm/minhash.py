@@ -14,10 +14,10 @@ table with probability (1 - (1 - s^3)^14)^2: at 0.85 all but 3 in a million, at
    which are verified. A large bucket becomes several tasks, and a pair comes once, whatever it shares.
 4. Every candidate is verified on the full sets of both texts; links are joined by union-find.
 
-A sketch has one byte of the smallest hash in each of 256 parts of the hash range. Equal bytes among the
+A sketch has one byte of the smallest hash in each of 512 parts of the hash range. Equal bytes among the
 parts that either set occupies estimate the similarity; a pair is verified from ``DEVIATIONS`` standard
-deviations below 0.85 on (fewer than one linked pair in ten million is lower; a set that fills few parts is
-almost wholly in its sketch).
+deviations below 0.85 on (fewer than one linked pair in ten million is lower). The parts draw from the
+union without repeats, so of short texts, whose sketch is almost the whole set, few other pairs pass.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ COLLECTION = 14
 HALF = 3
 VALUES = 2 * COLLECTION * HALF
 #: Parts that the hash range is cut into for a sketch: one byte of the smallest hash of each part.
-PARTS = 256
+PARTS = 512
 #: Standard deviations below what a pair at LEAST has, down to which pairs are verified.
 DEVIATIONS = 5.5
 #: Rows of a bucket that meet in one task at a time, and shingles of the sets that one task holds of each side.
@@ -98,19 +98,25 @@ def min_values(hashes: np.ndarray) -> np.ndarray:
 
 def sketch_of(hashes: np.ndarray) -> bytes:
     """PARTS bytes: 0 for a part of the hash range without a hash, else 1 to 255 of its smallest one."""
-    begins = np.searchsorted(hashes, np.arange(PARTS, dtype=np.uint64) << np.uint64(64 - 8))
+    begins = np.searchsorted(hashes, np.arange(PARTS, dtype=np.uint64) << np.uint64(64 - 9))
     found = np.append(hashes, np.uint64(0))[begins]
-    there = (found >> np.uint64(64 - 8)) == np.arange(PARTS, dtype=np.uint64)
+    there = (found >> np.uint64(64 - 9)) == np.arange(PARTS, dtype=np.uint64)
     there &= begins < len(hashes)
     return np.where(there, found % np.uint64(255) + np.uint64(1), 0).astype(np.uint8).tobytes()
 
 
-def alike(u: np.ndarray, v: np.ndarray, least: int) -> np.ndarray:
-    """Which rows of two sketch tables may be linked."""
+def alike(u: np.ndarray, v: np.ndarray, m: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
+    """Which rows of two sketch tables, of sets of m and n shingles, may be linked.
+
+    A part's smallest hash is one of the union's: the parts that are filled draw as many shingles of the
+    union without repeats. At the limit the union has (m + n) / (1 + least) shingles.
+    """
     filled = ((u | v) != 0).sum(1)
     equal = ((u == v) & (u != 0)).sum(1)
     p = least / 100
-    return equal >= p * filled - DEVIATIONS * np.sqrt(p * (1 - p) * filled)
+    union = np.maximum((m + n) / (1 + p), 2.0)
+    left = np.clip((union - filled) / (union - 1), 0.0, 1.0)
+    return equal >= p * filled - DEVIATIONS * np.sqrt(p * (1 - p) * filled * left) - 1
 
 
 def linked(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> bool:
@@ -153,7 +159,7 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int
     blocks = F.lit(max(1, -(-int(total) // HELD)))
     side = lambda c: F.pmod(F.xxhash64(c), blocks).cast("int")
     dealt = pairs.select("a", "b", side("a").alias("i"), side("b").alias("j"))
-    asked = dealt.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = dealt.select("i", "j", F.col("a").alias("node")).union(dealt.select("i", "j", "b")).distinct()
     none = F.lit(None).cast("binary")
     rows = asked.join(texts, "node").select("i", "j", F.col("node").alias("a"), none.alias("b"), "text").union(dealt.select("i", "j", "a", "b", F.lit(None).cast("string")))
 
@@ -192,7 +198,7 @@ def _apart(rows: _Block, others: _Block, bucket: int, least: int) -> Iterator[tu
     buckets comes from the first of them."""
     for i, (node, component, n, _, _) in enumerate(rows.rows):
         near = ((100 * np.minimum(others.size, n) >= least * np.maximum(others.size, n)) & (others.component != component)).nonzero()[0]
-        near = near[alike(others.sketch[near], rows.sketch[i][None], least)]
+        near = near[alike(others.sketch[near], rows.sketch[i][None], others.size[near], np.float64(n), least)]
         same = others.keys[near] == rows.keys[i]
         for j in near[(same[:, :COLLECTION].argmax(1) == bucket) & same[:, COLLECTION:].any(1)].tolist():
             other = others.rows[j][0]
@@ -307,7 +313,7 @@ def _like(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
         for b in batches:
             u, v = (np.frombuffer(b"".join(column(b, c).to_pylist()), np.uint8).reshape(-1, PARTS) for c in ("su", "sv"))
             m, n = (column(b, c).to_numpy() for c in ("m", "n"))
-            keep = pa.array(alike(u, v, least) & (100 * np.minimum(m, n) >= least * np.maximum(m, n)))
+            keep = pa.array(alike(u, v, m, n, least) & (100 * np.minimum(m, n) >= least * np.maximum(m, n)))
             yield pa.RecordBatch.from_arrays([column(b, c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     side = lambda c, n, s: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(n), F.col("sketch").alias(s))
