@@ -3,9 +3,8 @@
 1. ``pieces``: texts are cut at punctuation and line ends; identical pieces of a language become one row
    with its number, by partial aggregation.
 2. ``gram_counts``: a task turns ``CHUNK`` characters of pieces at a time into weighted n-gram counts and
-   sends them, compressed, to hash buckets, several for each partition. A task's buckets stream into duckdb,
-   which adds them up with a fixed memory limit; beyond it duckdb spills to a folder that lives as long as the
-   task, as Spark's own spills do. A frequent n-gram is one row for each chunk, not for each occurrence.
+   sends them, compressed, to hash buckets. A bucket streams into duckdb, which adds it up with a fixed memory
+   limit; beyond it duckdb spills to a folder that lives as long as the task, as Spark's own spills do. A frequent n-gram is one row for each chunk, not for each occurrence.
 3. ``collocations``: every phrase asks for the counts of its parts: requests and counts meet in a shuffle
    join on part and salt, so that a word that a third of the phrases ask for is in ``SALTS`` tasks; longer parts are asked for by few.
 """
@@ -35,8 +34,8 @@ LEAST = 10
 #: A phrase goes if a longer one has this percentage of its occurrences.
 COVER = 50
 TOP = 2000
-#: Characters of pieces that are counted at a time, hash buckets for each shuffle partition, and the
-#: memory that duckdb may take in a task.
+#: Bytes of pieces that are counted at a time, hash buckets (a task each) for each shuffle partition, and
+#: the memory that duckdb may take in a task.
 CHUNK = 8_000_000
 BUCKETS = 4
 MEMORY = "300MB"
@@ -137,7 +136,7 @@ def gram_counts(weighted: DataFrame, longest: int = LONGEST, least: int = LEAST)
             yield from con.sql(f"SELECT lang, gram, sum(n)::BIGINT AS f FROM part GROUP BY lang, gram HAVING sum(n) >= {least} OR gram = ''").to_arrow_table().to_batches()
 
     packed = weighted.mapInArrow(count, "bucket int, langs array<string>, counts binary")
-    return packed.repartition(partitions, "bucket").mapInArrow(add_up, "lang string, gram string, f long")
+    return packed.repartitionById(partitions * BUCKETS, F.col("bucket")).mapInArrow(add_up, "lang string, gram string, f long")
 
 
 def _run(words: Column, start: int, length: Column | int) -> Column:
