@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import canonical, catalogue
-from ..operators import audits, calibrate, resample, residuals, scoring, validation
+from ..functions import catalogue
+from ..operators import audits, calibrate, profiles, resample, residuals, scoring, validation
 from ..operators import samples as S
 from ..operators.selection import quantiles
 from ..session import shared_path, ship, stored
@@ -317,10 +317,9 @@ def day_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of each nation's canonical document (its keys come unordered)."""
-    ship(spark)
-    doc = F.to_json(F.struct(F.col("n_regionkey").alias("region"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("key")))
-    return B.read(spark, sf_dir, "nation").select("n_nationkey", canonical.digest_of_json(doc).alias("digest"))
+    """Digest of each nation's canonical document (its fields come unordered)."""
+    docs = B.read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("region"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"))
+    return docs.select("n_nationkey", profiles.digest(docs, ["region", "name", "key"]).alias("digest"))
 
 
 def signal_responses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audits, dynamics, frozen, labels, resample, residuals, structure, walk
+from ..operators import audits, dynamics, frozen, labels, profiles, resample, residuals, structure, walk
 from ..session import shared_path, ship, stored
 from ..sources import bars as B
 from . import sample_queries as P
@@ -115,7 +115,31 @@ def frozen_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.groupBy("instrument_id").agg(F.count("*").alias("cases"), F.round(F.avg("brier"), 6).alias("brier"), F.round(F.avg("corrected_brier"), 6).alias("corrected_brier"), *lies)
 
 
-QUERIES = {f.__name__: f for f in (walk_forward, ablation_ranking, structural_ablation, sequential_residuals, frozen_forward)}
+#: When the forecasts of ``profile_checks`` were registered, after all bars.
+REGISTERED_NS = 15_000 * Q.DAY
+
+
+def profile_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of the order series, each sound, tampered with after signing, and of an older engine, with
+    every rule that they fail."""
+    bars = B.order_bars(spark, sf_dir)
+    n = bars.groupBy(*S).agg(F.count("*").alias("bars"), F.min("low").alias("least"), F.max("high").alias("most_"), F.max("close_time_ns").alias("last_ns"))
+    held = F.floor(F.sqrt("bars")).cast("int")
+    train = F.col("bars") - 2 * held
+    k = F.floor(F.sqrt(train)).cast("int")
+    made = n.select(
+        F.concat(F.lit("stock:orders:"), "instrument_id").alias("instrument_id"), "timeframe", F.lit(profiles.VERSION).alias("version"), F.lit("STOCK").alias("asset_class"),
+        F.explode(F.array(F.lit("sound"), F.lit("tampered"), F.lit("stale"))).alias("form"), k.alias("k"), F.least(F.length(F.bin(train)) - 1, k).cast("int").alias("least_support"),
+        F.round((F.col("most_") - F.col("least")) / F.col("most_"), 6).alias("most"), F.lit(1.5).alias("power"), F.lit(0.75).alias("barrier_up"), F.lit(0.75).alias("barrier_down"),
+        F.lit(3).alias("dimensions"), F.array(F.lit(True), F.lit(True), F.lit(False)).alias("effective"), train.cast("long").alias("samples"), "last_ns", F.lit(True).alias("untouched_test"), F.lit(REGISTERED_NS + 1).alias("split_ns"),
+    )
+    ready = made.withColumns({"profile_id": profiles.profile_id(), "engine_version": F.when(F.col("form") == "stale", "0.9.0").otherwise(profiles.ENGINE)})
+    hashed = profiles.signed(ready).withColumn("samples", F.when(F.col("form") == "tampered", F.col("samples") + 1).otherwise(F.col("samples")))
+    failed = profiles.checks(hashed, REGISTERED_NS).where("NOT passed").groupBy("profile_id", profiles.HASH).agg(F.concat_ws(",", F.sort_array(F.collect_list("check"))).alias("failed"))
+    return hashed.select("profile_id", "form", profiles.HASH).join(failed, ["profile_id", profiles.HASH], "left").select("profile_id", "form", profiles.HASH, F.coalesce("failed", F.lit("")).alias("failed"))
+
+
+QUERIES = {f.__name__: f for f in (walk_forward, ablation_ranking, structural_ablation, sequential_residuals, frozen_forward, profile_checks)}
 
 KEY = "instrument_id, timeframe"
 
@@ -192,6 +216,11 @@ SELECT instrument_id, CAST(row_number() OVER (PARTITION BY instrument_id ORDER B
 {P.apply_sql('ev', 'f1s', 'e1', 'f1', _BP, _ID)}, {P.apply_sql('ev', 'f2s', 'e2', 'f2', _BP, _ID)}, {P.apply_sql('e1', 'f2a', 'e12', 'f2', _P, _ID)}, e0 AS (SELECT *, {_PLAIN} FROM ev),
 {_SCORE('e0', 's0')}, {_SCORE('e1', 's1')}, {_SCORE('e2', 's2')}, {_SCORE('e12', 's12')}
 SELECT instrument_id, s0.cases, round(s0.b, 6) AS brier, round(s1.b, 6) AS brier_first, round(s2.b, 6) AS brier_second, round(s12.b, 6) AS brier_both FROM s0 JOIN s1 USING (instrument_id) JOIN s2 USING (instrument_id) JOIN s12 USING (instrument_id)""",
+    "profile_checks": f"""WITH {Q.ORDER_BARS}, b AS (SELECT instrument_id, timeframe, count(*) AS bars, round((max(high) - min(low)) / max(high), 6) AS most, max(close_time_ns) AS last_ns FROM bars GROUP BY ALL),
+p AS (SELECT 'stock:orders:' || instrument_id AS id, timeframe, most, last_ns, bars - 2 * CAST(floor(sqrt(bars)) AS BIGINT) AS train FROM b), k AS (SELECT *, CAST(floor(sqrt(train)) AS BIGINT) AS k, id || ':' || timeframe || ':{profiles.VERSION}' AS profile_id, unnest(['sound', 'tampered', 'stale']) AS form FROM p),
+d AS (SELECT *, '{{"asset_class":"STOCK","barrier_down":0.75,"barrier_up":0.75,"dimensions":3,"effective":[true,true,false],"engine_version":"' || (CASE WHEN form = 'stale' THEN '0.9.0' ELSE '{profiles.ENGINE}' END) || '","form":"' || form || '","instrument_id":"' || id || '","k":' || k || ',"last_ns":'
+  || last_ns || ',"least_support":' || least(length(bin(train)) - 1, k) || ',"most":' || most || ',"power":1.5,"profile_id":"' || profile_id || '","samples":' || train || ',"split_ns":' || {{split}} || ',"timeframe":"' || timeframe || '","untouched_test":true,"version":"{profiles.VERSION}"}}' AS doc FROM k)
+SELECT profile_id, form, 'sha256:' || sha256(doc) AS profile_sha256, concat_ws(',', CASE WHEN form = 'stale' THEN 'ENGINE' END, CASE WHEN form = 'tampered' THEN 'HASH' END, CASE WHEN last_ns > {REGISTERED_NS} THEN 'PROSPECTIVE_TEST' END) AS failed FROM d""".replace("{split}", f"'{REGISTERED_NS}'"),
     "frozen_forward": f"""WITH {BOTH}, {COMMON}, {_candidates('vx')}, {_walk(6)}, va AS {_FEATURED} AND part = 'V'), ev AS {_FEATURED} AND part = 'E'),
 {P.fit_sql('va', 'f1s', 'f1', _BP, _ID)}, {P.apply_sql('ev', 'f1s', 'e1', 'f1', _BP, _ID)}, e0 AS (SELECT *, {_PLAIN} FROM ev), {_SCORE('e0', 's0')}, {_SCORE('e1', 's1')},
 su AS (SELECT instrument_id, count(*) FILTER ((f1 - mean) / dev < low) AS below, count(*) FILTER ((f1 - mean) / dev > high) AS above, count(*) AS total FROM ev JOIN f1s USING (instrument_id) GROUP BY 1)
