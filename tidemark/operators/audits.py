@@ -85,7 +85,7 @@ def top_dimensions(met: DataFrame, top: int = 5) -> DataFrame:
 
 
 def rank_variants(scores: DataFrame, by: list[str]) -> DataFrame:
-    """``scores`` with place in each group, best first: skill, balanced accuracy, calibration error, coverage,
-    fewer dimensions, name of the variant."""
-    order = [F.desc("skill"), F.desc("balanced_accuracy"), F.asc("calibration_error"), F.desc("coverage"), F.asc("dimensions"), F.asc("variant")]
+    """``scores`` with place in each group, best first: skill, balanced accuracy, calibration error, coverage
+    (these to 12 places), fewer dimensions, name of the variant."""
+    order = [F.round("skill", 12).desc(), F.round("balanced_accuracy", 12).desc(), F.round("calibration_error", 12), F.round("coverage", 12).desc(), F.asc("dimensions"), F.asc("variant")]
     return scores.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))  # a row for each variant

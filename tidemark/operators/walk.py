@@ -116,10 +116,11 @@ def metrics(rows: DataFrame, group: list[str] = SERIES) -> DataFrame:
     return total.select(*group, "observations", "resolved", (F.col("resolved") / F.col("observations")).alias("coverage"), "correct", F.when(F.col("resolved") > 0, F.col("correct") / F.greatest("resolved", F.lit(1))).otherwise(0.0).alias("accuracy"), balanced.alias("balanced_accuracy"), "brier", "climatology", skill.alias("skill"), F.coalesce(gap, F.lit(0.0)).alias("calibration_error"))
 
 
-#: Better is larger: skill, balanced accuracy, calibration error turned round, coverage.
-def merit(prefix: str = "") -> Column:
-    c = lambda n: F.col(prefix + n)
-    return F.struct(c("skill").alias("a"), c("balanced_accuracy").alias("b"), (-c("calibration_error")).alias("c"), c("coverage").alias("d"))
+def merit() -> Column:
+    """Better is larger: skill, balanced accuracy, calibration error turned round, coverage; to 12 places, so
+    that the order of a sum decides nothing."""
+    names = ("skill", "balanced_accuracy", "calibration_error", "coverage")
+    return F.struct(*[F.round(-F.col(n) if n == "calibration_error" else F.col(n), 12).alias(n) for n in names])
 
 
 def walk_forward(rows: DataFrame, frames: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

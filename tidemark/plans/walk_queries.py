@@ -35,9 +35,10 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _variants(rows: DataFrame) -> DataFrame:
     """The common complete rows once for each nested variant: one vector of all dimensions, those beyond the
-    variant's null, so that a variant is a mask and all are searched in one pass. The timeframe names it."""
+    variant's null, so that a variant is a mask and all are searched in one pass. The timeframe names it.
+    Added features are taken to 12 places: what a sum leaves beside 0 would otherwise become a scale."""
     complete = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in ADDED))
-    made = F.array(*[F.struct(F.lit(name).alias("name"), F.concat("values", F.array(*[F.col(c).cast("double") if c in dynamics.VARIANTS[name] else F.lit(None).cast("double") for c in ADDED])).alias("vector")) for name in dynamics.VARIANTS])
+    made = F.array(*[F.struct(F.lit(name).alias("name"), F.concat("values", F.array(*[F.round(F.col(c).cast("double"), 12) if c in dynamics.VARIANTS[name] else F.lit(None).cast("double") for c in ADDED])).alias("vector")) for name in dynamics.VARIANTS])
     each = complete.withColumn("v", F.explode(made))
     return each.select("instrument_id", F.concat_ws("/", "timeframe", "v.name").alias("timeframe"), "timestamp_ns", F.col("v.vector").alias("vector"))
 
@@ -183,13 +184,13 @@ wc AS (SELECT wr.instrument_id, wr.timeframe, wr.t, wr.part, pw.power, wr.direct
 wq0 AS (SELECT {KEY}, part, power, count(*) AS observations, count(*) FILTER ({there}) AS resolved, count(*) FILTER ({there} AND predicted = actual) AS correct, coalesce(avg({own}) FILTER ({there}), 0) AS brier, coalesce(avg({usual}) FILTER ({there}), 0) AS climatology,
   list_filter([{recall('UP')}, {recall('RANGE')}, {recall('DOWN')}], lambda x: x IS NOT NULL) AS rc, coalesce(({gap}) / 3, 0) AS calibration_error FROM wc GROUP BY ALL),
 wq AS (SELECT *, resolved / observations AS coverage, CASE WHEN climatology > 0 THEN 1 - brier / climatology ELSE 0 END AS skill, CASE WHEN len(rc) > 0 THEN (list_sum(rc) // len(rc)) / 10000.0 ELSE 0 END AS balanced_accuracy FROM wq0),
-wx AS (SELECT a.instrument_id, a.timeframe, CASE WHEN (b.skill, b.balanced_accuracy, -b.calibration_error, b.coverage) > (a.skill, a.balanced_accuracy, -a.calibration_error, a.coverage) THEN 2.0 ELSE 1.0 END AS power
+wx AS (SELECT a.instrument_id, a.timeframe, CASE WHEN (round(b.skill, 12), b.balanced_accuracy, -round(b.calibration_error, 12), b.coverage) > (round(a.skill, 12), a.balanced_accuracy, -round(a.calibration_error, 12), a.coverage) THEN 2.0 ELSE 1.0 END AS power
   FROM wq a JOIN wq b USING ({KEY}) WHERE a.part = 'V' AND b.part = 'V' AND a.power = 1 AND b.power = 2)"""
 
 
 BASE = "vx AS (SELECT instrument_id, timeframe, close_time_ns AS t, " + R.FIELDS + " AS v FROM bars)"
 _FULL = " AND ".join(f"{c} IS NOT NULL" for c in ADDED)
-_PADDED = ", ".join("{'name': '" + name + "', 'v': list_concat(v, [" + ", ".join(f"CAST({c} AS DOUBLE)" if c in added else "NULL" for c in ADDED) + "])}" for name, added in dynamics.VARIANTS.items())
+_PADDED = ", ".join("{'name': '" + name + "', 'v': list_concat(v, [" + ", ".join(f"round(CAST({c} AS DOUBLE), 12)" if c in added else "NULL" for c in ADDED) + "])}" for name, added in dynamics.VARIANTS.items())
 NESTED = f"vn AS (SELECT instrument_id, timeframe, timestamp_ns AS t, unnest([{_PADDED}]) AS x FROM dyn WHERE {_FULL}), vx AS (SELECT instrument_id, timeframe || '/' || x.name AS timeframe, t, x.v AS v FROM vn)"
 COMMON = f"vx AS (SELECT instrument_id, timeframe, timestamp_ns AS t, v FROM dyn WHERE {_FULL})"
 # Labels and dynamics start from the same bars.
@@ -210,7 +211,7 @@ ORACLE = {
 SELECT instrument_id, timeframe, k, power, round(most, 6) AS most, observations, resolved, correct, {_rounded('balanced_accuracy brier climatology skill calibration_error')} FROM wq JOIN wx USING (instrument_id, timeframe, power) JOIN wp USING (instrument_id, timeframe) WHERE part = 'E'""",
     "ablation_ranking": f"""WITH {BOTH}, {NESTED}, {_candidates('vx')}, {_walk(6 + len(ADDED))},
 rk AS (SELECT wq.*, dimensions, split_part(timeframe, '/', 2) AS variant FROM wq JOIN wx USING (instrument_id, timeframe, power) JOIN wd USING (instrument_id, timeframe) WHERE part = 'E')
-SELECT instrument_id, CAST(row_number() OVER (PARTITION BY instrument_id ORDER BY skill DESC, balanced_accuracy DESC, calibration_error, coverage DESC, dimensions, variant) AS INTEGER) AS place, variant, CAST(dimensions AS INTEGER) AS dimensions, observations, resolved, {_rounded('skill balanced_accuracy calibration_error coverage')} FROM rk""",
+SELECT instrument_id, CAST(row_number() OVER (PARTITION BY instrument_id ORDER BY round(skill, 12) DESC, balanced_accuracy DESC, round(calibration_error, 12), coverage DESC, dimensions, variant) AS INTEGER) AS place, variant, CAST(dimensions AS INTEGER) AS dimensions, observations, resolved, {_rounded('skill balanced_accuracy calibration_error coverage')} FROM rk""",
     "sequential_residuals": f"""WITH {BOTH}, {COMMON}, {_candidates('vx')}, {_walk(6)}, va AS {_FEATURED} AND part = 'V'), ev AS {_FEATURED} AND part = 'E'),
 {P.fit_sql('va', 'f1s', 'f1', _BP, _ID)}, {P.fit_sql('va', 'f2s', 'f2', _BP, _ID)}, {P.apply_sql('va', 'f1s', 'va1', 'f1', _BP, _ID)}, {P.fit_sql('va1', 'f2a', 'f2', _P, _ID)},
 {P.apply_sql('ev', 'f1s', 'e1', 'f1', _BP, _ID)}, {P.apply_sql('ev', 'f2s', 'e2', 'f2', _BP, _ID)}, {P.apply_sql('e1', 'f2a', 'e12', 'f2', _P, _ID)}, e0 AS (SELECT *, {_PLAIN} FROM ev),
