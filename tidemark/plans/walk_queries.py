@@ -66,7 +66,8 @@ def ablation_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structural_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same ranking with the 14 structural dimensions as base: 14, 17, 23 and 26."""
+    """The same ranking with the 14 structural dimensions as base: 14, 17, 23 and 26. Not registered: it did not
+    end within 130 s at sf0.001 and its result is not checked yet."""
     ship(spark)
     bars, told, frames = _base(spark, sf_dir)
 
@@ -140,7 +141,7 @@ def profile_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.select("profile_id", "form", profiles.HASH).join(failed, ["profile_id", profiles.HASH], "left").select("profile_id", "form", profiles.HASH, F.coalesce("failed", F.lit("")).alias("failed"))
 
 
-QUERIES = {f.__name__: f for f in (walk_forward, ablation_ranking, structural_ablation, sequential_residuals, frozen_forward, profile_checks)}
+QUERIES = {f.__name__: f for f in (walk_forward, ablation_ranking, sequential_residuals, frozen_forward, profile_checks)}
 
 KEY = "instrument_id, timeframe"
 
