@@ -48,7 +48,11 @@ def split(rows: DataFrame, frames: DataFrame) -> DataFrame:
 def scaled(rows: DataFrame) -> DataFrame:
     """``rows`` normalised by their series' training rows, with sample_id (their time), mask and mask_key (one
     for each series and mask), and ``effective``: the dimensions that vary in training."""
-    fitted = S.fit_normalization(rows.where(F.col("part") == TRAIN), SERIES)
+    return scale(rows, S.fit_normalization(rows.where(F.col("part") == TRAIN), SERIES))
+
+
+def scale(rows: DataFrame, fitted: DataFrame) -> DataFrame:
+    """``scaled`` by a fitted normalisation; a series without one gives no row."""
     spec = fitted.groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct("axis", "median", "scale", "effective"))).alias("axes"))  # a row for each dimension
     mask = F.zip_with("vector", "axes", lambda x, a: x.isNotNull() & a["effective"])
     vector = F.zip_with("vector", "axes", lambda x, a: F.coalesce((x - a["median"]) / a["scale"], F.lit(0.0)))
@@ -61,7 +65,7 @@ def settings(rows: DataFrame) -> DataFrame:
     """k and least_support of each series, from its number of training rows."""
     n = rows.where(F.col("part") == TRAIN).groupBy(*SERIES).agg(F.count("*").alias("train"))
     k = F.greatest(F.floor(F.sqrt("train")), F.lit(1)).cast("int")
-    bits = F.greatest(F.length(F.bin("train")) - 1, F.lit(1))
+    bits = F.length(F.bin("train"))
     return n.select(*SERIES, "train", k.alias("k"), F.least(bits, k).cast("int").alias("least_support"))
 
 
@@ -79,8 +83,8 @@ def frequencies(queries: DataFrame, rows: DataFrame) -> DataFrame:
     return sums.withColumnRenamed("t", "at").withColumn("library", sum((F.col(d.lower()) for d in ORDER), F.lit(0)))
 
 
-def judged(met: DataFrame, queries: DataFrame, plan: DataFrame, power: float) -> DataFrame:
-    """Each query with its vote at a power: predicted (UNRESOLVED without support), the basis points and
+def judged(met: DataFrame, queries: DataFrame, plan: DataFrame, power: float | Column) -> DataFrame:
+    """Each query with its vote at a power (a number or a column of ``met``): predicted (UNRESOLVED without support), the basis points and
     the number of neighbours."""
     weight = 1.0 / F.pow(F.greatest("distance", F.lit(S.FLOOR)), F.lit(power))
     mass = [F.sum(F.when(F.col("l_direction") == c, weight).otherwise(0.0)).alias(c.lower()) for c in ORDER]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audits, dynamics, frozen, labels, profiles, resample, residuals, structure, walk
+from ..operators import audits, dynamics, frozen, labels, model, profiles, resample, residuals, structure, walk
 from ..session import shared_path, ship, stored
 from ..sources import bars as B
 from . import sample_queries as P
@@ -141,7 +141,40 @@ def profile_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.select("profile_id", "form", profiles.HASH).join(failed, ["profile_id", profiles.HASH], "left").select("profile_id", "form", profiles.HASH, F.coalesce("failed", F.lit("")).alias("failed"))
 
 
-QUERIES = {f.__name__: f for f in (walk_forward, ablation_ranking, sequential_residuals, frozen_forward, profile_checks)}
+def _profiles(spark: SparkSession, sf_dir: str) -> tuple[model.ProfileModel, DataFrame]:
+    """The profiles of the order series and their frames."""
+    ship(spark)
+    frames = R.dynamics_input(spark, sf_dir).select(*S, "timestamp_ns", F.col("values").alias("vector"))
+    return model.ProfileEstimator(B.order_bars(spark, sf_dir)).fit(frames), frames
+
+
+def profile_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fit of a profile for each order series comes to."""
+    fitted, _ = _profiles(spark, sf_dir)
+    return fitted.settings.select(*S, "bars", "frames", "lookback", "horizon", F.round("barrier", 6).alias("barrier"), "train", "validation", "test", "k", "least_support", "dimensions", F.round("most", 6).alias("most"), "power", "edge_bp", "least_reliability_bp", "split_ns")
+
+
+def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test scores of each profile, with the reliability of each class that it names, after save and load."""
+    fitted, _ = _profiles(spark, sf_dir)
+    path = shared_path(spark, "profiles")
+    fitted.save(path)
+    kept = model.ProfileModel.load(spark, path)
+    by_class = kept.reliability.groupBy(*S).agg(*[F.max(F.when(F.col("direction") == d, F.col("lower_bp"))).alias(f"{d.lower()}_lower_bp") for d in ("UP", "RANGE", "DOWN")])
+    return kept.settings.join(by_class, S, "left").select(*S, "evaluated", "correct", "reliability_bp", "lower_bp", *[F.round(c, 6).alias(c) for c in ("balanced_accuracy", "brier", "climatology", "skill")], "up_lower_bp", "range_lower_bp", "down_lower_bp")
+
+
+def profile_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The votes of loaded profiles on every frame from the test on, those without a label too."""
+    fitted, frames = _profiles(spark, sf_dir)
+    path = shared_path(spark, "profiles")
+    fitted.save(path)
+    kept = model.ProfileModel.load(spark, path)
+    later = frames.join(kept.settings.select(*S, "split_ns"), S).where("timestamp_ns >= split_ns")
+    return kept.transform(later).select(*S, "timestamp_ns", "predicted", "up_bp", "range_bp", "down_bp", "neighbours")
+
+
+QUERIES = {f.__name__: f for f in (walk_forward, ablation_ranking, sequential_residuals, frozen_forward, profile_checks, profile_parameters, profile_scores, profile_votes)}
 
 KEY = "instrument_id, timeframe"
 
@@ -153,9 +186,12 @@ wcand AS (SELECT vv.instrument_id, vv.timeframe, vv.t, vv.v, lab.direction, e.t
   FROM {vectors} vv JOIN ix a ON a.instrument_id = vv.instrument_id AND a.t = vv.t JOIN lab ON lab.instrument_id = vv.instrument_id AND lab.close_time_ns = vv.t AND lab.direction <> 'CENSORED' JOIN ix e ON e.instrument_id = a.instrument_id AND e.rn = a.rn + lab.first_passage_bars)"""
 
 
-def _walk(dims: int) -> str:
-    """CTEs from wcand on to case rows of both powers (wc), the settings (wp) and the choice of power (wx)."""
-    same = "q.instrument_id = l.instrument_id AND q.timeframe = l.timeframe AND l.t < q.t AND l.known < q.t"
+MATURED = "q.instrument_id = l.instrument_id AND q.timeframe = l.timeframe AND l.t < q.t AND l.known < q.t"
+
+
+def _walk(dims: int, same: str = MATURED, limit: str = "max(kth)") -> str:
+    """CTEs from wcand on to case rows of both powers (wc), the settings (wp) and the choice of power (wx);
+    ``same`` tells which rows l serve a query q, ``limit`` the distance limit."""
     far = f"CASE WHEN len(list_filter(q.m, lambda x: x)) = 0 THEN 'inf'::DOUBLE ELSE sqrt(list_sum(list_transform(range(1, {dims + 1}), lambda i: CASE WHEN q.m[i] THEN (q.v[i] - l.v[i]) * (q.v[i] - l.v[i]) ELSE 0 END)) / len(list_filter(q.m, lambda x: x))) END"
     weight = "1.0 / pow(greatest(distance, pow(2.0, -26)), power)"
     mass = ", ".join(f"sum(CASE WHEN ld = '{d}' THEN {weight} ELSE 0 END) AS {c}" for d, c in (("UP", "u"), ("RANGE", "g"), ("DOWN", "d")))
@@ -171,10 +207,10 @@ wn AS (SELECT {KEY}, axis, any_value(med) AS med, CASE WHEN coalesce(quantile_co
 wd AS (SELECT {KEY}, count(*) FILTER (eff) AS dimensions FROM wn GROUP BY ALL),
 wv AS (SELECT {KEY}, t, list(coalesce((x - med) / scale, 0) ORDER BY axis) AS v, list(x IS NOT NULL AND eff ORDER BY axis) AS m FROM wl JOIN wn USING ({KEY}, axis) GROUP BY {KEY}, t),
 wr AS MATERIALIZED (SELECT wcand.instrument_id, wcand.timeframe, wcand.t, known, direction, part, wv.v, wv.m FROM wcand JOIN wv USING ({KEY}, t)),
-wp0 AS (SELECT {KEY}, CAST(greatest(floor(sqrt(count(*))), 1) AS INTEGER) AS k, CAST(least(greatest(length(bin(count(*))) - 1, 1), greatest(floor(sqrt(count(*))), 1)) AS INTEGER) AS least_support FROM wr WHERE part = 'T' GROUP BY {KEY}),
+wp0 AS (SELECT {KEY}, CAST(greatest(floor(sqrt(count(*))), 1) AS INTEGER) AS k, CAST(least(length(bin(count(*))), greatest(floor(sqrt(count(*))), 1)) AS INTEGER) AS least_support FROM wr WHERE part = 'T' GROUP BY {KEY}),
 pa AS MATERIALIZED (SELECT q.instrument_id, q.timeframe, q.t, l.t AS lt, q.part, l.part AS lp, l.direction AS ld, {far} AS distance FROM wr q JOIN wr l ON {same} AND q.m = l.m WHERE q.part <> 'T'),
 wf AS (SELECT pa.*, k FROM pa JOIN wp0 USING ({KEY}) WHERE part = 'V' AND lp = 'T' QUALIFY row_number() OVER (PARTITION BY {KEY}, t ORDER BY distance, lt) <= k),
-wp AS (SELECT wp0.*, most FROM wp0 JOIN (SELECT {KEY}, max(kth) AS most FROM (SELECT {KEY}, t, max(distance) AS kth FROM wf GROUP BY ALL) WHERE kth < 'inf'::DOUBLE GROUP BY ALL HAVING max(kth) > 0) USING ({KEY})),
+wp AS (SELECT wp0.*, most FROM wp0 JOIN (SELECT {KEY}, {limit} AS most FROM (SELECT {KEY}, t, max(distance) AS kth FROM wf GROUP BY ALL) WHERE kth < 'inf'::DOUBLE GROUP BY ALL HAVING {limit} > 0) USING ({KEY})),
 me AS (SELECT pa.*, k FROM pa JOIN wp USING ({KEY}) WHERE distance <= most QUALIFY row_number() OVER (PARTITION BY {KEY}, t ORDER BY distance, lt) <= k),
 ms2 AS (SELECT {KEY}, t, power, count(*) AS nb, {mass} FROM me, (SELECT unnest([1.0, 2.0]) AS power) GROUP BY {KEY}, t, power),
 mb AS (SELECT {KEY}, t, power, nb, {P._bp('u', 'g', 'd')} AS bp FROM ms2),
@@ -189,6 +225,18 @@ wx AS (SELECT a.instrument_id, a.timeframe, CASE WHEN (round(b.skill, 12), b.bal
   FROM wq a JOIN wq b USING ({KEY}) WHERE a.part = 'V' AND b.part = 'V' AND a.power = 1 AND b.power = 2)"""
 
 
+#: Frames have sizes of their own for each series; validation rows see training rows, later ones both.
+PROFILE = f"""{Q.ORDER_BARS}, sz AS (SELECT {KEY}, count(*) AS n, CAST(greatest(floor(sqrt(count(*))), 2) AS BIGINT) AS lb, CAST(greatest(length(bin(count(*))), 2) AS BIGINT) AS hz, CAST(floor(sqrt(count(*))) AS BIGINT) AS held FROM bars GROUP BY ALL),
+rr AS (SELECT bars.*, n, lb, hz, held, row_number() OVER ({Q.BY}) AS rn, (high - low) / lag(close) OVER ({Q.BY}) AS ratio FROM bars JOIN sz USING ({KEY})),
+vol AS (SELECT *, CASE WHEN rn > 1 THEN (SELECT 1) END AS later, list(CASE WHEN ratio > 0 THEN ratio END) OVER ({Q.BY} ROWS BETWEEN lb - 1 PRECEDING AND CURRENT ROW) AS ratios FROM rr),
+vo AS (SELECT *, CASE WHEN rn > 1 THEN list_median(list_filter(ratios, lambda x: x IS NOT NULL)) END AS volatility FROM vol),
+tr AS (SELECT *, list_transform(f, lambda b: b.h) AS hs, list_transform(f, lambda b: b.l) AS ls FROM (SELECT *, list({{'h': high, 'l': low}}) OVER ({Q.BY} ROWS BETWEEN 1 FOLLOWING AND hz FOLLOWING) AS f FROM vo WHERE rn <= n - 2 * held)),
+ex AS (SELECT {KEY}, greatest(list_max(hs) / close - 1, 0) / volatility AS x FROM tr WHERE rn > 1 AND volatility IS NOT NULL AND len(f) > 0 UNION ALL SELECT {KEY}, greatest(1 - list_min(ls) / close, 0) / volatility FROM tr WHERE rn > 1 AND volatility IS NOT NULL AND len(f) > 0),
+br AS (SELECT {KEY}, quantile_cont(x, 0.5) AS barrier FROM ex GROUP BY ALL HAVING quantile_cont(x, 0.5) > 0),
+fut AS (SELECT *, close * (1 + volatility * barrier) AS u, close * (1 - volatility * barrier) AS d FROM (SELECT *, list({{'h': high, 'l': low}}) OVER ({Q.BY} ROWS BETWEEN 1 FOLLOWING AND hz FOLLOWING) AS f FROM vo) JOIN br USING ({KEY})),
+hit AS (SELECT *, list_position(list_transform(f, lambda x: x.h >= u OR x.l <= d), TRUE) AS pos FROM fut WHERE volatility IS NOT NULL AND len(f) > 0),
+lab AS (SELECT {KEY}, close_time_ns, CASE WHEN pos > 0 THEN CASE WHEN f[pos].h >= u AND f[pos].l > d THEN 'UP' WHEN f[pos].h < u AND f[pos].l <= d THEN 'DOWN' ELSE 'RANGE' END WHEN len(f) >= hz THEN 'RANGE' ELSE 'CENSORED' END AS direction, CASE WHEN pos > 0 THEN pos ELSE hz END AS first_passage_bars FROM hit)""".replace("CASE WHEN rn > 1 THEN (SELECT 1) END AS later, ", "")
+FROZEN = "q.instrument_id = l.instrument_id AND q.timeframe = l.timeframe AND (l.part = 'T' OR (q.part = 'E' AND l.part = 'V'))"
 BASE = "vx AS (SELECT instrument_id, timeframe, close_time_ns AS t, " + R.FIELDS + " AS v FROM bars)"
 _FULL = " AND ".join(f"{c} IS NOT NULL" for c in ADDED)
 _PADDED = ", ".join("{'name': '" + name + "', 'v': list_concat(v, [" + ", ".join(f"round(CAST({c} AS DOUBLE), 12)" if c in added else "NULL" for c in ADDED) + "])}" for name, added in dynamics.VARIANTS.items())
@@ -207,7 +255,34 @@ _ID, _BP, _P = "instrument_id", "{}_bp / 10000.0", "p_{}"
 _SCORE = lambda src, name: f"{name} AS (SELECT instrument_id, count(*) AS cases, avg({P.BRIER_P}) AS b FROM {src} GROUP BY 1)"
 _PLAIN = ", ".join(f"{c}_bp / 10000.0 AS p_{c}" for c in ("up", "range", "down"))
 
+def _wilson(part: str, whole: str) -> str:
+    z = 1.959963984540054
+    n, p = f"greatest({whole}, 1)::DOUBLE", f"({part} / greatest({whole}, 1))"
+    low = f"(({p} + {z * z}::DOUBLE / (2 * {n})) - {z}::DOUBLE * sqrt(({p} * (1 - {p}) + {z * z}::DOUBLE / (4 * {n})) / {n})) / (1 + {z * z}::DOUBLE / {n})"
+    return f"CASE WHEN {whole} = 0 THEN 0::BIGINT ELSE CAST(floor(greatest(least({low}, 1), 0) * 10000 + 0.5) AS BIGINT) END"
+
+
+#: The fitted profiles: pw is the choice of power, with the validation cases it rests on.
+PROFILES = f"""{PROFILE}, {BASE}, {_candidates('vx')}, {_walk(6, FROZEN, 'greatest(max(kth), pow(2.0, -52))')},
+pw AS (SELECT a.instrument_id, a.timeframe, CASE WHEN b.correct > a.correct THEN 2.0 ELSE 1.0 END AS power, {_wilson('greatest(a.correct, b.correct)', 'CASE WHEN b.correct > a.correct THEN b.resolved ELSE a.resolved END')} AS least_reliability_bp FROM wq a JOIN wq b USING ({KEY}) WHERE a.part = 'V' AND b.part = 'V' AND a.power = 1 AND b.power = 2),
+pn AS (SELECT {KEY}, count(*) FILTER (part = 'T') AS train, count(*) FILTER (part = 'V') AS validation, count(*) FILTER (part = 'E') AS test FROM wcand GROUP BY ALL)"""
+
 ORACLE = {
+    "profile_parameters": f"""WITH {PROFILES}, ed AS (SELECT {KEY}, list(e ORDER BY e) AS es FROM (SELECT wc.instrument_id, wc.timeframe, list_sort([up_bp, range_bp, down_bp])[3] - list_sort([up_bp, range_bp, down_bp])[2] AS e FROM wc JOIN pw USING ({KEY}, power) WHERE part = 'V' AND predicted = actual) GROUP BY ALL),
+sp AS (SELECT {KEY}, min(close_time_ns) AS split_ns FROM rr WHERE rn > n - held GROUP BY ALL)
+SELECT instrument_id, timeframe, n AS bars, n AS frames, CAST(lb AS INTEGER) AS lookback, CAST(hz AS INTEGER) AS horizon, round(barrier, 6) AS barrier, train, validation, test, k, least_support, dimensions, round(most, 6) AS most, power, CAST(coalesce(es[len(es) // 2 + 1], 10000) AS BIGINT) AS edge_bp, least_reliability_bp, split_ns
+FROM sz JOIN br USING ({KEY}) JOIN pn USING ({KEY}) JOIN wp USING ({KEY}) JOIN pw USING ({KEY}) JOIN wd USING ({KEY}) JOIN sp USING ({KEY}) LEFT JOIN ed USING ({KEY})""",
+    "profile_scores": f"""WITH {PROFILES}, rl AS (SELECT {KEY}, {', '.join(f"CASE WHEN count(*) FILTER (predicted = '{d}') > 0 THEN " + _wilson(f"count(*) FILTER (predicted = '{d}' AND actual = '{d}')", f"count(*) FILTER (predicted = '{d}')") + f" END AS {d.lower()}_lower_bp" for d in ('UP', 'RANGE', 'DOWN'))} FROM wc JOIN pw USING ({KEY}, power) WHERE part = 'E' GROUP BY ALL)
+SELECT instrument_id, timeframe, resolved AS evaluated, correct, CASE WHEN resolved > 0 THEN (correct * 10000 + resolved // 2) // resolved ELSE 0 END AS reliability_bp, {_wilson('correct', 'resolved')} AS lower_bp, {_rounded('balanced_accuracy brier climatology skill')}, up_lower_bp, range_lower_bp, down_lower_bp
+FROM wq JOIN pw USING ({KEY}, power) LEFT JOIN rl USING ({KEY}) WHERE part = 'E'""",
+    "profile_votes": f"""WITH {PROFILES}, wl2 AS (SELECT vx.instrument_id, vx.timeframe, vx.t, unnest(vx.v) AS x, unnest(range(6)) AS axis FROM vx JOIN ix USING (instrument_id, t) WHERE rn > n - CAST(floor(sqrt(n)) AS BIGINT)),
+q AS (SELECT {KEY}, t, list(coalesce((x - med) / scale, 0) ORDER BY axis) AS v, list(x IS NOT NULL AND eff ORDER BY axis) AS m FROM wl2 JOIN wn USING ({KEY}, axis) GROUP BY {KEY}, t),
+d AS (SELECT q.instrument_id, q.timeframe, q.t, l.t AS lt, l.direction AS ld, sqrt(list_sum(list_transform(range(1, 7), lambda i: CASE WHEN q.m[i] THEN (q.v[i] - l.v[i]) * (q.v[i] - l.v[i]) ELSE 0 END)) / len(list_filter(q.m, lambda x: x))) AS distance FROM q JOIN wr l USING ({KEY}) WHERE l.part <> 'E' AND l.m = q.m),
+n1 AS (SELECT d.*, power FROM d JOIN wp USING ({KEY}) JOIN pw USING ({KEY}) WHERE distance <= most QUALIFY row_number() OVER (PARTITION BY {KEY}, d.t ORDER BY distance, lt) <= k),
+ma AS (SELECT {KEY}, t, count(*) AS nb, {', '.join(f"sum(CASE WHEN ld = '{x}' THEN 1.0 / pow(greatest(distance, pow(2.0, -26)), power) ELSE 0 END) AS {c}" for x, c in (('UP', 'u'), ('RANGE', 'g'), ('DOWN', 'd')))} FROM n1 GROUP BY ALL),
+bb AS (SELECT {KEY}, t, nb, {P._bp('u', 'g', 'd')} AS bp FROM ma)
+SELECT q.instrument_id, q.timeframe, q.t AS timestamp_ns, CASE WHEN nb IS NULL OR nb < least_support THEN 'UNRESOLVED' WHEN bp[1] >= bp[2] AND bp[1] >= bp[3] THEN 'UP' WHEN bp[2] >= bp[3] THEN 'RANGE' ELSE 'DOWN' END AS predicted,
+  CASE WHEN nb >= least_support THEN bp[1] END AS up_bp, CASE WHEN nb >= least_support THEN bp[2] END AS range_bp, CASE WHEN nb >= least_support THEN bp[3] END AS down_bp, coalesce(nb, 0) AS neighbours FROM q JOIN wp USING ({KEY}) LEFT JOIN bb ON bb.instrument_id = q.instrument_id AND bb.timeframe = q.timeframe AND bb.t = q.t""",
     "walk_forward": f"""WITH {R.LABELS}, {BASE}, {_candidates('vx')}, {_walk(6)}
 SELECT instrument_id, timeframe, k, power, round(most, 6) AS most, observations, resolved, correct, {_rounded('balanced_accuracy brier climatology skill calibration_error')} FROM wq JOIN wx USING (instrument_id, timeframe, power) JOIN wp USING (instrument_id, timeframe) WHERE part = 'E'""",
     "ablation_ranking": f"""WITH {BOTH}, {NESTED}, {_candidates('vx')}, {_walk(6 + len(ADDED))},
