@@ -10,6 +10,10 @@ from ..sources.bars import SERIES
 from .resample import WEEK_NS, week_start_ns
 
 
+#: Bands of time in a block of ``greedy_band``.
+BLOCK = 1024
+
+
 def refuse(condition: Column, message: str | Column) -> Column:
     """A filter that lets all rows through and raises where ``condition`` holds; unlike a column, it is
     not dropped when nothing downstream reads it."""
@@ -59,14 +63,32 @@ def greedy_band(left: DataFrame, right: DataFrame, keys: list[str], most_ns: int
     """One-to-one pairs in order: the two next rows pair if they are at most ``most_ns`` apart, else
     the earlier one is passed over. One missing row can shift all later pairs; that is the rule.
 
-    The state is two places in two ordered series, so each key's series meet in one task.
+    Where two neighbouring times of both sides together are more than ``most_ns`` apart, no pair crosses, so
+    the rule starts afresh: each stretch between such gaps is a task's group of its own. The gaps come from
+    times by blocks of ``BLOCK`` bands, of which only the first and last row go through an ordered window.
+    A stretch without a gap is one group, whatever its length. Repeated times are rows of their own; rows
+    with a null time, or a null in the keys, pair with nothing.
     """
     schema = ", ".join([*(f"{k} string" for k in keys), "left_ns long", "right_ns long"])
-
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = sorted(a["timestamp_ns"].tolist()), sorted(b["timestamp_ns"].tolist())
+    sides = [df.select(*[F.col(c).cast("string").alias(c) for c in keys], F.col("timestamp_ns").cast("long").alias("t"), F.lit(i).alias("side")) for i, df in enumerate((left, right))]
+    rows = sides[0].unionByName(sides[1]).where(F.concat(*keys, F.col("t").cast("string")).isNotNull()).withColumn("block", F.floor(F.col("t") / F.lit(min(max(most_ns, 1) * BLOCK, 2**62))))
+    # Starts of stretches inside a block, and whether its first row is one by the last row before the block.
+    inside = Window.partitionBy(*keys, "block").orderBy("t", "side")
+    ends = rows.groupBy(*keys, "block").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    joint = ends.select(*keys, "block", (F.col("first") - F.lag("last").over(Window.partitionBy(*keys).orderBy("block")) <= most_ns).alias("goes_on"))
+    steps = rows.withColumn("starts", F.coalesce(F.col("t") - F.lag("t").over(inside) > most_ns, F.lit(False)).cast("long")).withColumn("part", F.sum("starts").over(inside))
+    # A block's last stretch and the next block's first one are the same where the blocks are joint.
+    last = steps.groupBy(*keys, "block").agg(F.max("part").alias("parts")).join(joint, [*keys, "block"])
+    order = Window.partitionBy(*keys).orderBy("block")
+    fresh = F.when(F.coalesce(F.col("goes_on"), F.lit(False)), 0).otherwise(1)
+    numbered = last.withColumn("stretch", F.sum(fresh + F.col("parts")).over(order) - F.col("parts"))
+    marked = steps.join(numbered.select(*keys, "block", "stretch"), [*keys, "block"]).select(*keys, (F.col("stretch") + F.col("part")).alias("stretch"), "t", "side")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = (sorted(g.loc[g["side"] == i, "t"].tolist()) for i in (0, 1))
         i = j = 0
         pairs = []
+        key = tuple(g.iloc[0][k] for k in keys)
         while i < len(x) and j < len(y):
             if abs(x[i] - y[j]) <= most_ns:
                 pairs.append((*key, x[i], y[j]))
@@ -77,8 +99,7 @@ def greedy_band(left: DataFrame, right: DataFrame, keys: list[str], most_ns: int
                 j += 1
         return pd.DataFrame(pairs, columns=[*keys, "left_ns", "right_ns"])
 
-    cols = lambda df: df.select(*[F.col(c).alias(c) for c in (*keys, "timestamp_ns")])  # noqa: E731  new names, as both may come from one table
-    return cols(left).groupBy(*keys).cogroup(cols(right).groupBy(*keys)).applyInPandas(run, schema)
+    return marked.groupBy(*keys, "stretch").applyInPandas(run, schema)
 
 
 def exact_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ def by():
     """Each series in order."""
     return Window.partitionBy(*SERIES).orderBy("timestamp_ns")
 
-#: Rows that a centre and a scale are taken from, and rows of a path.
+#: Fixed values. Rows that a centre and a scale are taken from, and rows of a path.
 PRIOR = 32
 PATH = 16
 READY = 8
@@ -127,55 +127,76 @@ def variation_capacity(x: np.ndarray) -> float:
 OBSERVED = "transport string, state string, movement double, coherence double, residual double, transitions int, recurrence double, variation double, contraction double, deficit double, cumulative_deficit double"
 
 
-def observer(geometry: DataFrame) -> DataFrame:
-    """State of each row of ``paths``: transport, structural state, coherence, recurrence, contraction,
-    deficit. A run-length machine over one series in order."""
-    schema = f"instrument_id string, timeframe string, timestamp_ns long, {OBSERVED}"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+class Machine:
+    """The observer of one series, row by row. What it holds is bounded: the last rows that a prediction or a
+    window reads, as many intensities and capacities as their means and maxima take, and run lengths."""
+
+    #: Rows held: the transitions of a ridge, with both ends and the row predicted.
+    HELD = PRIOR + 3
+
+    def __init__(self, rows=(), intensity=(), capacities=(), seen=0, regime=None, broken=0, crystal=0, first=-1, owed=0.0):
+        self.rows, self.intensity, self.capacities = [list(r) for r in rows], list(intensity), [np.nan if c is None else c for c in capacities]
+        self.seen, self.regime, self.broken, self.crystal, self.first, self.owed = seen, regime, broken, crystal, first, owed
+
+    def step(self, row: list[float], length: float, ready: bool) -> tuple:
+        """The columns of ``OBSERVED`` for the next row."""
+        t, self.seen = self.seen, self.seen + 1
+        self.rows = [*self.rows, row][-self.HELD :]
+        x = np.array(self.rows, float)
+        window = x[-PATH:]
+        self.intensity = [*self.intensity, recurrence_intensity(window)][-PATH:]
+        active = bool(ready and length > ACTIVITY)
+        recurrence = float(np.mean(self.intensity)) if active else 0.0
+        coherence, residual, support = ridge_coherence(x, len(x) - 1) if active else (np.nan, np.nan, 0)
+        self.capacities = [*self.capacities, variation_capacity(window) if ready else np.nan][-PRIOR:]
+        capacity, known = self.capacities[-1], [c for c in self.capacities if not np.isnan(c)]
+        contraction = np.nan if np.isnan(capacity) else max(0.0, 1.0 - capacity / max(known)) if max(known) > TINY else 0.0
+        judged = not np.isnan(coherence)
+        if judged and self.first < 0:
+            self.first = t
+        if not ready or (active and not judged):
+            self.broken = self.crystal = 0
+            transport, state = "UNRESOLVED", "TRANSPORT_UNRESOLVED"
+        elif not active:
+            self.broken = self.crystal = 0
+            self.regime, transport, state = None, "INACTIVE", "STAGNANT"
+        elif coherence >= COHERENT:
+            both = recurrence >= RECURRENT and contraction >= CONTRACTING
+            self.broken, self.crystal = 0, self.crystal + 1 if both else 0
+            state = ("CRYSTALLIZED" if self.crystal >= TAU else "CRYSTALLIZING") if both else "RECURRENT" if recurrence >= RECURRENT else "VIABLE"
+            self.regime, transport = state, "COHERENT"
+        else:
+            self.broken, self.crystal = self.broken + 1, 0
+            held = self.regime == "VIABLE" and self.broken <= GRACE
+            transport, state = ("PROVISIONAL", "VIABLE") if held else ("DISRUPTED", "TRANSPORT_DISRUPTED")
+        deficit = max(0.0, (COHERENT - coherence) / COHERENT) if judged else np.nan
+        if self.first >= 0 and t >= self.first + TAU and judged:
+            self.owed += deficit
+        return transport, state, length, coherence, residual, support, recurrence, capacity, contraction, deficit, self.owed
+
+    def run(self, g: pd.DataFrame) -> pd.DataFrame:
+        """The rows of ``paths`` of one series, with what is observed."""
         g = g.sort_values("timestamp_ns", ignore_index=True)
-        x, length, ready = g[list(AXES)].to_numpy(float), g["path_length"].to_numpy(float), g["ready"].to_numpy(bool)
-        rows, intensity, capacities = [], [], []
-        regime, broken, crystal, first, owed = None, 0, 0, None, 0.0
-        for t in range(len(x)):
-            window = x[max(0, t - PATH + 1) : t + 1]
-            intensity.append(recurrence_intensity(window))
-            active = bool(ready[t] and length[t] > ACTIVITY)
-            recurrence = float(np.mean(intensity[-PATH:])) if active else 0.0
-            coherence, residual, support = ridge_coherence(x, t) if active else (np.nan, np.nan, 0)
-            capacities.append(variation_capacity(window) if ready[t] else np.nan)
-            known = [c for c in capacities[-PRIOR:] if not np.isnan(c)]
-            contraction = np.nan if np.isnan(capacities[-1]) else max(0.0, 1.0 - capacities[-1] / max(known)) if max(known) > TINY else 0.0
-            judged = not np.isnan(coherence)
-            if judged and first is None:
-                first = t
-            if not ready[t] or (active and not judged):
-                broken = crystal = 0
-                transport, state = "UNRESOLVED", "TRANSPORT_UNRESOLVED"
-            elif not active:
-                broken = crystal = 0
-                regime, transport, state = None, "INACTIVE", "STAGNANT"
-            elif coherence >= COHERENT:
-                both = recurrence >= RECURRENT and contraction >= CONTRACTING
-                broken, crystal = 0, crystal + 1 if both else 0
-                state = ("CRYSTALLIZED" if crystal >= TAU else "CRYSTALLIZING") if both else "RECURRENT" if recurrence >= RECURRENT else "VIABLE"
-                regime, transport = state, "COHERENT"
-            else:
-                broken, crystal = broken + 1, 0
-                held = regime == "VIABLE" and broken <= GRACE
-                transport, state = ("PROVISIONAL", "VIABLE") if held else ("DISRUPTED", "TRANSPORT_DISRUPTED")
-            deficit = max(0.0, (COHERENT - coherence) / COHERENT) if judged else np.nan
-            if first is not None and t >= first + TAU and judged:
-                owed += deficit
-            rows.append((transport, state, length[t], coherence, residual, support, recurrence, capacities[-1], contraction, deficit, owed))
-        made = pd.DataFrame(rows, columns=[c.split()[0] for c in OBSERVED.split(", ")])
-        return pd.concat([g[["instrument_id", "timeframe", "timestamp_ns"]], made], axis=1)
-
-    found = geometry.groupBy(*SERIES).applyInPandas(run, schema)
+        rows = [self.step(r, n, k) for r, n, k in zip(g[list(AXES)].to_numpy(float).tolist(), g["path_length"].tolist(), g["ready"].tolist(), strict=True)]
+        return pd.concat([g[["instrument_id", "timeframe", "timestamp_ns"]], pd.DataFrame(rows, columns=OBSERVED_NAMES)], axis=1)
+
+
+OBSERVED_NAMES = [c.split()[0] for c in OBSERVED.split(", ")]
+OBSERVED_ROW = f"instrument_id string, timeframe string, timestamp_ns long, {OBSERVED}"
+
+
+def without_nan(found: DataFrame) -> DataFrame:
+    """Null where an observation isn't available."""
     null = F.lit(None).cast("double")
     return found.withColumns({c: F.nanvl(c, null) for c in ("coherence", "residual", "variation", "contraction", "deficit")})
 
 
+def observer(geometry: DataFrame) -> DataFrame:
+    """State of each row of ``paths``: transport, structural state, coherence, recurrence, contraction,
+    deficit. A run-length machine over one series in order; ``streaming.states`` runs it on a stream."""
+    return without_nan(geometry.groupBy(*SERIES).applyInPandas(lambda g: Machine().run(g), OBSERVED_ROW))
+
+
 def exponential_memory(rows: DataFrame, value: str, tau: float = 32.0) -> DataFrame:
     """Memory of ``value`` before and after each row; a null neither updates nor decays it.
 

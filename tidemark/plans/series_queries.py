@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align, dynamics, indicators, labels, ledger, resample, structure, validation
-from ..session import ship
+from ..session import shared_path, ship, stored
 from ..sources import bars as B
+from ..streaming import states
 from . import sql as Q
 
 S = ["instrument_id", "timeframe"]
@@ -182,6 +183,27 @@ def observer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("instrument_id", "transport", "state").agg(F.count("*").alias("bars"))
 
 
+def streamed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``observer_states`` from a stream: the rows arrive in three parts by time, each its own run of the query,
+    and the last run is sent the second part again."""
+    ship(spark)
+    rows = stored(structure.paths(structure.robust_geometry(structure.bounded_state(kernel_rows(spark, sf_dir)))), "paths")
+    low, high = rows.agg(F.min("timestamp_ns"), F.max("timestamp_ns")).first()
+    source, out, progress = (shared_path(spark, x) for x in ("arriving", "states", "progress"))
+    edges = [low, low + (high - low) // 3, low + 2 * (high - low) // 3, high + 1] if low is not None else [0, 0, 0, 0]
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    states.prepare(spark)
+    try:
+        for first, until in ((0, 1), (1, 2), (1, 3)):
+            rows.where((F.col("timestamp_ns") >= edges[first]) & (F.col("timestamp_ns") < edges[until])).write.mode("append").parquet(source)
+            stream = states.observer_stream(spark.readStream.schema(rows.schema).parquet(source))
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    found = spark.read.schema(structure.OBSERVED_ROW).parquet(out)
+    return found.groupBy("instrument_id", "transport", "state").agg(F.count("*").alias("bars"))
+
+
 def structural_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return structure.snapshot(structure.stack(kernel_rows(spark, sf_dir)))
@@ -272,7 +294,7 @@ def series_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("pair", "rows", F.round("similarity", 8).alias("similarity"), *words, dynamics.relation(F.col("similarity"), [F.col(n) for n in words]).alias("relation"))
 
 
-QUERIES = {f.__name__: f for f in (indicator_recurrences, bollinger_bands, technical_direction, direction_history, causal_volatility, symmetric_barrier, first_passage_labels, label_counts, right_censored, range_trajectories, frames_with_bars, prior_week_asof, asof_events, exact_pairs, greedy_band, union_pool, appended_series, complete_cases, cross_scale, bounded_state, robust_geometry, observer_states, structural_vectors, structural_contrast, exponential_memory, weighted_mean, relative_magnitude, differentials, ledger_trajectory, series_snapshots, dynamics_features, dynamics_variants, series_similarity)}
+QUERIES = {f.__name__: f for f in (indicator_recurrences, bollinger_bands, technical_direction, direction_history, causal_volatility, symmetric_barrier, first_passage_labels, label_counts, right_censored, range_trajectories, frames_with_bars, prior_week_asof, asof_events, exact_pairs, greedy_band, union_pool, appended_series, complete_cases, cross_scale, bounded_state, robust_geometry, observer_states, streamed_states, structural_vectors, structural_contrast, exponential_memory, weighted_mean, relative_magnitude, differentials, ledger_trajectory, series_snapshots, dynamics_features, dynamics_variants, series_similarity)}
 
 #: One row for each bar and step of the recurrences, as a recursive query over row numbers.
 RECURSION = f"""{Q.ORDER_BARS},
