@@ -230,7 +230,8 @@ def test_files_and_sources(spark, tmp_path):
     records.write_documents(spark.createDataFrame([(1,)], "a int"), str(tmp_path / "log"), "append")
     records.write_documents(spark.createDataFrame([(2,)], "a int"), str(tmp_path / "log"), "append")
     assert spark.read.json(str(tmp_path / "log")).count() == 2
-    assert records.choose_source("AUTO", False, True) == ("CORPUS", "STALE_DATA") and records.choose_source("AUTO", True, True) == ("LIVE", "OK")
+    asked = spark.createDataFrame([("AUTO", False, True), ("AUTO", True, True), ("AUTO", None, None), ("SUPPLIED_CORPUS", True, True)], "r string, l boolean, c boolean")
+    assert [tuple(r.s) for r in asked.select(records.chosen_source(F.col("r"), F.col("l"), F.col("c")).alias("s")).collect()] == [("CORPUS", "STALE_DATA"), ("LIVE", "OK"), ("NONE", "UNAVAILABLE"), ("CORPUS", "STALE_DATA")]
     found = spark.createDataFrame([("f", 3, "a", "b", "s", 1)], "file string, rows int, first_day string, last_day string, sha256 string, malformed int")
     want = spark.createDataFrame([("f", 3, "a", "b", "s"), ("g", 1, "a", "b", "s")], "file string, rows int, first_day string, last_day string, sha256 string")
     assert {r.file: r.status for r in records.audit_status(found, want).collect()} == {"f": "ACCEPTED_WITH_EXCLUSIONS", "g": "REJECTED"}
@@ -241,9 +242,13 @@ def test_names_and_requests(spark):
     entries = {"a": ["BTC"], "b": ["same"], "c": ["SAME"]}
     got = {r.name: (r.status, r.instrument_ids) for r in catalogue.resolve(names, catalogue.instruments(spark, entries)).collect()}
     assert got == {"btc": ("FOUND", "a"), "B T C": ("FOUND", "a"), "same": ("AMBIGUOUS", "b,c"), "nope": ("UNSUPPORTED", "")}
-    assert validation.request_problem({"timeframes": ["D1"]}) is None
-    assert validation.request_problem({"timeframes": ["D1", "D1"]}) == "DUPLICATE_TIMEFRAME"
-    assert validation.request_problem({"timeframes": ["M1"]}) == "UNSUPPORTED_TIMEFRAME"
+    asked = spark.createDataFrame([(["D1"], [], "HISTORICAL"), (["D1", "D1"], [], "HISTORICAL"), (["M1"], [], "HISTORICAL"), (None, ["k"], "HISTORICAL"), (["W1"], [], "LIVE_PREVIEW")], "t array<string>, o array<string>, m string")
+    assert [r[0] for r in asked.select(validation.request_problems(F.col("t"), F.col("o"), F.col("m"))).collect()] == [None, "DUPLICATE_TIMEFRAME", "UNSUPPORTED_TIMEFRAME", "OVERRIDES_NOT_ALLOWED", "PREVIEW_NOT_ALLOWED"]
+
+
+def test_weeks_are_not_multiples_of_the_epoch():
+    with pytest.raises(ValueError, match="weekly"):
+        B.period("W1")
 
 
 def test_canonical_json():

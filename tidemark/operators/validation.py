@@ -65,22 +65,9 @@ def admitted_timeframes(requested: Column, supported: Column) -> Column:
     return F.when(F.size(requested) == 0, supported).otherwise(F.filter(requested, lambda x: F.array_contains(supported, x)))
 
 
-def request_problem(request: dict, supported: tuple[str, ...] = ("D1", "W1")) -> str | None:
-    """Why a request is refused, or None. Duplicates, intraday frames, overrides and previews are."""
-    frames = request.get("timeframes") or []
-    if len(set(frames)) != len(frames):
-        return "DUPLICATE_TIMEFRAME"
-    if any(f not in supported for f in frames):
-        return "UNSUPPORTED_TIMEFRAME"
-    if request.get("parameter_overrides"):
-        return "OVERRIDES_NOT_ALLOWED"
-    if request.get("mode") == "LIVE_PREVIEW":
-        return "PREVIEW_NOT_ALLOWED"
-    return None
-
-
 def request_problems(timeframes: Column, overrides: Column, mode: Column, supported: tuple[str, ...] = ("D1", "W1")) -> Column:
-    """``request_problem`` for a table of requests; null where a request is served."""
+    """Why each of a table of requests is refused: duplicate timeframes, unsupported ones, overrides and previews,
+    in this order; null where it is served."""
     frames = F.coalesce(timeframes, F.array().cast("array<string>"))
     known = F.array(*map(F.lit, supported))
     return F.when(F.size(F.array_distinct(frames)) != F.size(frames), "DUPLICATE_TIMEFRAME").when(F.exists(frames, lambda f: ~F.array_contains(known, f)), "UNSUPPORTED_TIMEFRAME").when(F.size(overrides) > 0, "OVERRIDES_NOT_ALLOWED").when(mode == "LIVE_PREVIEW", "PREVIEW_NOT_ALLOWED")

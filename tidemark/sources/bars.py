@@ -17,6 +17,13 @@ SECONDS = {"M1": 60, "M5": 300, "H1": 3_600, "H4": 14_400, "D1": 86_400, "W1": 6
 SERIES = ["instrument_id", "timeframe"]
 
 
+def period(timeframe: str) -> int:
+    """Seconds of a timeframe whose bars start at multiples of it since 1970: all but weeks."""
+    if timeframe == "W1":
+        raise ValueError("weekly bars are made from daily ones")
+    return SECONDS[timeframe]
+
+
 def epoch_seconds(ts: str) -> Column:
     """Whole seconds since 1970 of a zone-less timestamp; no session time zone enters."""
     return F.unix_date(F.to_date(F.col(ts))).cast("long") * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.floor(F.second(ts))
@@ -25,9 +32,10 @@ def epoch_seconds(ts: str) -> Column:
 def bars_from_ticks(ticks: DataFrame, instrument: str, ts: str, price: Column, order: Column, timeframe: str, source: str, quantity: Column | None = None) -> DataFrame:
     """One bar for each instrument and period with a tick; ``order`` tells first from last.
 
-    Only a partial aggregation is shuffled: a row for each instrument and period of each task.
+    Only a partial aggregation is shuffled: a row for each instrument and period of each task. Weeks don't
+    start at multiples of the epoch; ``resample.weekly`` makes them.
     """
-    step = SECONDS[timeframe]
+    step = period(timeframe)
     rows = ticks.select(F.col(instrument).cast("string").alias("instrument_id"), (F.floor(epoch_seconds(ts) / step) * step * NS).alias("open_time_ns"), price.cast("double").alias("price"), order.alias("tick"), (quantity if quantity is not None else F.lit(None)).cast("double").alias("quantity")).where("price IS NOT NULL AND open_time_ns IS NOT NULL")
     made = rows.groupBy("instrument_id", "open_time_ns").agg(F.min_by("price", "tick").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "tick").alias("close"), F.sum("quantity").alias("volume"), F.count("*").alias("trade_count"))
     return made.select("instrument_id", F.lit(timeframe).alias("timeframe"), "open_time_ns", (F.col("open_time_ns") + step * NS).alias("close_time_ns"), "open", "high", "low", "close", F.lit(True).alias("is_closed"), F.lit(source).alias("source"), "volume", F.lit(None).cast("double").alias("quote_volume"), "trade_count")

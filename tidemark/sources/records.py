@@ -134,17 +134,9 @@ def write_documents(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def chosen_source(requested: Column, live_ready: Column, corpus_ready: Column) -> Column:
-    """``choose_source`` for a table of requests: a struct of source and status. A null flag is not ready."""
+    """A struct of source and status: live where asked for and ready, else the corpus, marked stale. A null
+    flag is not ready."""
     live = (requested != "SUPPLIED_CORPUS") & F.coalesce(live_ready, F.lit(False))
     corpus = F.coalesce(corpus_ready, F.lit(False))
     pick = lambda a, b, c: F.when(live, a).when(corpus, b).otherwise(c)
     return F.struct(pick("LIVE", "CORPUS", "NONE").alias("source"), pick("OK", "STALE_DATA", "UNAVAILABLE").alias("status"))
-
-
-def choose_source(requested: str, live_ready: bool, corpus_ready: bool) -> tuple[str, str]:
-    """(source, status): live where asked for and ready, else the corpus, marked stale on fallback."""
-    if requested == "SUPPLIED_CORPUS":
-        return ("CORPUS", "STALE_DATA") if corpus_ready else ("NONE", "UNAVAILABLE")
-    if live_ready:
-        return "LIVE", "OK"
-    return ("CORPUS", "STALE_DATA") if corpus_ready else ("NONE", "UNAVAILABLE")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from ..sources.bars import NS, SECONDS
+from ..sources.bars import NS, period
 
 
 def closed_bars(ticks: DataFrame, instrument: str, ts: str, price: Column, order: Column, timeframe: str, source: str, quantity: Column | None = None, late: str = "1 hour") -> DataFrame:
@@ -18,7 +18,7 @@ def closed_bars(ticks: DataFrame, instrument: str, ts: str, price: Column, order
 
     Ticks without a price or a time take no part. State is one row for each instrument and open window.
     """
-    step = SECONDS[timeframe]
+    step = period(timeframe)
     rows = ticks.select(F.col(instrument).cast("string").alias("instrument_id"), F.col(ts).cast("timestamp").alias("at"), price.cast("double").alias("price"), order.alias("tick"), (quantity if quantity is not None else F.lit(None)).cast("double").alias("quantity")).where("price IS NOT NULL AND at IS NOT NULL")
     grouped = rows.withWatermark("at", late).groupBy("instrument_id", F.window("at", f"{step} seconds"))
     made = grouped.agg(F.min_by("price", "tick").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "tick").alias("close"), F.sum("quantity").alias("volume"), F.count("*").alias("trade_count"))
