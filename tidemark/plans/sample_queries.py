@@ -246,11 +246,23 @@ def daily_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = B.order_bars(spark, sf_dir)
     text = bars.select("instrument_id", "open_time_ns", catalogue.day_text(F.col("open_time_ns")).alias("Date"), F.col("close").alias("CLOSE"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), (F.col("trade_count") - 1).alias("Vol"))
     text.repartition("instrument_id").sortWithinPartitions("instrument_id", "open_time_ns").drop("open_time_ns").write.partitionBy("instrument_id").csv(path, header=True)
-    out = None
-    for name in sorted(r.instrument_id for r in bars.select("instrument_id").distinct().collect()):  # five priorities
-        part = records.read_daily_csv(spark, f"{path}/instrument_id={name}", name, "csv")
-        out = part if out is None else out.unionByName(part)
-    return out.select("instrument_id", "open_time_ns", "close_time_ns", "open", "high", "low", "close", "volume")
+    return records.read_daily_csv(spark, path, F.col("instrument_id"), "csv").select("instrument_id", "open_time_ns", "close_time_ns", "open", "high", "low", "close", "volume")
+
+
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of every order series as a CSV file. One has malformed days, the manifest has a row too many for
+    another and a digest that isn't a third one's."""
+    path = shared_path(spark, "files")
+    name, bad = F.col("instrument_id"), (F.col("instrument_id") == "2-HIGH") & F.expr(f"(open_time_ns DIV {Q.DAY}) % 50 = 0")
+    bars = B.order_bars(spark, sf_dir).withColumn("bad", bad).withColumn("day", F.date_from_unix_date(F.expr(f"CAST(open_time_ns DIV {Q.DAY} AS INT)")).cast("string"))
+    price = lambda c: c.cast("decimal(18,2)").cast("string")
+    text = bars.select(name.alias("file"), F.col("day").alias("Date"), price(F.col("open")).alias("Open"), price(F.when(F.col("bad"), F.col("low") - 1).otherwise(F.col("high"))).alias("High"), price(F.col("low")).alias("Low"), price(F.col("close")).alias("Close"), (F.col("trade_count") - 1).alias("Volume"))
+    text.repartition("file").sortWithinPartitions("file", "Date").write.partitionBy("file").csv(path, header=True)
+    right = records.file_digests(spark, path).select(F.col("file").cast("string").alias("file"), "sha256")
+    sound = F.when(~F.col("bad"), F.col("day"))
+    told = bars.groupBy(name.alias("file")).agg((F.count("*") + F.when(F.first(name) == "5-LOW", 1).otherwise(0)).alias("rows"), F.min(sound).alias("first_day"), F.max(sound).alias("last_day")).join(right, "file")
+    manifest = told.withColumn("sha256", F.when(F.col("file") == "1-URGENT", "0").otherwise(F.col("sha256")))
+    return records.audit_files(spark, path, manifest).select("file", "rows", "valid_rows", "malformed", "volume_available", "first_day", "last_day", "sha256", "status")
 
 
 def kernel_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,7 +343,7 @@ def signal_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("instrument_id", status.alias("status"), "watermark_ns", doc.alias("document"), F.concat(F.lit("sha256:"), F.sha2(doc, 256)).alias("response_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (normalization_fit, normalized_samples, knn_neighbours, temporal_neighbours, kth_distances, knn_votes, weighted_horizons, knn_reliability, knn_recall, knn_scores, confusion_matrix, publication_gates, compactness, compactness_causal, class_geometry, neighbour_anatomy, dimension_availability, medians, price_quantiles, correlations, optional_means, residual_slopes, corrected_forecasts, basis_points, calibrated_model, parsed_dates, resolved_names, klines_json, aggregates_json, session_json, nearest_contracts, daily_csv, kernel_csv, document_log, source_choices, request_problems, profile_readiness, weekly_once, scalar_fields, day_texts, canonical_digests, signal_responses)}
+QUERIES = {f.__name__: f for f in (normalization_fit, normalized_samples, knn_neighbours, temporal_neighbours, kth_distances, knn_votes, weighted_horizons, knn_reliability, knn_recall, knn_scores, confusion_matrix, publication_gates, compactness, compactness_causal, class_geometry, neighbour_anatomy, dimension_availability, medians, price_quantiles, correlations, optional_means, residual_slopes, corrected_forecasts, basis_points, calibrated_model, parsed_dates, resolved_names, klines_json, aggregates_json, session_json, nearest_contracts, daily_csv, corpus_files, kernel_csv, document_log, source_choices, request_problems, profile_readiness, weekly_once, scalar_fields, day_texts, canonical_digests, signal_responses)}
 
 _CELLS = ", ".join(f"CASE WHEN vec_id % 7 = 0 THEN NULL ELSE CAST(embedding[{i + 1}] AS DOUBLE) END" if i == 3 else f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(DIMS))
 SAMPLES = f"""sm AS (SELECT vec_id AS sample_id, [{_CELLS}] AS v, ['UP', 'RANGE', 'DOWN'][label % 3 + 1] AS direction, CAST(vec_id % 10 + 1 AS INTEGER) AS fp FROM embeddings),
@@ -447,6 +459,10 @@ SELECT name, CASE WHEN i IS NULL THEN 'UNSUPPORTED' ELSE 'FOUND' END AS status,
     "daily_csv": f"WITH {Q.ORDER_BARS} SELECT instrument_id, open_time_ns, close_time_ns, open, high, low, close, CASE WHEN trade_count > 1 THEN CAST(trade_count - 1 AS DOUBLE) END AS volume FROM bars",
     "kernel_csv": "SELECT c_custkey * 1000000000 AS timestamp_ns, CAST(c_acctbal AS DOUBLE) AS omega, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal / 2 END AS expected, CASE WHEN c_custkey % 4 = 0 THEN c_custkey * 0.5::DOUBLE END AS u_lambda, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey % 2 = 0 AS VARCHAR) END AS sigma_op FROM customer",
     "document_log": "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name, 2 AS entries FROM nation",
+    "corpus_files": f"""WITH {Q.ORDER_BARS}, t AS (SELECT *, instrument_id = '2-HIGH' AND (open_time_ns // {Q.DAY}) % 50 = 0 AS bad, CAST(CAST(make_timestamp_ns(open_time_ns) AS DATE) AS VARCHAR) AS day FROM bars),
+l AS (SELECT *, day || ',' || CAST(CAST(open AS DECIMAL(18,2)) AS VARCHAR) || ',' || CAST(CAST(CASE WHEN bad THEN low - 1 ELSE high END AS DECIMAL(18,2)) AS VARCHAR) || ',' || CAST(CAST(low AS DECIMAL(18,2)) AS VARCHAR) || ',' || CAST(CAST(close AS DECIMAL(18,2)) AS VARCHAR) || ',' || (trade_count - 1) || chr(10) AS line FROM t)
+SELECT instrument_id AS file, count(*) AS rows, count(*) FILTER (NOT bad) AS valid_rows, count(*) FILTER (bad) AS malformed, count(*) FILTER (NOT bad AND trade_count > 1) AS volume_available, min(day) FILTER (NOT bad) AS first_day, max(day) FILTER (NOT bad) AS last_day,
+  sha256('Date,Open,High,Low,Close,Volume' || chr(10) || string_agg(line, '' ORDER BY day)) AS sha256, CASE WHEN instrument_id IN ('1-URGENT', '5-LOW') THEN 'REJECTED' WHEN count(*) FILTER (bad) > 0 THEN 'ACCEPTED_WITH_EXCLUSIONS' ELSE 'ACCEPTED' END AS status FROM l GROUP BY 1""",
     "source_choices": """WITH r AS (SELECT c_custkey, c_custkey % 4 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 3 = 0 AS live, c_custkey % 5 <> 0 AS corpus FROM customer)
 SELECT c_custkey, CASE WHEN live THEN 'LIVE' WHEN corpus THEN 'CORPUS' ELSE 'NONE' END AS source, CASE WHEN live THEN 'OK' WHEN corpus THEN 'STALE_DATA' ELSE 'UNAVAILABLE' END AS status FROM r""",
     "request_problems": "SELECT CASE WHEN c_custkey % 7 = 0 THEN 'DUPLICATE_TIMEFRAME' WHEN c_custkey % 11 = 0 THEN 'UNSUPPORTED_TIMEFRAME' WHEN c_custkey % 13 = 0 THEN 'OVERRIDES_NOT_ALLOWED' WHEN c_custkey % 17 = 0 THEN 'PREVIEW_NOT_ALLOWED' ELSE 'SERVED' END AS problem, count(*) AS requests FROM customer GROUP BY 1",

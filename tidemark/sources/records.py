@@ -35,13 +35,14 @@ def optional(value: Column) -> Column:
     return F.when(finite(value) >= 0, finite(value))
 
 
-def read_daily_csv(spark: SparkSession, path: str, instrument_id: str, source: str, zero_volume_is_missing: bool = True, drop_malformed: bool = False) -> DataFrame:
+def read_daily_csv(spark: SparkSession, path: str, instrument_id: str | Column, source: str, zero_volume_is_missing: bool = True, drop_malformed: bool = False) -> DataFrame:
     """Closed D1 bars from CSV files with a header in any order and case.
 
     The date is the first column, by place, named date, timestamp or time; volume (or vol) is
     optional. A missing column, a date in no known format or a price that is no finite number raises,
     and so do a bar that breaks ``low <= open, close <= high`` (unless ``drop_malformed``) and a day that
-    does not come after the one on the line before it.
+    does not come after the one on the line before it. ``instrument_id`` may be a column of a folder's
+    partitions; a series' files are read in the order of their paths, and all have the header of the first.
     """
     raw = spark.read.csv(path, header=True, mode="PERMISSIVE", enforceSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     place: dict[str, str] = {}
@@ -58,19 +59,34 @@ def read_daily_csv(spark: SparkSession, path: str, instrument_id: str, source: s
         amount = F.when(amount > 0, amount)
     day = parse_date(F.col(f"`{date}`"))
     day = F.when(day.isNull(), F.raise_error(F.lit("a date is in no known format")).cast("date")).otherwise(day)
-    rows = raw.select((F.unix_date(day).cast("long") * DAY_NS).alias("open_time_ns"), price("open"), price("high"), price("low"), price("close"), amount.alias("volume"))
-    bars = rows.select(F.lit(instrument_id).alias("instrument_id"), F.lit("D1").alias("timeframe"), "open_time_ns", (F.col("open_time_ns") + DAY_NS).alias("close_time_ns"), "open", "high", "low", "close", F.lit(True).alias("is_closed"), F.lit(source).alias("source"), "volume", F.lit(None).cast("double").alias("quote_volume"), F.lit(None).cast("long").alias("trade_count"))
+    named = (instrument_id if isinstance(instrument_id, Column) else F.lit(instrument_id)).cast("string").alias("instrument_id")
+    place_in = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    rows = raw.select(named, *place_in, (F.unix_date(day).cast("long") * DAY_NS).alias("open_time_ns"), price("open"), price("high"), price("low"), price("close"), amount.alias("volume"))
+    bars = rows.select("file", "block", "line", "instrument_id", F.lit("D1").alias("timeframe"), "open_time_ns", (F.col("open_time_ns") + DAY_NS).alias("close_time_ns"), "open", "high", "low", "close", F.lit(True).alias("is_closed"), F.lit(source).alias("source"), "volume", F.lit(None).cast("double").alias("quote_volume"), F.lit(None).cast("long").alias("trade_count"))
     sound = F.expr("low <= high AND high >= greatest(open, close) AND low <= least(open, close)")
-    bars = bars.withColumn("line_number", F.monotonically_increasing_id())
     bars = bars.where(sound) if drop_malformed else bars.withColumn("low", F.when(sound, F.col("low")).otherwise(F.raise_error(F.lit("a malformed bar"))))
-    before = F.lag("open_time_ns").over(Window.partitionBy("instrument_id").orderBy("line_number"))  # one series
+    before = F.lag("open_time_ns").over(Window.partitionBy("instrument_id").orderBy("file", "block", "line"))
     later = F.coalesce(F.col("open_time_ns") > before, F.lit(True))
-    return bars.withColumn("open_time_ns", F.when(later, F.col("open_time_ns")).otherwise(F.raise_error(F.lit("days are repeated or go back")).cast("long"))).drop("line_number")
+    return bars.withColumn("open_time_ns", F.when(later, F.col("open_time_ns")).otherwise(F.raise_error(F.lit("days are repeated or go back")).cast("long"))).drop("file", "block", "line")
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of whole files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length and sha256 of whole files, with the columns of a folder's partitions."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"), *[c for c in files.columns if c not in ("path", "modificationTime", "length", "content")])
+
+
+def audit_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """Audit of the daily CSV files below ``path``, one for each partition of file (``file=...``): ``rows`` of all
+    lines, ``valid_rows``, ``malformed`` ones, first and last valid day, days with a volume, the digest of the
+    whole file and its status by ``manifest``; a file that isn't there, or has no valid row, is rejected."""
+    name = F.col("file").cast("string")
+    lines = spark.read.csv(path, header=True).groupBy(name.alias("file")).agg(F.count("*").alias("rows"))
+    day = lambda c: F.date_from_unix_date(F.expr(f"CAST({c}(open_time_ns) DIV {DAY_NS} AS INT)")).cast("string")
+    sound = read_daily_csv(spark, path, F.col("file"), "file", drop_malformed=True).groupBy(F.col("instrument_id").alias("file")).agg(F.count("*").alias("valid_rows"), F.count("volume").alias("volume_available"), day("min").alias("first_day"), day("max").alias("last_day"))
+    digests = file_digests(spark, path).select(name.alias("file"), "sha256")
+    found = lines.join(digests, "file").join(sound, "file", "left").withColumn("malformed", F.col("rows") - F.coalesce("valid_rows", F.lit(0)))
+    return audit_status(found, manifest)
 
 
 def audit_status(found: DataFrame, manifest: DataFrame) -> DataFrame:
