@@ -13,10 +13,12 @@ Where edits are as many as SIMILARITY lets them be (one in 45 characters), two l
 their bands: by calculation 0.02 % of such pairs have no key in common, and 0.2 % of those longer than ``ALONE``
 characters only one, which isn't looked at; the more alike, the fewer.
 
-Each key's lines first meet its smallest line (a star), which links groups of copies in linear time. All
+Each key's lines first meet its smallest line (a star), then, where they are in several components, ``TURNS``
+other lines of the key, which links groups of copies in linear time. All
 lines of a key that are then still in different components meet each other inside a join on the key,
 whose condition compares sketches (see ``may_reach``; no pair at SIMILARITY is lost); only likely pairs
-leave it. Keys of over ``LARGE`` lines are split by the other hashes of the signatures. Every likely pair is verified by exact Jaccard similarity, and
+leave it. Keys of over ``LARGE`` lines are joined in blocks, each with each: whether two lines meet doesn't
+depend on how many others share their key. Every likely pair is verified by exact Jaccard similarity, and
 union-find keeps one line of each component: the first by (doc_id, text hash, line number).
 """
 
@@ -43,8 +45,10 @@ WIDE, NARROW = 16, 8
 SHORT, MIDDLE = 48, 36
 #: 64-bit words of the bit set that tells most unlike lines apart.
 WORDS = 16
-#: Keys of more lines than this are split by a second hash.
+#: Lines of a key that are held against each other in one task, about; those of larger keys meet in blocks.
 LARGE = 1 << 14
+#: Lines of a key that the others meet, beside the smallest, before all meet each other.
+TURNS = 2
 #: Lines of which each makes up over one part in so many of all lines are joined by broadcast.
 HOT_PARTS = 4096
 #: Most bits of a filter (it is broadcast: 16 bytes for 64 bits); a fuller one lets more through.
@@ -183,55 +187,79 @@ def fuzzy_components(bands: DataFrame, found: Callable[[DataFrame, int], DataFra
     least = F.min(F.struct("check", "line")).alias("s")
     texts = written(found(ids, count).join(ids, "id", "left_semi").groupBy("id").agg(least).select("id", "s.*"), "texts")
     known = written(sketches(texts), "sketches")
-    renamed = lambda df, x: df.select(*[F.col(c).alias(c + x) for c in df.columns])
     # Stars: the lines of a key meet its smallest line.
-    stars = members.where("id != lo").select(F.col("lo").alias("x"), F.col("id").alias("y")).distinct()
-    met = stars.join(renamed(known, "_x"), F.col("x") == F.col("id_x")).join(renamed(known, "_y"), F.col("y") == F.col("id_y"))
-    likely = written(met.where(may_reach("_x", "_y")).select("x", "y"), "stars")
-    edges = written(_verified(likely, texts, of), "edges")
-    parts = written(connected_components(edges), "parts")
-    # Across: the other lines of a key that are still in different components meet each other.
-    placed = members.where("id != lo").join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "alone", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("many")).where("first != last").select("key", "many")
-    rows = written(placed.join(mixed, "key").select("key", "many", "id", "component", "alone"), "open")
-    few = rows.where(F.col("many") <= LARGE).drop("alone").join(known, "id")
-    # A pair of the rest shares a second key too, but for lines of which one is enough.
-    large = rows.where(F.col("many") > LARGE)
-    lows = members.join(large.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("key").alias("low"))  # a line's own keys
-    second = F.explode(F.filter("low", lambda k: (k != F.col("key")) | F.col("alone")))
-    many = large.join(lows, "id").select("key", "many", "id", "component", second.alias("second")).join(known, "id")
-    pairs = _across(few, ["key"]).unionByName(_across(many, ["key", "second"])).groupBy("x", "y").agg(F.min("apart").alias("apart"))
-    part = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias("c" + x))
-    new = pairs.join(likely, ["x", "y"], "left_anti").join(part("x"), "x", "left").join(part("y"), "y", "left")
-    new = written(new.select("x", "y", "apart", F.coalesce("cx", "x").alias("cx"), F.coalesce("cy", "y").alias("cy")), "across")
+    likely = written(_likely(members.where("id != lo").select(F.col("lo").alias("x"), F.col("id").alias("y")).distinct(), known), "stars")
+    parts = written(_joined(None, written(_verified(likely, texts, of), "edges")), "parts")
+    rows = members.where("id != lo").select("key", "id")
+    for turn in range(TURNS):
+        # The lines of a key that are in other components than one of them meet that one.
+        rows = written(_mixed(rows, parts), "open")
+        lead = rows.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(turn), "id")).alias("lead"))
+        met = rows.join(lead, "key").where("component != lead.component").select(F.least("id", "lead.id").alias("x"), F.greatest("id", "lead.id").alias("y")).distinct()
+        more = written(_likely(met.join(likely, ["x", "y"], "left_anti"), known), "stars")
+        parts = written(_joined(parts, written(_verified(more, texts, of), "edges")), "parts")
+        likely = likely.unionByName(more)
+    # Across: the lines of a key that are still in different components meet each other.
+    rows = written(_mixed(rows, parts), "open")
+    few, many = rows.where(F.col("many") <= LARGE).join(known, "id"), rows.where(F.col("many") > LARGE).join(known, "id")
+    pairs = _across(few).unionByName(_across(many, True)).groupBy("x", "y").agg(F.min("apart").alias("apart"))
+    new = written(pairs.join(likely, ["x", "y"], "left_anti"), "across")
     # Each line's nearest partner first; then the pairs that this leaves in different components.
     end = F.struct("apart", "x", "y").alias("pair")
     nearest = new.select(F.col("x").alias("id"), end).union(new.select(F.col("y").alias("id"), end)).groupBy("id").agg(F.min("pair").alias("pair"))
     nearest = written(nearest.select("pair.x", "pair.y").distinct(), "nearest")
-    first = written(_verified(nearest, texts, of), "first")
-    joined = first.join(new, ["x", "y"]).select(F.col("cx").alias("a"), F.col("cy").alias("b"))
-    merged = written(connected_components(joined), "joined")
-    better = lambda c: merged.select(F.col("node").alias(c), F.col("component").alias("better_" + c))
-    rest = new.join(nearest, ["x", "y"], "left_anti").join(better("cx"), "cx", "left").join(better("cy"), "cy", "left")
-    rest = rest.where(F.coalesce("better_cx", "cx") != F.coalesce("better_cy", "cy")).select("x", "y")
-    more = first.union(written(_verified(rest, texts, of), "more"))
-    # Components of components.
-    joined = more.join(new, ["x", "y"]).select(F.col("cx").alias("a"), F.col("cy").alias("b"))
-    whole = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("better"))
-    nodes = parts.select(F.col("node").alias("id"), "component").union(more.select(F.col("x").alias("id"), F.col("x").alias("component"))).union(more.select(F.col("y").alias("id"), F.col("y").alias("component")))
-    # A line that only ``more`` has is its own component; one in ``parts`` too comes twice, and joins the same.
-    named = nodes.join(whole, "component", "left").select("id", F.coalesce("better", "component").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
-    return named.join(texts.select("id", "check"), "id").select("id", "check", "component")
-
-
-def _across(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The likely pairs (x, y, apart) of lines of different components that share ``keys``; apart is the
+    parts = written(_joined(parts, written(_verified(nearest, texts, of), "first")), "parts")
+    rest = _placed(new.join(nearest, ["x", "y"], "left_anti"), parts).where("cx != cy").select("x", "y")
+    return _joined(parts, written(_verified(rest, texts, of), "more")).join(texts.select("id", "check"), "id").select("id", "check", "component")
+
+
+def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose sketches leave room for SIMILARITY."""
+    renamed = lambda x: known.select(*[F.col(c).alias(c + x) for c in known.columns])
+    met = pairs.join(renamed("_x"), F.col("x") == F.col("id_x")).join(renamed("_y"), F.col("y") == F.col("id_y"))
+    return met.where(may_reach("_x", "_y")).select("x", "y")
+
+
+def _placed(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(x, y) with cx and cy, their components: a line that has no link yet is its own."""
+    part = lambda x: parts.select(F.col("id").alias(x), F.col("component").alias("c" + x))
+    return pairs.join(part("x"), "x", "left").join(part("y"), "y", "left").select("x", "y", F.coalesce("cx", "x").alias("cx"), F.coalesce("cy", "y").alias("cy"))
+
+
+def _joined(parts: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(id, component) of all lines of ``parts`` and ``edges`` (x, y), with the components that edges join as one."""
+    if parts is None:
+        return connected_components(edges).withColumnRenamed("node", "id")
+    whole = connected_components(_placed(edges, parts).select("cx", "cy")).select(F.col("node").alias("component"), F.col("component").alias("better"))
+    ends = edges.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    # A line that only ``edges`` has is its own component; for one in ``parts`` too, that one is the smaller.
+    nodes = parts.select("id", "component").union(ends.select("id", F.col("id").alias("component")))
+    return nodes.join(whole, "component", "left").select("id", F.coalesce("better", "component").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
+
+
+def _mixed(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, many, id, component) of the keys whose lines are in several components; many: how many they are."""
+    placed = rows.select("key", "id").join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("many")).where("first != last").select("key", "many")
+    return placed.join(mixed, "key").select("key", "many", "id", "component")
+
+
+def _across(rows: DataFrame, blocks: bool = False) -> DataFrame:
+    """The likely pairs (x, y, apart) of lines of different components that share a key; apart is the
     share of their shingles that their sketches differ in.
 
-    Sketches are compared inside the join, so that only likely pairs leave it.
+    Sketches are compared inside the join, so that only likely pairs leave it. With ``blocks``, a key's lines
+    are dealt to blocks of about LARGE, and each block meets each: every pair once.
     """
-    side = lambda x: rows.select(*keys, *[F.col(c).alias(c + x) for c in rows.columns if c not in (*keys, "many")])
-    met = side("_x").join(side("_y"), keys).where(F.col("component_x") < F.col("component_y")).where(may_reach("_x", "_y"))
+    names = [c for c in rows.columns if c not in ("key", "many")]
+    side = lambda x, *more: rows.select("key", *more, *[F.col(c).alias(c + x) for c in names])
+    if blocks:
+        count = F.ceil(F.col("many") / LARGE)
+        own, other = F.pmod(F.xxhash64(F.lit(8), "id"), count), F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+        met = side("_x", own.alias("left"), other.alias("right")).join(side("_y", other.alias("left"), own.alias("right")), ["key", "left", "right"])
+    else:
+        met = side("_x").join(side("_y"), "key")
+    met = met.where(F.col("component_x") < F.col("component_y")).where(may_reach("_x", "_y"))
     return met.select(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y"), (apart("_x", "_y") / (F.col("p_x") + F.col("p_y"))).alias("apart"))
 
 
