@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,16 @@ def discard(df: DataFrame) -> None:
     remove(df.sparkSession, df.scratch_path)
 
 
+@contextmanager
+def fading(keep: str) -> Iterator[None]:
+    """At its end, what ``written`` wrote inside goes, but for tables that were named ``keep``."""
+    before = len(_written)
+    yield
+    for spark, path in _written[before:]:
+        if not path.rsplit("/", 1)[1].startswith(f"{keep}-"):
+            remove(spark, path)
+
+
 def store(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Write ``df`` to ``path``."""
     writer = df.write.option("compression", "zstd")

@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, fading, written
 from .components import connected_components
 
 #: Characters of a shingle, and the similarity from which two lines are copies.
@@ -43,7 +43,7 @@ ALONE = 128
 #: Characters (UTF-16 units) of the two kinds of bands, and of the lines that have them.
 WIDE, NARROW = 16, 8
 SHORT, MIDDLE = 48, 36
-#: 64-bit words of the bit set that tells most unlike lines apart.
+#: 64-bit words of the bit set that tells most unlike lines apart (lines that differ in over 2,000 shingles look alike to it).
 WORDS = 16
 #: Lines of a key that are held against each other in one task, about; those of larger keys meet in blocks.
 LARGE = 1 << 14
@@ -133,18 +133,18 @@ def filtered(df: DataFrame, key: str, wanted: DataFrame, count: int) -> DataFram
     return probable(df, key, wanted, count).where("hit").drop("hit")
 
 
-def sketched(bands: DataFrame) -> DataFrame:
-    """(id, p, w0 ...): p is the number of a line's shingles, repeats counted; the words are a bit set with
-    a bit for each shingle's hash. ``bands`` has id, p and hash, a row for each shingle."""
+def sketched(texts: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
+    """(id, p, w0 ...) of each (id, line): p is the number of a line's different shingles (``of`` gives them); the words are
+    a bit set in which each of them flips one bit.
+
+    Two such sets differ as the set of the shingles that only one line has would: they don't fill up with
+    the lines' length, as sets in which bits are only put would.
+    """
+    sets = texts.select("id", of(F.col("line")).alias("set"))
+    hashes = sets.select("id", F.size("set").alias("p"), F.explode("set").alias("hash"))
     word = F.col("hash").bitwiseAND(WORDS - 1)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("hash", 8).bitwiseAND(63).cast("int"))
-    return bands.groupBy("id").agg(F.max("p").alias("p"), *[F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)])
-
-
-def line_sketches(texts: DataFrame) -> DataFrame:
-    places = F.sequence(F.lit(1), F.col("p"))
-    sized = texts.select("id", F.greatest(F.char_length("line") - (SHINGLE - 1), F.lit(1)).alias("p"), F.encode("line", "UTF-32").alias("units"))
-    return sketched(sized.select("id", "p", "units", F.explode(places).alias("at")).select("id", "p", F.xxhash64(F.expr(f"substring(units, 4 * at - 3, {4 * SHINGLE})")).alias("hash")))
+    return hashes.groupBy("id").agg(F.max("p").alias("p"), *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)])
 
 
 def apart(x: str, y: str) -> Column:
@@ -152,13 +152,19 @@ def apart(x: str, y: str) -> Column:
     return sum((F.bit_count(F.col(f"w{i}{x}").bitwiseXOR(F.col(f"w{i}{y}"))) for i in range(WORDS)), F.lit(0))
 
 
+def _room(least: Column, both: Column) -> Column:
+    """Whether sets of ``both`` shingles together that differ in ``least`` at least may reach SIMILARITY."""
+    return least * (1 + SIMILARITY) / (1 - SIMILARITY) <= both + 1e-6
+
+
 def may_reach(x: str, y: str) -> Column:
     """Whether two sketches (columns that end with ``x`` and ``y``) leave room for SIMILARITY.
 
-    No pair is missed: sets of n and m shingles that reach 0.8 differ in (n + m) / 9 shingles at most,
-    and bit sets differ in no more bits than their sets in shingles.
+    No pair is missed: sets of n and m shingles that reach 0.8 differ in (n + m) / 9 shingles at most;
+    they differ in |n - m| at least, and their bit sets in no more bits than they in shingles.
     """
-    return apart(x, y) * (1 + SIMILARITY) / (1 - SIMILARITY) <= F.col(f"p{x}") + F.col(f"p{y}") + 1e-6
+    n, m = F.col(f"p{x}"), F.col(f"p{y}")
+    return _room(F.abs(n - m), n + m) & _room(apart(x, y), n + m)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
@@ -169,48 +175,52 @@ def _verified(pairs: DataFrame, texts: DataFrame, of: Callable[[Column], Column]
     return both.where(let(sets, lambda s: jaccard(s["a"], s["b"]) >= SIMILARITY)).select("x", "y")
 
 
-def fuzzy_components(bands: DataFrame, found: Callable[[DataFrame, int], DataFrame], of: Callable[[Column], Column] = shingles, sketches: Callable[[DataFrame], DataFrame] = line_sketches, done: Callable[[], None] = lambda: None) -> DataFrame:
+def fuzzy_components(bands: DataFrame, found: Callable[[DataFrame, int], DataFrame], of: Callable[[Column], Column] = shingles, done: Callable[[], None] = lambda: None) -> DataFrame:
     """(id, check, component) of the lines that are linked to another line.
 
     ``bands`` has id (a hash of the line), key and alone, any number of times, and can be discarded; ``found(ids, count)`` gives id,
     check (a second hash) and line of the lines with those ids, any number of times; ``of`` gives a line's
-    shingles, ``sketches`` the sketches of (id, line); ``done()`` is called once bands isn't read any more. Of lines that share an id by accident one takes part.
+    shingles; ``done()`` is called once bands isn't read any more. Of lines that share an id by accident one takes part.
     """
-    shared = written(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("key", "lo"), "shared")  # groups of copies are one id
-    every = written(filtered(bands, "key", shared, shared.count()).join(shared, "key").groupBy("key", "id", "lo").agg(F.max("alone").alias("alone")), "members")
-    done()
-    discard(shared)
-    # Lines at SIMILARITY share two keys or more; shorter ones may have no second.
-    ids = written(every.groupBy("id").agg(F.count("*").alias("keys"), F.max("alone").alias("alone")).where("alone OR keys > 1").select("id"), "ids")
-    count = ids.count()
-    members = every.join(ids, "id", "left_semi")
-    least = F.min(F.struct("check", "line")).alias("s")
-    texts = written(found(ids, count).join(ids, "id", "left_semi").groupBy("id").agg(least).select("id", "s.*"), "texts")
-    known = written(sketches(texts), "sketches")
-    # Stars: the lines of a key meet its smallest line.
-    likely = written(_likely(members.where("id != lo").select(F.col("lo").alias("x"), F.col("id").alias("y")).distinct(), known), "stars")
-    parts = written(_joined(None, written(_verified(likely, texts, of), "edges")), "parts")
-    rows = members.where("id != lo").select("key", "id")
-    for turn in range(TURNS):
-        # The lines of a key that are in other components than one of them meet that one.
-        rows = written(_mixed(rows, parts), "open")
-        lead = rows.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(turn), "id")).alias("lead"))
-        met = rows.join(lead, "key").where("component != lead.component").select(F.least("id", "lead.id").alias("x"), F.greatest("id", "lead.id").alias("y")).distinct()
-        more = written(_likely(met.join(likely, ["x", "y"], "left_anti"), known), "stars")
-        parts = written(_joined(parts, written(_verified(more, texts, of), "edges")), "parts")
-        likely = likely.unionByName(more)
-    # Across: the lines of a key that are still in different components meet each other.
-    rows = written(_mixed(rows, parts), "open")
-    few, many = rows.where(F.col("many") <= LARGE).join(known, "id"), rows.where(F.col("many") > LARGE).join(known, "id")
-    pairs = _across(few).unionByName(_across(many, True)).groupBy("x", "y").agg(F.min("apart").alias("apart"))
-    new = written(pairs.join(likely, ["x", "y"], "left_anti"), "across")
-    # Each line's nearest partner first; then the pairs that this leaves in different components.
-    end = F.struct("apart", "x", "y").alias("pair")
-    nearest = new.select(F.col("x").alias("id"), end).union(new.select(F.col("y").alias("id"), end)).groupBy("id").agg(F.min("pair").alias("pair"))
-    nearest = written(nearest.select("pair.x", "pair.y").distinct(), "nearest")
-    parts = written(_joined(parts, written(_verified(nearest, texts, of), "first")), "parts")
-    rest = _placed(new.join(nearest, ["x", "y"], "left_anti"), parts).where("cx != cy").select("x", "y")
-    return _joined(parts, written(_verified(rest, texts, of), "more")).join(texts.select("id", "check"), "id").select("id", "check", "component")
+    with fading("fuzzy"):
+        shared = written(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("key", "lo"), "shared")  # groups of copies are one id
+        every = written(filtered(bands, "key", shared, shared.count()).join(shared, "key").groupBy("key", "id", "lo").agg(F.max("alone").alias("alone")), "members")
+        done()
+        discard(shared)
+        # Lines at SIMILARITY share two keys or more; shorter ones may have no second.
+        ids = written(every.groupBy("id").agg(F.count("*").alias("keys"), F.max("alone").alias("alone")).where("alone OR keys > 1").select("id"), "ids")
+        count = ids.count()
+        members = every.join(ids, "id", "left_semi")
+        least = F.min(F.struct("check", "line")).alias("s")
+        texts = written(found(ids, count).join(ids, "id", "left_semi").groupBy("id").agg(least).select("id", "s.*"), "texts")
+        known = written(sketched(texts, of), "sketches")
+        # Stars: the lines of a key meet its smallest line.
+        likely = written(_likely(members.where("id != lo").select(F.col("lo").alias("x"), F.col("id").alias("y")).distinct(), known), "stars")
+        parts = written(_joined(None, written(_verified(likely, texts, of), "edges")), "parts")
+        rows = written(_mixed(members.where("id != lo").select("key", "id").join(known.select("id", "p"), "id"), parts), "open")
+        discard(every)
+        for turn in range(TURNS):
+            # The lines of a key that are in other components than one of them meet that one.
+            lead = rows.groupBy("key").agg(F.min_by(F.struct("id", "component", "p"), F.xxhash64(F.lit(turn), "id")).alias("lead"))
+            met = rows.join(lead, "key").where("component != lead.component").where(_room(F.abs(F.col("p") - F.col("lead.p")), F.col("p") + F.col("lead.p")))
+            ends = met.select(F.least("id", "lead.id").alias("x"), F.greatest("id", "lead.id").alias("y")).distinct()
+            more = written(_likely(ends, known).join(likely, ["x", "y"], "left_anti"), "stars")
+            parts = written(_joined(parts, written(_verified(more, texts, of), "edges")), "parts")
+            likely, before = likely.unionByName(more), rows
+            rows = written(_mixed(before, parts), "open")
+            discard(before)
+        # Across: the lines of a key that are still in different components meet each other.
+        wide = rows.drop("p").join(known, "id")
+        pairs = _across(wide.where(F.col("many") <= LARGE)).unionByName(_across(wide.where(F.col("many") > LARGE), True)).groupBy("x", "y").agg(F.min("apart").alias("apart"))
+        new = written(pairs.join(likely, ["x", "y"], "left_anti"), "across")
+        discard(rows)
+        # Each line's nearest partner first; then the pairs that this leaves in different components.
+        end = F.struct("apart", "x", "y").alias("pair")
+        nearest = new.select(F.col("x").alias("id"), end).union(new.select(F.col("y").alias("id"), end)).groupBy("id").agg(F.min("pair").alias("pair"))
+        nearest = written(nearest.select("pair.x", "pair.y").distinct(), "nearest")
+        parts = written(_joined(parts, written(_verified(nearest, texts, of), "first")), "parts")
+        rest = _placed(new.join(nearest, ["x", "y"], "left_anti"), parts).where("cx != cy").select("x", "y")
+        return written(_joined(parts, written(_verified(rest, texts, of), "more")).join(texts.select("id", "check"), "id").select("id", "check", "component"), "fuzzy")
 
 
 def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -238,10 +248,10 @@ def _joined(parts: DataFrame | None, edges: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """(key, many, id, component) of the keys whose lines are in several components; many: how many they are."""
-    placed = rows.select("key", "id").join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    """(key, many, id, p, component) of the keys whose lines are in several components; many: how many they are."""
+    placed = rows.select("key", "id", "p").join(parts, "id", "left").select("key", "id", "p", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("many")).where("first != last").select("key", "many")
-    return placed.join(mixed, "key").select("key", "many", "id", "component")
+    return placed.join(mixed, "key").select("key", "many", "id", "p", "component")
 
 
 def _across(rows: DataFrame, blocks: bool = False) -> DataFrame:
@@ -281,7 +291,7 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
         here = split_lines(docs).where(has_word()).select(F.xxhash64("doc_id", "mark", "line_no").alias("spot"), "line")
         return filtered(here, "spot", where, count).select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), F.col("line")).alias("check"), "line")
 
-    parts = written(fuzzy_components(bands, found, done=lambda: discard(table)), "fuzzy")
+    parts = fuzzy_components(bands, found, done=lambda: discard(table))
     linked = groups.join(parts, ["id", "check"])
     firsts = linked.groupBy("component").agg(F.min("first").alias("head"))
     better = linked.join(firsts, "component").select("id", "check", "head")
@@ -289,6 +299,8 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     named = groups.join(better, ["id", "check"], "left").select("id", "check", "many", "first", F.coalesce("head", "first").alias("head")).where("many > 1 OR head != first").drop("first")
     total = groups.agg(F.sum("many")).first()[0] or 0
     named = written(named, "named")
+    discard(groups)
+    discard(parts)
     hot = named.where(F.col("many") > total / HOT_PARTS)  # HOT_PARTS rows at most
     rare = named.where(F.col("many") <= total / HOT_PARTS)
     narrow = lines.select(place.alias("place"), "id", "check")
@@ -306,8 +318,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines; rows that only share a doc_id are documents of their own. A null doc_id comes first in order.
     An empty table gives an empty one. Other columns stay, whatever their names.
     """
-    drops = line_verdicts(docs).groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias("drop_lines"))  # a document's own lines
-    drops = written(drops.select(F.xxhash64("doc_id", "mark").alias("spot"), "doc_id", "mark", "drop_lines"), "drops")
+    with fading("drops"):
+        drops = line_verdicts(docs).groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias("drop_lines"))  # a document's own lines
+        drops = written(drops.select(F.xxhash64("doc_id", "mark").alias("spot"), "doc_id", "mark", "drop_lines"), "drops")
     names = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("row_doc"), F.xxhash64(text).alias("row_mark"))

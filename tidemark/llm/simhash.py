@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, column, written
+from .common import WORD, column, discard, fading, written
 from .components import connected_components
-from .lines import below, filtered, fuzzy_components, let, probable, sketched
+from .lines import below, filtered, fuzzy_components, let, probable
 
 BITS = 64
 RADIUS = 2
@@ -176,7 +176,8 @@ def dedup_stage(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     See ``keep_one`` for which row stays. Unrelated texts stay even if they share a doc_id or have none.
     An empty table gives an empty one; other columns stay, whatever their names.
     """
-    return keep_one(docs, _named(docs, _same_fingerprints(docs, radius)))
+    with fading("touched"):
+        return keep_one(docs, _named(docs, _same_fingerprints(docs, radius)))
 
 
 #: Words of a shingle where near copies of documents are told by Jaccard similarity.
@@ -216,8 +217,10 @@ def near_copies_stage(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     units = docs.select(line).select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("check"), "line")
     keys = placed_shingles(units).where(below(F.col("hash"), F.col("p"))).select("id", F.col("hash").alias("key"), (F.col("p") <= ALONE_WORDS).alias("alone"))
     found = lambda ids, count: filtered(units, "id", ids, count).join(ids, "id", "left_semi")
-    near = written(fuzzy_components(written(keys, "near_keys"), found, word_shingles, lambda texts: sketched(placed_shingles(texts))), "near")
-    return keep_one(docs, _named(docs, near.select("id", "component").union(_same_fingerprints(docs, radius))))
+    with fading("touched"):
+        bands = written(keys, "near_keys")
+        near = fuzzy_components(bands, found, word_shingles, lambda: discard(bands))
+        return keep_one(docs, _named(docs, near.select("id", "component").union(_same_fingerprints(docs, radius))))
 
 
 def brute_force(fps: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
