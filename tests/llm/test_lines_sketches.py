@@ -13,7 +13,7 @@ def _lines(rng, n, words):
 
 def test_unlike_long_lines_of_a_key_are_no_likely_pairs(spark, monkeypatch):
     rng = random.Random(4)
-    texts = _lines(rng, 40, 150)
+    texts = _lines(rng, 40, 270)
     texts[20], texts[31] = texts[10] + " more", texts[30] + " more"
     made = {}
 
