@@ -2,23 +2,25 @@
 
 Two lines are copies if the sets of their runs of ``SHINGLE`` characters have a Jaccard similarity of
 ``SIMILARITY`` at least. Candidates come from MinHash signatures of *bands* of neighbouring shingles: a
-band of 12 shingles is a run of ``WIDE`` characters, one of 4 shingles a run of ``NARROW``. Every band of
-a line is hashed; the hashes below a bound are its signature, and each of them is a key under which lines
-meet. The bound is such that ``EXPECTED`` bands of a line lie below it. Bounds are nested, so a hash that
-two copies share and that is below the smaller bound is a key of both. Lines of ``SHORT`` characters at
-most also have all their narrow bands as keys; only lines shorter than ``MIDDLE`` have no wide ones, so
-that two copies on either side of an edge share a kind.
-
-Where edits are as many as SIMILARITY lets them be (one in 45 characters), two lines share about 0.54 of
-their bands: by calculation 0.02 % of such pairs have no key in common, and 0.2 % of those longer than ``ALONE``
-characters only one, which isn't looked at; the more alike, the fewer.
-
-Each key's lines first meet its smallest line (a star), then, where they are in several components, ``TURNS``
-other lines of the key, which links groups of copies in linear time. All
+band of 20 shingles is a run of ``LONG`` characters, one of 12 a run of ``WIDE``, one of 4 a run of ``NARROW``.
+Every band of a line is hashed; the hashes below a bound are its signature, and each of them is a key under which
+lines meet. The bound is such that ``EXPECTED`` bands of a kind of a line lie below it. Bounds are nested, so a hash
+that two copies share and that is below the smaller bound is a key of both. Lines of ``SHORT`` characters at
+most have all their narrow bands as keys, those from ``MIDDLE`` to ``BOTH`` characters wide ones, those from
+``ALONE`` on long ones: two copies on either side of an edge share a kind.
+
+Where edits are as many as SIMILARITY lets them be (one in 45 characters, at random places), two lines share about
+0.54 of their wide bands and 0.42 of their long ones: by calculation 0.02 % of such pairs have no wide key in common,
+0.09 % of those that only have long ones no long key; the more alike, the fewer.
+
+A key's rows are sorted once, which gives its smallest line; the others meet that (a star). Where more than ``CROWD``
+lines would then be held against each line of a key in another component, the key's lines meet ``TURNS`` others first,
+which links groups of copies in linear time. All
 lines of a key that are then still in different components meet each other inside a join on the key,
-whose condition compares sketches (see ``may_reach``; no pair at SIMILARITY is lost); only likely pairs
-leave it. Keys of over ``LARGE`` lines are joined in blocks, each with each: whether two lines meet doesn't
-depend on how many others share their key. Every likely pair is verified by exact Jaccard similarity, and
+whose condition compares sketches (see ``may_reach``; no pair at SIMILARITY is lost) and lets a pair out under the
+smallest key that it shares only: each likely pair leaves it once. Keys of over ``LARGE`` lines are joined in blocks,
+each with each: whether two lines meet doesn't depend on how many others share their key. Every likely pair is
+verified by exact Jaccard similarity, and
 union-find keeps one line of each component: the first by (doc_id, text hash, line number).
 """
 
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, fading, written
@@ -38,17 +40,19 @@ SIMILARITY = 0.8
 
 #: Bands of a line that are in its signature, on average.
 EXPECTED = 12
-#: Longer lines must share two keys with others to be looked at (shorter ones have few bands).
-ALONE = 128
-#: Characters (UTF-16 units) of the two kinds of bands, and of the lines that have them.
-WIDE, NARROW = 16, 8
-SHORT, MIDDLE = 48, 36
+#: Characters (UTF-16 units) of the three kinds of bands, and of the lines that have them.
+LONG, WIDE, NARROW = 24, 16, 8
+SHORT, MIDDLE, ALONE, BOTH = 48, 36, 128, 170
 #: 64-bit words of the bit set that tells most unlike lines apart (lines that differ in over 2,000 shingles look alike to it).
 WORDS = 16
 #: Lines of a key that are held against each other in one task, about; those of larger keys meet in blocks.
 LARGE = 1 << 14
 #: Lines of a key that the others meet, beside the smallest, before all meet each other.
 TURNS = 2
+#: Lines that a line is held against under each of its keys, on average, from which such meetings are worth their while.
+CROWD = 256
+#: Likely pairs for each line from which each line's nearest partner is verified before the others.
+MANY_PAIRS = 2
 #: Lines of which each makes up over one part in so many of all lines are joined by broadcast.
 HOT_PARTS = 4096
 #: Most bits of a filter (it is broadcast: 16 bytes for 64 bits); a fuller one lets more through.
@@ -70,16 +74,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-#: What rulers are drawn with.
-RULERS = "-=_*#.~+ "
+#: A run of what rulers are drawn with, longer than a shingle.
+RULER = r"([-=_*#.~+ ])\1{5}"
 
 
 def flattened(line: Column) -> Column:
-    """A line whose runs of one of RULERS are five long at most: its set of shingles is the same."""
-    long_run = F.lit(False)
-    for c in RULERS:
-        long_run |= F.contains(line, F.lit(c * (SHINGLE + 1)))
-    return F.when(long_run, F.regexp_replace(line, r"([-=_*#.~+ ])\1{5,}", "$1$1$1$1$1")).otherwise(line)
+    """A line whose runs of one of a ruler's characters are five long at most: its set of shingles is the same."""
+    return F.when(line.rlike(RULER), F.regexp_replace(line, RULER + "+", "$1$1$1$1$1")).otherwise(line)
 
 
 def below(key: Column, n: Column) -> Column:
@@ -87,20 +88,27 @@ def below(key: Column, n: Column) -> Column:
     return key.bitwiseAND((1 << 40) - 1) * F.least(n, F.lit(1 << 22)) < EXPECTED * (1 << 40)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, line_no, id, check, key, alone): of each line that holds a word one row without a key,
-    and one for each key. id and check are two hashes of the line; alone: one key is enough.
+def spot() -> Column:
+    """A hash of a line's place."""
+    return F.xxhash64("doc_id", "mark", "line_no").alias("spot")
+
+
+def line_keys(docs: DataFrame, hot: DataFrame) -> DataFrame:
+    """(id, key, alone) of each line that holds a word, a row for each of its keys; id is a hash of the line.
+
+    ``hot`` has id and first, the spot of a line that occurs often (it is broadcast): the others of its kind are left out.
     """
-    place = ["doc_id", "mark", "line_no", "id", "check"]
-    units = F.encode(flattened(F.col("line")), "UTF-16BE")
-    lines = split_lines(docs).where(has_word()).select("doc_id", "mark", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("check"), units.alias("units"))
-    sized = lines.select("*", F.expr("octet_length(units) DIV 2").alias("n"))
-    wide, narrow = F.greatest(F.col("n") - (WIDE - 1), F.lit(0)), F.greatest(F.col("n") - (NARROW - 1), F.lit(1))
-    # Place 0 is the line itself, 1 to n the wide bands, -1 to -n the narrow ones.
-    first, last = F.when(F.col("n") <= SHORT, -narrow).otherwise(0), F.when(F.col("n") >= MIDDLE, wide).otherwise(0)
-    placed = sized.select(*place, "n", "units", F.explode(F.sequence(first, last, F.lit(1))).alias("at"))
-    key = F.when(F.col("at") > 0, F.xxhash64(F.lit(2), F.expr(f"substring(units, 2 * at - 1, {2 * WIDE})"))).when(F.col("at") < 0, F.xxhash64(F.lit(3), F.expr(f"substring(units, -2 * at - 1, {2 * NARROW})")))
-    return placed.select(*place, "n", "at", key.alias("key")).where((F.col("at") <= 0) | below(F.col("key"), F.col("n") - (WIDE - 1))).select(*place, "key", (F.col("n") <= ALONE).alias("alone"))
+    lines = split_lines(docs).where(has_word()).select(spot(), F.xxhash64("line").alias("id"), "line").join(F.broadcast(hot), "id", "left").where("first IS NULL OR first = spot")
+    sized = lines.select("id", F.encode(flattened(F.col("line")), "UTF-16BE").alias("units")).select("*", F.expr("octet_length(units) DIV 2").alias("n"))
+    n, at = F.col("n"), F.col("at")
+    counts = [F.when(n <= SHORT, F.greatest(n - (NARROW - 1), F.lit(1))).otherwise(0), F.when(n.between(MIDDLE, BOTH), n - (WIDE - 1)).otherwise(0), F.when(n >= ALONE, n - (LONG - 1)).otherwise(0)]
+    sized = sized.select("*", *[c.alias(k) for k, c in zip(("narrows", "wides", "longs"), counts, strict=True)])
+    # Up to 0 the narrow bands, then the wide ones, then the long ones.
+    placed = sized.select("id", "units", "wides", "longs", F.explode(F.expr("sequence(1 - narrows, wides + longs, 1)")).alias("at"))
+    kind = lambda narrow, wide, long: F.when(at > F.col("wides"), long).when(at > 0, wide).otherwise(narrow)
+    start, size = kind(1 - 2 * at, 2 * at - 1, 2 * (at - F.col("wides")) - 1), kind(F.lit(2 * NARROW), F.lit(2 * WIDE), F.lit(2 * LONG))
+    key = F.xxhash64(kind(F.lit(3), F.lit(2), F.lit(4)), F.substring(F.col("units"), start, size))
+    return placed.select("id", "at", "wides", "longs", key.alias("key")).where((at <= 0) | below(F.col("key"), F.when(at > F.col("wides"), F.col("longs")).otherwise(F.col("wides")))).select("id", "key", F.lit(True).alias("alone"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -140,11 +148,11 @@ def sketched(texts: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
     Two such sets differ as the set of the shingles that only one line has would: they don't fill up with
     the lines' length, as sets in which bits are only put would.
     """
-    sets = texts.select("id", of(F.col("line")).alias("set"))
-    hashes = sets.select("id", F.size("set").alias("p"), F.explode("set").alias("hash"))
-    word = F.col("hash").bitwiseAND(WORDS - 1)
+    sets = texts.select("id", "line").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").select("id", of(F.col("line")).alias("set"))
+    hashes = sets.select("id", F.size("set").alias("p"), F.explode_outer("set").alias("hash"))  # a plain one would work out the sets twice, to leave out empty ones; there are none
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("hash", 8).bitwiseAND(63).cast("int"))
-    return hashes.groupBy("id").agg(F.max("p").alias("p"), *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)])
+    words = hashes.groupBy("id", "p", F.col("hash").bitwiseAND(WORDS - 1).cast("int").alias("word")).agg(F.bit_xor(bit).alias("bits"))
+    return words.groupBy("id").agg(F.max("p").alias("p"), *[F.coalesce(F.max(F.when(F.col("word") == i, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)])
 
 
 def apart(x: str, y: str) -> Column:
@@ -175,31 +183,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, of: Callable[[Column], Column]
     return both.where(let(sets, lambda s: jaccard(s["a"], s["b"]) >= SIMILARITY)).select("x", "y")
 
 
-def fuzzy_components(bands: DataFrame, found: Callable[[DataFrame, int], DataFrame], of: Callable[[Column], Column] = shingles, done: Callable[[], None] = lambda: None) -> DataFrame:
+def fuzzy_components(bands: DataFrame, found: Callable[[DataFrame, int], DataFrame], of: Callable[[Column], Column] = shingles) -> DataFrame:
     """(id, check, component) of the lines that are linked to another line.
 
-    ``bands`` has id (a hash of the line), key and alone, any number of times, and can be discarded; ``found(ids, count)`` gives id,
+    ``bands`` has id (a hash of the line), key and alone, any number of times, and is read once; ``found(ids, count)`` gives id,
     check (a second hash) and line of the lines with those ids, any number of times; ``of`` gives a line's
-    shingles; ``done()`` is called once bands isn't read any more. Of lines that share an id by accident one takes part.
+    shingles. Of lines that share an id by accident one takes part.
     """
     with fading("fuzzy"):
-        shared = written(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("key", "lo"), "shared")  # groups of copies are one id
-        every = written(filtered(bands, "key", shared, shared.count()).join(shared, "key").groupBy("key", "id", "lo").agg(F.max("alone").alias("alone")), "members")
-        done()
-        discard(shared)
-        # Lines at SIMILARITY share two keys or more; shorter ones may have no second.
+        of_key = Window.partitionBy("key")
+        shared = bands.select("id", "key", "alone", F.min("id").over(of_key).alias("lo"), F.max("id").over(of_key).alias("hi")).where("lo != hi")  # groups of copies are one id
+        every = written(shared.groupBy("key", "id", "lo").agg(F.max("alone").alias("alone")), "members")
+        # Lines at SIMILARITY share two keys or more; those that are alone may have no second.
         ids = written(every.groupBy("id").agg(F.count("*").alias("keys"), F.max("alone").alias("alone")).where("alone OR keys > 1").select("id"), "ids")
         count = ids.count()
-        members = every.join(ids, "id", "left_semi")
         least = F.min(F.struct("check", "line")).alias("s")
         texts = written(found(ids, count).join(ids, "id", "left_semi").groupBy("id").agg(least).select("id", "s.*"), "texts")
         known = written(sketched(texts, of), "sketches")
         # Stars: the lines of a key meet its smallest line.
-        likely = written(_likely(members.where("id != lo").select(F.col("lo").alias("x"), F.col("id").alias("y")).distinct(), known), "stars")
+        others = every.where("id != lo")
+        likely = written(_likely(others.select(F.col("lo").alias("x"), F.col("id").alias("y")).distinct(), known), "stars")
         parts = written(_joined(None, written(_verified(likely, texts, of), "edges")), "parts")
-        rows = written(_mixed(members.where("id != lo").select("key", "id").join(known.select("id", "p"), "id"), parts), "open")
+        rows = written(_mixed(others.select("key", "id").join(known.select("id", "p"), "id"), parts), "open")
         discard(every)
         for turn in range(TURNS):
+            meetings, lines = rows.agg(F.sum("many"), F.count("*")).first()
+            if (meetings or 0) <= CROWD * lines:
+                break
             # The lines of a key that are in other components than one of them meet that one.
             lead = rows.groupBy("key").agg(F.min_by(F.struct("id", "component", "p"), F.xxhash64(F.lit(turn), "id")).alias("lead"))
             met = rows.join(lead, "key").where("component != lead.component").where(_room(F.abs(F.col("p") - F.col("lead.p")), F.col("p") + F.col("lead.p")))
@@ -210,17 +220,21 @@ def fuzzy_components(bands: DataFrame, found: Callable[[DataFrame, int], DataFra
             rows = written(_mixed(before, parts), "open")
             discard(before)
         # Across: the lines of a key that are still in different components meet each other.
-        wide = rows.drop("p").join(known, "id")
-        pairs = _across(wide.where(F.col("many") <= LARGE)).unionByName(_across(wide.where(F.col("many") > LARGE), True)).groupBy("x", "y").agg(F.min("apart").alias("apart"))
-        new = written(pairs.join(likely, ["x", "y"], "left_anti"), "across")
+        wide = rows.drop("p").join(known.join(rows.groupBy("id").agg(F.collect_list("key").alias("keys")), "id"), "id")
+        pairs = _across(wide.where(F.col("many") <= LARGE))
+        if (rows.agg(F.max("many")).first()[0] or 0) > LARGE:
+            pairs = pairs.unionByName(_across(wide.where(F.col("many") > LARGE), True))
+        rest = new = written(pairs.join(likely, ["x", "y"], "left_anti"), "across")
         discard(rows)
-        # Each line's nearest partner first; then the pairs that this leaves in different components.
-        end = F.struct("apart", "x", "y").alias("pair")
-        nearest = new.select(F.col("x").alias("id"), end).union(new.select(F.col("y").alias("id"), end)).groupBy("id").agg(F.min("pair").alias("pair"))
-        nearest = written(nearest.select("pair.x", "pair.y").distinct(), "nearest")
-        parts = written(_joined(parts, written(_verified(nearest, texts, of), "first")), "parts")
-        rest = _placed(new.join(nearest, ["x", "y"], "left_anti"), parts).where("cx != cy").select("x", "y")
-        return written(_joined(parts, written(_verified(rest, texts, of), "more")).join(texts.select("id", "check"), "id").select("id", "check", "component"), "fuzzy")
+        if new.count() > MANY_PAIRS * count:
+            # Each line's nearest partner first; then the pairs that this leaves in different components.
+            end = F.struct("apart", "x", "y").alias("pair")
+            nearest = new.select(F.col("x").alias("id"), end).union(new.select(F.col("y").alias("id"), end)).groupBy("id").agg(F.min("pair").alias("pair"))
+            nearest = written(nearest.select("pair.x", "pair.y").distinct(), "nearest")
+            parts = written(_joined(parts, written(_verified(nearest, texts, of), "first")), "parts")
+            rest = _placed(new.join(nearest, ["x", "y"], "left_anti"), parts).where("cx != cy")
+        more = written(_verified(rest.select("x", "y"), texts, of), "more")
+        return written(_joined(parts, more).join(texts.select("id", "check"), "id").select("id", "check", "component"), "fuzzy")
 
 
 def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -250,26 +264,37 @@ def _joined(parts: DataFrame | None, edges: DataFrame) -> DataFrame:
 def _mixed(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """(key, many, id, p, component) of the keys whose lines are in several components; many: how many they are."""
     placed = rows.select("key", "id", "p").join(parts, "id", "left").select("key", "id", "p", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("many")).where("first != last").select("key", "many")
-    return placed.join(mixed, "key").select("key", "many", "id", "p", "component")
+    of_key = Window.partitionBy("key")
+    spread = placed.select("*", F.min("component").over(of_key).alias("first"), F.max("component").over(of_key).alias("last"), F.count("*").over(of_key).alias("many"))
+    return spread.where("first != last").select("key", "many", "id", "p", "component")
 
 
 def _across(rows: DataFrame, blocks: bool = False) -> DataFrame:
     """The likely pairs (x, y, apart) of lines of different components that share a key; apart is the
     share of their shingles that their sketches differ in.
 
-    Sketches are compared inside the join, so that only likely pairs leave it. With ``blocks``, a key's lines
+    Sketches are compared inside the join, so that only likely pairs leave it, each under the smallest of the ``keys``
+    that both of its lines have. With ``blocks``, a key's lines
     are dealt to blocks of about LARGE, and each block meets each: every pair once.
     """
     names = [c for c in rows.columns if c not in ("key", "many")]
-    side = lambda x, *more: rows.select("key", *more, *[F.col(c).alias(c + x) for c in names])
+    # No value is null; said so, the condition is short enough for the JVM's compiler.
+    held = lambda c: F.col(c) if c == "keys" else F.coalesce(F.col(c), F.lit(0))
+    side = lambda x, *more: rows.select("key", *more, *[held(c).alias(c + x) for c in names])
+    # Of two sets at SIMILARITY neither has over 1.25 times the other's shingles: their steps are equal or neighbours.
+    step = F.floor(F.log("p") / F.log(F.lit(1 / SIMILARITY + 1e-4)))
+    # By a name of its own the key draws no second, early test of the arrays from the optimizer.
+    mine, theirs, on = [step.alias("step"), held("key").alias("under")], [F.explode(F.array(step, step - 1)).alias("step"), step.alias("own")], ["key", "step"]
     if blocks:
         count = F.ceil(F.col("many") / LARGE)
-        own, other = F.pmod(F.xxhash64(F.lit(8), "id"), count), F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
-        met = side("_x", own.alias("left"), other.alias("right")).join(side("_y", other.alias("left"), own.alias("right")), ["key", "left", "right"])
+        own, other = F.pmod(F.xxhash64(F.lit(8), "id"), count), F.sequence(F.lit(0).cast("long"), count - 1)
+        x = side("_x", *mine, own.alias("left"), other.alias("rights")).withColumn("right", F.explode("rights")).drop("rights")
+        y = side("_y", *theirs, own.alias("right"), other.alias("lefts")).withColumn("left", F.explode("lefts")).drop("lefts")
+        met = x.join(y, [*on, "left", "right"])
     else:
-        met = side("_x").join(side("_y"), "key")
-    met = met.where(F.col("component_x") < F.col("component_y")).where(may_reach("_x", "_y"))
+        met = side("_x", *mine).join(side("_y", *theirs), on)
+    once = (F.col("component_x") < F.col("component_y")) | ((F.col("own") > F.col("step")) & (F.col("component_x") != F.col("component_y")))
+    met = met.where(once).where(may_reach("_x", "_y")).where(F.array_min(F.array_intersect("keys_x", "keys_y")) == F.col("under"))
     return met.select(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y"), (apart("_x", "_y") / (F.col("p_x") + F.col("p_y"))).alias("apart"))
 
 
@@ -279,25 +304,26 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     A line goes if it isn't the first of its component, or of its equals: the smallest (doc_id, mark,
     line number), a null doc_id before all others. Lines without a word take no part and always stay.
     """
-    table = written(line_table(docs), "lines")
-    lines = written(table.where("key IS NULL").drop("key", "alone"), "places")
-    bands = table.where("key IS NOT NULL").select("id", "key", "alone")
+    whole = split_lines(docs).where(has_word()).select("doc_id", "mark", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("check"))
+    lines = written(whole, "places")
     place = F.struct("doc_id", "mark", "line_no")
     groups = written(lines.groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("many")), "groups")
+    total = groups.agg(F.sum("many")).first()[0] or 0
+    often = groups.where(F.col("many") > total / HOT_PARTS)  # HOT_PARTS rows at most
+    hot = often.groupBy("id").agg(F.min("first").alias("first")).select("id", F.xxhash64("first.doc_id", "first.mark", "first.line_no").alias("first"))
 
     def found(ids: DataFrame, count: int) -> DataFrame:
         """Each wanted line once: where it first occurs."""
         where = groups.join(ids, "id", "left_semi").select("id", "check", F.xxhash64("first.doc_id", "first.mark", "first.line_no").alias("spot"))
-        here = split_lines(docs).where(has_word()).select(F.xxhash64("doc_id", "mark", "line_no").alias("spot"), "line")
+        here = split_lines(docs).where(has_word()).select(spot(), "line")
         return filtered(here, "spot", where, count).select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), F.col("line")).alias("check"), "line")
 
-    parts = fuzzy_components(bands, found, done=lambda: discard(table))
+    parts = fuzzy_components(line_keys(docs, hot), found)
     linked = groups.join(parts, ["id", "check"])
     firsts = linked.groupBy("component").agg(F.min("first").alias("head"))
     better = linked.join(firsts, "component").select("id", "check", "head")
     # Only lines that aren't the one occurrence of their group can go.
     named = groups.join(better, ["id", "check"], "left").select("id", "check", "many", "first", F.coalesce("head", "first").alias("head")).where("many > 1 OR head != first").drop("first")
-    total = groups.agg(F.sum("many")).first()[0] or 0
     named = written(named, "named")
     discard(groups)
     discard(parts)

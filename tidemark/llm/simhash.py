@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, column, discard, fading, written
+from .common import WORD, column, fading, written
 from .components import connected_components
 from .lines import below, filtered, fuzzy_components, let, probable
 
@@ -218,8 +218,7 @@ def near_copies_stage(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     keys = placed_shingles(units).where(below(F.col("hash"), F.col("p"))).select("id", F.col("hash").alias("key"), (F.col("p") <= ALONE_WORDS).alias("alone"))
     found = lambda ids, count: filtered(units, "id", ids, count).join(ids, "id", "left_semi")
     with fading("touched"):
-        bands = written(keys, "near_keys")
-        near = fuzzy_components(bands, found, word_shingles, lambda: discard(bands))
+        near = fuzzy_components(keys, found, word_shingles)
         return keep_one(docs, _named(docs, near.select("id", "component").union(_same_fingerprints(docs, radius))))
 
 
