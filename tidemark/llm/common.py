@@ -97,7 +97,9 @@ def _clear() -> None:
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for small tables inside loops."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()  # as in ``store``
+    return out
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -53,6 +53,8 @@ TURNS = 2
 CROWD = 256
 #: Likely pairs for each line from which each line's nearest partner is verified before the others.
 MANY_PAIRS = 2
+#: Links (16 bytes each) that are joined to components in the driver.
+HERE = 1 << 18
 #: Lines of which each makes up over one part in so many of all lines are joined by broadcast.
 HOT_PARTS = 4096
 #: Most bits of a filter (it is broadcast: 16 bytes for 64 bits); a fuller one lets more through.
@@ -80,7 +82,7 @@ RULER = r"([-=_*#.~+ ])\1{5}"
 
 def flattened(line: Column) -> Column:
     """A line whose runs of one of a ruler's characters are five long at most: its set of shingles is the same."""
-    return F.when(line.rlike(RULER), F.regexp_replace(line, RULER + "+", "$1$1$1$1$1")).otherwise(line)
+    return F.when(line.rlike(RULER), F.regexp_replace(line, RULER[:-3] + "{5,}+", "$1$1$1$1$1")).otherwise(line)
 
 
 def below(key: Column, n: Column) -> Column:
@@ -176,9 +178,10 @@ def may_reach(x: str, y: str) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
-    """The pairs (x, y) of line ids whose lines reach SIMILARITY."""
-    side = lambda x, t: texts.select(F.col("id").alias(x), F.col("line").alias(t))
-    both = pairs.join(side("x", "lx"), "x").join(side("y", "ly"), "y")
+    """The pairs (x, y, a written table) of line ids whose lines reach SIMILARITY."""
+    wanted = filtered(texts, "id", pairs.select(F.explode(F.array("x", "y")).alias("id")), 2 * pairs.count())  # few lines are shuffled
+    side = lambda x, t: wanted.select(F.col("id").alias(x), F.col("line").alias(t))
+    both = pairs.select("x", "y").join(side("x", "lx"), "x").join(side("y", "ly"), "y")
     sets = F.struct(of(F.col("lx")).alias("a"), of(F.col("ly")).alias("b"))
     return both.where(let(sets, lambda s: jaccard(s["a"], s["b"]) >= SIMILARITY)).select("x", "y")
 
@@ -220,7 +223,7 @@ def fuzzy_components(bands: DataFrame, found: Callable[[DataFrame, int], DataFra
             rows = written(_mixed(before, parts), "open")
             discard(before)
         # Across: the lines of a key that are still in different components meet each other.
-        wide = rows.drop("p").join(known.join(rows.groupBy("id").agg(F.collect_list("key").alias("keys")), "id"), "id")
+        wide = rows.join(known.drop("p").join(rows.groupBy("id").agg(F.collect_list("key").alias("keys")), "id"), "id")
         pairs = _across(wide.where(F.col("many") <= LARGE))
         if (rows.agg(F.max("many")).first()[0] or 0) > LARGE:
             pairs = pairs.unionByName(_across(wide.where(F.col("many") > LARGE), True))
@@ -232,8 +235,8 @@ def fuzzy_components(bands: DataFrame, found: Callable[[DataFrame, int], DataFra
             nearest = new.select(F.col("x").alias("id"), end).union(new.select(F.col("y").alias("id"), end)).groupBy("id").agg(F.min("pair").alias("pair"))
             nearest = written(nearest.select("pair.x", "pair.y").distinct(), "nearest")
             parts = written(_joined(parts, written(_verified(nearest, texts, of), "first")), "parts")
-            rest = _placed(new.join(nearest, ["x", "y"], "left_anti"), parts).where("cx != cy")
-        more = written(_verified(rest.select("x", "y"), texts, of), "more")
+            rest = written(_placed(new.join(nearest, ["x", "y"], "left_anti"), parts).where("cx != cy"), "rest")
+        more = written(_verified(rest, texts, of), "more")
         return written(_joined(parts, more).join(texts.select("id", "check"), "id").select("id", "check", "component"), "fuzzy")
 
 
@@ -253,8 +256,8 @@ def _placed(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 def _joined(parts: DataFrame | None, edges: DataFrame) -> DataFrame:
     """(id, component) of all lines of ``parts`` and ``edges`` (x, y), with the components that edges join as one."""
     if parts is None:
-        return connected_components(edges).withColumnRenamed("node", "id")
-    whole = connected_components(_placed(edges, parts).select("cx", "cy")).select(F.col("node").alias("component"), F.col("component").alias("better"))
+        return connected_components(edges, here=HERE).withColumnRenamed("node", "id")
+    whole = connected_components(_placed(edges, parts).select("cx", "cy"), here=HERE).select(F.col("node").alias("component"), F.col("component").alias("better"))
     ends = edges.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     # A line that only ``edges`` has is its own component; for one in ``parts`` too, that one is the smaller.
     nodes = parts.select("id", "component").union(ends.select("id", F.col("id").alias("component")))
@@ -273,28 +276,21 @@ def _across(rows: DataFrame, blocks: bool = False) -> DataFrame:
     """The likely pairs (x, y, apart) of lines of different components that share a key; apart is the
     share of their shingles that their sketches differ in.
 
-    Sketches are compared inside the join, so that only likely pairs leave it, each under the smallest of the ``keys``
-    that both of its lines have. With ``blocks``, a key's lines
-    are dealt to blocks of about LARGE, and each block meets each: every pair once.
+    Sketches are compared inside the join, so that only likely pairs leave it, each under the smallest of the ``keys`` that
+    both of its lines have: under none of the smaller ones. Both sides of the join are one shuffle of the rows, and its
+    condition is short enough for the JVM's compiler: keep both so. With ``blocks``, a key's lines are dealt to blocks of
+    about LARGE, and each block meets each: every pair once.
     """
-    names = [c for c in rows.columns if c not in ("key", "many")]
-    # No value is null; said so, the condition is short enough for the JVM's compiler.
-    held = lambda c: F.col(c) if c == "keys" else F.coalesce(F.col(c), F.lit(0))
-    side = lambda x, *more: rows.select("key", *more, *[held(c).alias(c + x) for c in names])
-    # Of two sets at SIMILARITY neither has over 1.25 times the other's shingles: their steps are equal or neighbours.
-    step = F.floor(F.log("p") / F.log(F.lit(1 / SIMILARITY + 1e-4)))
-    # By a name of its own the key draws no second, early test of the arrays from the optimizer.
-    mine, theirs, on = [step.alias("step"), held("key").alias("under")], [F.explode(F.array(step, step - 1)).alias("step"), step.alias("own")], ["key", "step"]
+    names = ["id", "component", "p", *[f"w{i}" for i in range(WORDS)]]
+    # No value is null; said so, the condition is shorter.
+    side = lambda x, *more: rows.select("key", *more, F.expr("filter(keys, k -> k < key)").alias("less" + x), *[F.coalesce(F.col(c), F.lit(0)).alias(c + x) for c in names])
     if blocks:
         count = F.ceil(F.col("many") / LARGE)
-        own, other = F.pmod(F.xxhash64(F.lit(8), "id"), count), F.sequence(F.lit(0).cast("long"), count - 1)
-        x = side("_x", *mine, own.alias("left"), other.alias("rights")).withColumn("right", F.explode("rights")).drop("rights")
-        y = side("_y", *theirs, own.alias("right"), other.alias("lefts")).withColumn("left", F.explode("lefts")).drop("lefts")
-        met = x.join(y, [*on, "left", "right"])
+        own, other = F.pmod(F.xxhash64(F.lit(8), "id"), count), F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+        met = side("_x", own.alias("left"), other.alias("right")).join(side("_y", own.alias("right"), other.alias("left")), ["key", "left", "right"])
     else:
-        met = side("_x", *mine).join(side("_y", *theirs), on)
-    once = (F.col("component_x") < F.col("component_y")) | ((F.col("own") > F.col("step")) & (F.col("component_x") != F.col("component_y")))
-    met = met.where(once).where(may_reach("_x", "_y")).where(F.array_min(F.array_intersect("keys_x", "keys_y")) == F.col("under"))
+        met = side("_x").join(side("_y"), "key")
+    met = met.where(F.col("component_x") < F.col("component_y")).where(may_reach("_x", "_y")).where(~F.arrays_overlap("less_x", "less_y"))
     return met.select(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y"), (apart("_x", "_y") / (F.col("p_x") + F.col("p_y"))).alias("apart"))
 
 
